@@ -49,5 +49,6 @@ def read_arff(spark: SparkSession, path: str, null_value: str = "?", schema: T.S
         "ignoreLeadingWhiteSpace": "true",
         "ignoreTrailingWhiteSpace": "true",
     }
-    parsed = body.select(F.from_csv("value", schema.simpleString()[7:-1], options).alias("r"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = body.select(F.from_csv("value", ddl, options).alias("r"))
     return parsed.select("r.*")
