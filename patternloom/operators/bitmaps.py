@@ -116,11 +116,17 @@ def first_uncovered_bitmap(
 
 
 def uncovered_pairs_bitmap(
-    lut: DataFrame, rules: DataFrame, model: TableModel, cls: str, max_rules: int | None = None
-) -> DataFrame | None:
-    """Features of the first uncovered row of the class; None if there is none."""
-    at = first_uncovered_bitmap(lut, rules, model, cls, max_rules).head()
-    if at is None:
-        return None
-    here = lut.where((F.col("bucket") == at["bucket"]) & (F.col("var") >= 0))
-    return here.where(_has_bit("bits", str(at["row"]))).select("var", "val")
+    lut: DataFrame, rules: DataFrame, model: TableModel, classes, max_rules: int | None = None
+) -> DataFrame:
+    """``cls, var, val``: features of the first row of each class its rules leave uncovered."""
+    found = []
+    for cls in classes:
+        mine = rules.where(F.col("cls") == cls)
+        at = first_uncovered_bitmap(lut, mine, model, cls, max_rules).head()
+        if at is not None:
+            here = lut.where((F.col("bucket") == at["bucket"]) & (F.col("var") >= 0))
+            has = here.where(_has_bit("bits", str(at["row"])))
+            found.append(has.select(F.lit(cls).alias("cls"), "var", "val"))
+    if not found:
+        return lut.limit(0).select(F.lit("").alias("cls"), "var", "val")
+    return reduce(lambda a, b: a.unionByName(b), found)

@@ -177,16 +177,17 @@ def cover_flags(encoded: DataFrame, rule_sets: dict[str, DataFrame], model: Tabl
     return hits.groupBy(*keys).agg(*flags)
 
 
-def uncovered(encoded: DataFrame, rules: DataFrame, model: TableModel, cls: str, max_rules=None) -> DataFrame:
-    """Encoded rows of a class that no rule of the set covers."""
-    mine = encoded.where(F.col("cls") == cls)
-    keys = [c for c in mine.columns if c not in ("n", "first_rid")]
-    hit = match_rules(mine, rules, model, keep=keys, max_rules=max_rules).select(*keys).distinct()
-    return mine.join(hit, keys, "left_anti")
+def uncovered(encoded: DataFrame, rules: DataFrame, model: TableModel, classes, max_rules=None) -> DataFrame:
+    """Encoded rows of the classes that no rule of their own class covers."""
+    classes = [classes] if isinstance(classes, str) else list(classes)
+    mine = encoded.where(F.col("cls").isin(classes))
+    keys = ["cls", *model.mask_columns]
+    own = match_rules(mine, rules, model, keep=keys, max_rules=max_rules).where(F.col("cls") == F.col("rule_cls"))
+    return mine.join(own.select(*keys).distinct(), keys, "left_anti")
 
 
 def first_uncovered(encoded: DataFrame, rules: DataFrame, model: TableModel, cls: str, max_rules=None) -> DataFrame:
-    """Lowest ``first_rid`` of the class not covered by the rule set; null if all are."""
+    """Lowest ``first_rid`` of the class its rules do not cover; null if all are covered."""
     return uncovered(encoded, rules, model, cls, max_rules).agg(F.min("first_rid").alias("first_rid"))
 
 

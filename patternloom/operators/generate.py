@@ -96,21 +96,21 @@ def init_oriented(
 def covering_masks(
     ids: DataFrame, pairs: DataFrame, model: TableModel, seed: int, gen: int = 0, pct: float = 0.5
 ) -> DataFrame:
-    """Add ``masks`` made of random (var, val) pairs to ``rule_id`` rows.
+    """Add ``masks`` made of random (var, val) pairs to ``rule_id, cls`` rows.
 
-    ``pairs`` are the features of one row, so there are at most as many as features.
-    Between 1 and ceil(pct * pairs) + 1 of them are drawn, never more than exist; of two
-    values of one variable the one drawn later stays.
+    ``pairs`` (``cls, var, val``) are the features of one row per class, so there are at
+    most as many per class as features. Between 1 and ceil(pct * pairs) + 1 of them are
+    drawn, never more than exist; of two values of one variable the one drawn later stays.
     """
     kept = ids.columns
-    listed = pairs.agg(F.array_sort(F.collect_list(F.struct("var", "val"))).alias("p")).scalar()
+    listed = pairs.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("var", "val"))).alias("_pairs"))
     most = f"least(cast(ceil(size(_pairs) * {pct}D) as int) + 1, size(_pairs))"
     how_many = pick(most, seed, gen, _quoted("covering_n"), "rule_id") + " + 1"
     rank = uniform(seed, gen, _quoted("covering_pair"), "rule_id", "_p.var", "_p.val")
     order = f"array_sort(transform(_pairs, _p -> struct({rank} as u, _p.var as var, _p.val as val)))"
     word = f"aggregate(_drawn, 0L, (_acc, _d) -> if(_d.var = _w.v, {_bit(model, '_d.val')}, _acc))"
     return (
-        ids.withColumn("_pairs", listed)
+        ids.join(listed, "cls")
         .selectExpr(*kept, f"slice({order}, 1, {how_many}) as _drawn")
         .selectExpr(*kept, f"{_words(model, word)} as masks")
     )
@@ -119,9 +119,9 @@ def covering_masks(
 def init_covering(
     spark: SparkSession, pairs: DataFrame, model: TableModel, n: int, cls: str, seed: int, gen: int = 0, pct: float = 0.5
 ) -> DataFrame:
-    return covering_masks(_ids(spark, n), pairs, model, seed, gen, pct).select(
-        "rule_id", F.lit(cls).alias("cls"), "masks"
-    )
+    """``n`` rules of one class from the features ``var, val`` of one of its rows."""
+    ids = _ids(spark, n).withColumn("cls", F.lit(cls))
+    return covering_masks(ids, pairs.withColumn("cls", F.lit(cls)), model, seed, gen, pct)
 
 
 # -- variation -------------------------------------------------------------
@@ -200,12 +200,12 @@ def choose_operator(draws: DataFrame, probs: DataFrame, u: str = "u") -> DataFra
     )
 
 
-def events(pop: DataFrame, probs: dict[str, float], seed: int, gen: int) -> DataFrame:
+def events(sizes: DataFrame, probs: dict[str, float], seed: int, gen: int) -> DataFrame:
     """Variation events per class until as many children as individuals are planned.
 
-    ``cls, draw, size, op, children, before``; a crossover gives two children, a mutation one.
+    ``sizes`` has ``cls, size``; the result ``cls, draw, size, op, children, before``. A
+    crossover gives two children, a mutation one.
     """
-    sizes = pop.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
     u = uniform(seed, gen, _quoted("operator"), "cls", "draw")
     names, bound, arms = sorted(probs), 0.0, []
     for name in names[:-1]:
@@ -221,6 +221,10 @@ def events(pop: DataFrame, probs: dict[str, float], seed: int, gen: int) -> Data
     return drawn.withColumn("before", F.coalesce(F.sum("children").over(earlier), F.lit(0))).where("before < size")
 
 
+def class_sizes(pop: DataFrame) -> DataFrame:
+    return pop.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+
+
 def reproduce(
     pop: DataFrame,
     model: TableModel,
@@ -228,14 +232,17 @@ def reproduce(
     seed: int,
     gen: int,
     max_rules: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Offspring of a population with ``cls, slot, rank, crowding, masks``.
 
-    Every class gets as many children as it has individuals; children beyond the size of
-    the whole population, which a last crossover can add, are taken off the end.
-    Result: ``rule_id, cls, masks, op``.
+    Every class gets as many children as it has individuals. A last crossover can make one
+    child too many; the children beyond the size of the whole population, taken from the
+    end, come out with ``surplus`` set, as they count for the credit of their operator.
+    Result: ``rule_id, cls, masks, op, surplus``. ``max_rules`` is the size of the
+    population and ``sizes`` its classes where the caller knows them.
     """
-    planned = events(pop, probs, seed, gen)
+    planned = events(class_sizes(pop) if sizes is None else sizes, probs, seed, gen)
     couples = tournament_select(pop, planned, seed, gen, 0, max_rules)
     couples = tournament_select(pop, couples, seed, gen, 1, max_rules)
     key, a, b = "concat_ws(':', cls, draw)", "p0_masks", "p1_masks"
@@ -246,9 +253,6 @@ def reproduce(
     made = couples.selectExpr("cls", "draw", "op", f"posexplode({kids}) as (child, masks)")
     # A population is a bounded rule table, so one ordered pass over it is cheap.
     order = Window.orderBy("cls", "draw", "child")
-    total = pop.agg(F.count(F.lit(1))).scalar()
-    return (
-        made.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= total)
-        .selectExpr(f"{gen}L * {1 << 24}L + _n as rule_id", "cls", "masks", "op")
-    )
+    total = F.lit(max_rules) if max_rules is not None else pop.agg(F.count(F.lit(1))).scalar()
+    numbered = made.withColumn("_n", F.row_number().over(order)).withColumn("surplus", F.col("_n") > total)
+    return numbered.selectExpr(f"{gen}L * {1 << 24}L + _n as rule_id", "cls", "masks", "op", "surplus")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from patternloom.model import TableModel
 from patternloom.operators import bitmaps
 from patternloom.operators.contingency import contingency, contingency_bitmap
-from patternloom.operators.coverage import cover_flags, covering_pairs, match_rules, uncovered
-from patternloom.operators.encode import SIGNATURE_LIMIT, encode_items, signatures
+from patternloom.operators.coverage import match_rules, uncovered
+from patternloom.operators.encode import SIGNATURE_LIMIT, encode_items, items_long, signatures
 from patternloom.operators.selection import token_competition
 
 # Above this many mask words one projection per row gets too wide to compile.
@@ -47,17 +47,16 @@ class RowLayout:
         first = per_row.groupBy("rule_cls", *keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
         return first.where("_old = 0").groupBy("rule_cls").agg(F.sum("n").alias("n"))
 
-    def uncovered_pairs(self, rules, cls, max_rules=None) -> DataFrame | None:
-        """Features of the first row of the class no rule covers; None if there is none."""
-        left = uncovered(self.encoded, rules, self.model, cls, max_rules)
-        order = ["first_rid"] if "first_rid" in left.columns else []
-        row = left.orderBy(*order, *self.model.mask_columns).limit(1).head()
-        if row is None:
-            return None
-        pairs = []
-        for i, w in enumerate(self.model.words):
-            pairs += [(w.var, w.first + b) for b in range(w.bits) if row[f"m{i}"] >> b & 1]
-        return self.encoded.sparkSession.createDataFrame(pairs, "var int, val int")
+    def uncovered_pairs(self, rules, classes, max_rules=None) -> DataFrame:
+        """``cls, var, val``: features of the first row of each class its rules leave uncovered.
+
+        Without a row number the row with the smallest masks is the first.
+        """
+        left = uncovered(self.encoded, rules, self.model, classes, max_rules)
+        masks = self.model.mask_columns
+        order = F.col("first_rid") if "first_rid" in left.columns else F.struct(*masks)
+        first = left.groupBy("cls").agg(F.min_by(F.struct(*masks), order).alias("_m")).select("cls", "_m.*")
+        return items_long(first, self.model, ("cls",))
 
     def release(self):
         self.encoded.unpersist()
@@ -78,8 +77,8 @@ class BitmapLayout:
     def newly_covered(self, previous, now, max_rules=None):
         return bitmaps.newly_covered_bitmap(self.lut, previous, now, self.model, max_rules)
 
-    def uncovered_pairs(self, rules, cls, max_rules=None):
-        return bitmaps.uncovered_pairs_bitmap(self.lut, rules, self.model, cls, max_rules)
+    def uncovered_pairs(self, rules, classes, max_rules=None):
+        return bitmaps.uncovered_pairs_bitmap(self.lut, rules, self.model, classes, max_rules)
 
     def release(self):
         self.lut.unpersist()

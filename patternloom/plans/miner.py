@@ -20,7 +20,6 @@ from patternloom.operators.encode import compact, encode_items
 from patternloom.operators.generate import (
     OPERATORS,
     covering_masks,
-    events,
     init_oriented,
     init_random,
     oriented_masks,
@@ -38,19 +37,18 @@ UNRANKED = 2**31 - 1
 CREDIT_FLOOR = 2
 
 
-def stagnation(layout, previous: DataFrame | None, front: DataFrame, max_rules: int) -> set[str]:
-    """Classes whose front covers a row that the front of the generation before did not.
+def fresh_classes(previous: set[tuple], front: set[tuple]) -> list[str]:
+    """Classes whose front holds a rule that was not in their front before."""
+    return sorted({cls for cls, _ in front - previous})
 
-    Rules already in the earlier front cannot add rows, so only fresh ones are matched.
-    """
-    if previous is None:
-        return {r["rule_cls"] for r in layout.newly_covered(front.limit(0), front, max_rules).collect()}
-    fresh = front.join(previous.select("cls", "masks"), ["cls", "masks"], "left_anti")
-    fresh_classes = [r["cls"] for r in fresh.select("cls").distinct().collect()]
-    if not fresh_classes:
+
+def changed_classes(layout, previous: DataFrame | None, front: DataFrame, classes: list[str], max_rules: int) -> set[str]:
+    """Which of the classes now cover a row their front of the generation before did not."""
+    if not classes:
         return set()
-    rivals = previous.where(F.col("cls").isin(fresh_classes))
-    return {r["rule_cls"] for r in layout.newly_covered(rivals, fresh, 2 * max_rules).collect()}
+    now = front.where(F.col("cls").isin(classes))
+    old = front.limit(0) if previous is None else previous.where(F.col("cls").isin(classes))
+    return {r["rule_cls"] for r in layout.newly_covered(old, now, 2 * max_rules).collect()}
 
 
 def replace_population(
@@ -59,7 +57,8 @@ def replace_population(
     """Best ``individuals`` per class of parents and offspring, by front and crowding."""
     joint = pop.unionByName(offspring)
     ranked = nondominated_rank(joint, objectives, "cls", minimise, group_bound=2 * individuals)
-    return select_top(crowding_distance(ranked, objectives), individuals)
+    # Partitioned by class once: the windows over fronts and over classes both accept it.
+    return select_top(crowding_distance(ranked.repartition("cls"), objectives), individuals)
 
 
 @dataclass
@@ -146,30 +145,36 @@ class PatternMiner:
         patience = int(self.evaluations * 0.25)
         history: list[dict] = []
 
+        sizes = spark.createDataFrame([(c, self.individuals) for c in model.classes], "cls string, size bigint")
+        front_keys: set[tuple] = set()
+
         while used < self.evaluations:
             gen += 1
-            credits = {
-                r["op"]: r["n"]
-                for r in events(pop, probs, self.seed, gen).groupBy("op").agg(F.sum("children").alias("n")).collect()
-            }
-            offspring = reproduce(pop, model, probs, self.seed, gen, size).persist()
-            scored = self._score(layout, offspring, size)
+            offspring = reproduce(pop, model, probs, self.seed, gen, size, sizes).persist()
+            scored = self._score(layout, offspring.where("not surplus"), size)
             parents = pop.select(*self._columns())
             pop = cut_lineage(replace_population(parents, scored, self.objectives, self.individuals, self.minimise))
-            offspring.unpersist()
-
             front = pop.where("rank = 0")
-            changed = stagnation(layout, previous, front, size)
-            previous = front
+
+            # What comes back to the driver: children per operator and the keys of the front rules.
+            credit = offspring.groupBy(F.col("op").alias("a"), F.lit("credit").alias("b")).count()
+            keys = front.select(F.col("cls").alias("a"), F.md5(F.concat_ws("|", F.col("masks").cast("array<string>"))).alias("b"))
+            report = credit.unionByName(keys.distinct().withColumn("count", F.lit(-1).cast("bigint"))).collect()
+            offspring.unpersist()
+            credits = {r["a"]: r["count"] for r in report if r["count"] >= 0}
+            now_keys = {(r["a"], r["b"]) for r in report if r["count"] < 0}
+            changed = changed_classes(layout, previous, front, fresh_classes(front_keys, now_keys), size)
+            previous, front_keys = front, now_keys
             restarted = []
             for c in model.classes:
                 if c in changed:
                     last_change[c] = used
-                elif used - last_change[c] >= patience:
-                    pop, elite = self.reinitialise(layout, pop, elite, c, gen)
-                    last_change[c] = used
-                    used += size
+                elif used + size * len(restarted) - last_change[c] >= patience:
                     restarted.append(c)
+            if restarted:
+                pop, elite = self.reinitialise(layout, pop, elite, restarted, gen)
+                last_change.update(dict.fromkeys(restarted, used))
+                used += size * len(restarted)
             if elite is None:
                 elite = pop.select(*self._columns())
 
@@ -189,33 +194,41 @@ class PatternMiner:
         kept = layout.token_competition(joint, bound)
         return pareto_front(kept, self.objectives, "cls", self.minimise)
 
-    def reinitialise(self, layout, pop: DataFrame, elite: DataFrame | None, cls: str, gen: int):
-        """Renew the population of one class; its elite improves if diversity does."""
-        cols, n = self._columns(), self.individuals
-        mine = F.col("cls") == cls
+    def reinitialise(self, layout, pop: DataFrame, elite: DataFrame | None, classes: list[str], gen: int):
+        """Renew the populations of some classes; their elite improves if diversity does.
+
+        A class with uncovered rows restarts from the features of the first of them, any
+        other class from short random rules.
+        """
+        cols, n = self._columns(), self.individuals * len(classes)
+        mine = F.col("cls").isin(classes)
         elite_mine = None if elite is None else elite.where(mine)
-        bound = 3 * n
-        chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite_mine, bound))
-        elite = self.update_elite(elite, chosen, cls)
-
-        ids = pop.where(mine).select((F.lit(gen).cast("bigint") * (1 << 24) + (1 << 23) + F.col("slot")).alias("rule_id"))
-        pairs = layout.uncovered_pairs(chosen, cls, bound)
-        if pairs is None:
-            fresh = oriented_masks(ids, layout.model, self.seed, gen)
-        else:
-            fresh = covering_masks(ids, pairs, layout.model, self.seed, gen, 0.5)
-        fresh = fresh.select("rule_id", F.lit(cls).alias("cls"), "masks").persist()
+        chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite_mine, 3 * n))
+        elite = self.update_elite(elite, chosen, classes)
+
+        number = F.lit(gen).cast("bigint") * (1 << 24) + (1 << 23) + F.col("rule_no")
+        position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")) - 1
+        ids = (
+            pop.where(mine)
+            .withColumn("rule_no", position * self.individuals + F.col("slot"))
+            .select(number.alias("rule_id"), "cls")
+        )
+        pairs = cut_lineage(layout.uncovered_pairs(chosen, classes, 3 * n))
+        still_open = [r["cls"] for r in pairs.select("cls").distinct().collect()]
+        fresh = covering_masks(ids, pairs, layout.model, self.seed, gen, 0.5)
+        rest = ids.where(~F.col("cls").isin(still_open))
+        fresh = fresh.unionByName(oriented_masks(rest, layout.model, self.seed, gen)).persist()
         renewed = self._unranked(self._score(layout, fresh, n))
         others = pop.where(~mine).select(*cols, "slot", "rank", "crowding")
         pop = cut_lineage(others.unionByName(renewed.select(*others.columns)))
         fresh.unpersist()
         return pop, elite
 
-    def update_elite(self, elite: DataFrame | None, chosen: DataFrame, cls: str) -> DataFrame:
+    def update_elite(self, elite: DataFrame | None, chosen: DataFrame, classes: list[str]) -> DataFrame:
         cols = self._columns()
         if elite is None:
             return chosen.select(*cols)
-        mine = F.col("cls") == cls
+        mine = F.col("cls").isin(classes)
         best = better_set(elite.where(mine).select(*cols), chosen.select(*cols))
         return cut_lineage(elite.where(~mine).select(*cols).unionByName(best))
 

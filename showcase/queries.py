@@ -605,7 +605,7 @@ SHARES = {"hux": 0.3, "mutation": 0.3, "npoint": 0.4}
 def reproduce(spark, sf):
     c = Case(spark, sf, LINES)
     kids = gen.reproduce(_population(c), c.model, SHARES, SEED, 1, 90)
-    return kids.select("rule_id", "cls", "op", _masks())
+    return kids.where("not surplus").select("rule_id", "cls", "op", _masks())
 
 
 def replace(spark, sf):
