@@ -119,15 +119,16 @@ def rule_predicate(model: TableModel, masks, nan_free: bool = False) -> Column:
             continue
         x = raw.cast("double")
         bits = sum(1 << v for v in values)
-        hit = assign_labels([belonging_degree(x, lab) for lab in a.labels]).bitwiseAND(F.lit(bits)) != 0
         missing = raw.isNull() if nan_free else raw.isNull() | F.isnan(x)
+        held = assign_labels([belonging_degree(x, lab) for lab in a.labels])
+        # The test for a missing value sits inside the mask, else the optimizer would factor
+        # it out of both conditions and the range could not be pushed down.
+        hit = F.when(missing, F.lit((1 << a.n_values) - 1)).otherwise(held).bitwiseAND(F.lit(bits)) != 0
         lo, hi = _label_range(a, values)
-        wide = F.lit(True)
-        if lo is not None:
-            wide = wide & (raw >= F.lit(lo))
-        if hi is not None:
-            wide = wide & (raw <= F.lit(hi))
-        parts.append((missing | wide) & (missing | hit))
+        if lo is not None or hi is not None:
+            wide = F.lit(True) if lo is None else raw >= F.lit(lo)
+            parts.append(missing | (wide if hi is None else wide & (raw <= F.lit(hi))))
+        parts.append(hit)
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
 
 
