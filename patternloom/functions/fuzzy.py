@@ -6,8 +6,6 @@ shapes use only ``x0`` and ``x1``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +19,6 @@ INCREASING = "IncreasingLine"
 ALWAYS = "Always"
 
 
-def _c(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(float(v))
-
-
 def snap(v: Column, top: Column) -> Column:
     """Move a cut point lying next to zero or next to the maximum onto it."""
     eps = F.lit(SNAP_TOLERANCE)
@@ -72,41 +66,43 @@ def fuzzy_labels(attributes: DataFrame, n_labels: int = 3) -> DataFrame:
     )
 
 
-def _slope(hi, lo):
-    if isinstance(hi, Column) or isinstance(lo, Column):
-        return F.lit(1.0) / F.nullif(_c(hi) - _c(lo), F.lit(0.0))
-    return F.lit(1.0 / (hi - lo) if hi != lo else 0.0)
+def _sql(v) -> str:
+    """Number as a double literal; text is taken as it is."""
+    return v if isinstance(v, str) else f"{float(v)!r}D"
 
 
-def membership_decreasing(x: Column, x0, x1) -> Column:
-    """Left shoulder: 1 up to ``x0``, falling to 0 at ``x1``."""
-    return (
-        F.when(x <= _c(x0), F.lit(1.0))
-        .when(x >= _c(x1), F.lit(0.0))
-        .otherwise((_c(x1) - x) * _slope(x1, x0))
-    )
+def _slope(hi, lo) -> str:
+    if isinstance(hi, str) or isinstance(lo, str):
+        return f"(1D / nullif({_sql(hi)} - {_sql(lo)}, 0D))"
+    return _sql(1.0 / (hi - lo) if hi != lo else 0.0)
+
 
+def membership_decreasing(x: str, x0, x1) -> str:
+    """Left shoulder: 1 up to ``x0``, falling to 0 at ``x1``.
 
-def membership_triangular(x: Column, x0, x1, x2) -> Column:
+    Degrees are SQL text over column names and numbers: a wide table has many of them,
+    and one parsed expression is far cheaper to build than a tree of Column calls.
+    """
+    a, b = _sql(x0), _sql(x1)
+    return f"case when {x} <= {a} then 1D when {x} >= {b} then 0D else ({b} - {x}) * {_slope(x1, x0)} end"
+
+
+def membership_triangular(x: str, x0, x1, x2) -> str:
     """Triangle over ``[x0, x2]`` with its peak at ``x1``."""
+    a, b, c = _sql(x0), _sql(x1), _sql(x2)
     return (
-        F.when((x <= _c(x0)) | (x >= _c(x2)), F.lit(0.0))
-        .when(x < _c(x1), (x - _c(x0)) * _slope(x1, x0))
-        .when(x > _c(x1), (_c(x2) - x) * _slope(x2, x1))
-        .otherwise(F.lit(1.0))
+        f"case when {x} <= {a} or {x} >= {c} then 0D when {x} < {b} then ({x} - {a}) * {_slope(x1, x0)} "
+        f"when {x} > {b} then ({c} - {x}) * {_slope(x2, x1)} else 1D end"
     )
 
 
-def membership_increasing(x: Column, x0, x1) -> Column:
+def membership_increasing(x: str, x0, x1) -> str:
     """Right shoulder: 0 up to ``x0``, rising to 1 at ``x1``."""
-    return (
-        F.when(x <= _c(x0), F.lit(0.0))
-        .when(x >= _c(x1), F.lit(1.0))
-        .otherwise((x - _c(x0)) * _slope(x1, x0))
-    )
+    a, b = _sql(x0), _sql(x1)
+    return f"case when {x} <= {a} then 0D when {x} >= {b} then 1D else ({x} - {a}) * {_slope(x1, x0)} end"
 
 
-def belonging_degree(x: Column, label) -> Column:
+def belonging_degree(x: str, label) -> str:
     """Degree of a non-null value for one label."""
     shape = label["shape"]
     if shape == DECREASING:
@@ -115,20 +111,19 @@ def belonging_degree(x: Column, label) -> Column:
         return membership_increasing(x, label["x0"], label["x1"])
     if shape == TRIANGULAR:
         return membership_triangular(x, label["x0"], label["x1"], label["x2"])
-    return F.lit(1.0)
+    return "1D"
 
 
-def max_degree(degrees: list[Column]) -> Column:
+def max_degree(degrees: list[str]) -> str:
     """Best degree, lowered by the tie tolerance."""
-    best = F.greatest(*degrees) if len(degrees) > 1 else degrees[0]
-    return best - F.lit(TIE_TOLERANCE)
+    best = f"greatest({', '.join(degrees)})" if len(degrees) > 1 else degrees[0]
+    return f"({best} - {TIE_TOLERANCE!r}D)"
 
 
-def assign_labels(degrees: list[Column]) -> Column:
+def assign_labels(degrees: list[str]) -> str:
     """Bit mask of the labels whose degree ties with the best one."""
     top = max_degree(degrees)
-    bits = [F.when(d >= top, F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint") for j, d in enumerate(degrees)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return "(" + " | ".join(f"if({d} >= {top}, {1 << j}L, 0L)" for j, d in enumerate(degrees)) + ")"
 
 
 def label_text(shape: Column, x0: Column, x1: Column, x2: Column) -> Column:

@@ -7,12 +7,12 @@ merged into weighted signatures.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.functions.fuzzy import assign_labels, belonging_degree
 from patternloom.model import Attribute, TableModel
-from patternloom.operators.profile import numeric_value
+from patternloom.operators.profile import numeric_value, quoted
 
 SMALL_DOMAIN = 60
 # Signatures are merged without a scan-time estimate up to this many distinct ones.
@@ -20,83 +20,77 @@ SIGNATURE_LIMIT = 1 << 20
 LUT_CHUNK = 240
 
 
-def encode_numeric(df: DataFrame, attribute: Attribute) -> tuple[dict[str, Column], Column]:
-    """Degree columns of one attribute and the mask expression over them."""
+def text(value: str) -> str:
+    """String literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def encode_numeric(df: DataFrame, attribute: Attribute) -> tuple[dict[str, str], str]:
+    """Helper columns of one attribute, its value and degrees, and the mask over them."""
     a = attribute
-    x = numeric_value(df, a.name)
     if not a.labels:
-        return {}, F.lit(0).cast("bigint")
-    degrees = {f"_d{a.pos}_{x_.label}": belonging_degree(x, x_) for x_ in a.labels}
+        return {}, "0L"
+    x = numeric_value(df, a.name)
+    degrees = {f"_d{a.pos}_{lab.label}": belonging_degree(f"({x})", lab) for lab in a.labels}
     full = (1 << a.n_values) - 1
-    mask = F.when(F.col(f"_x{a.pos}").isNull(), F.lit(full)).otherwise(assign_labels([F.col(c) for c in degrees]))
-    return {f"_x{a.pos}": x, **degrees}, mask.cast("bigint")
+    return {f"_x{a.pos}": x, **degrees}, f"if(_x{a.pos} is null, {full}L, {assign_labels(list(degrees))})"
 
 
-def encode_nominal(value: Column, domain) -> Column:
+def encode_nominal(value: str, domain) -> str:
     """Mask bit of a value of a domain of at most 60 values; unseen values give 0."""
     if not domain:
-        return F.lit(0).cast("bigint")
-    full = (1 << len(domain)) - 1
-    v = value.cast("string")
-    mask = F.when(v.isNull(), F.lit(full))
-    for j, item in enumerate(domain):
-        mask = mask.when(v == item, F.lit(1 << j))
-    return mask.otherwise(F.lit(0)).cast("bigint")
+        return "0L"
+    arms = " ".join(f"when {text(item)} then {1 << j}L" for j, item in enumerate(domain))
+    return f"case when {value} is null then {(1 << len(domain)) - 1}L else case cast({value} as string) {arms} else 0L end end"
 
 
-def _join_long_domains(df: DataFrame, model: TableModel) -> tuple[DataFrame, dict[int, Column]]:
+def _join_long_domains(df: DataFrame, model: TableModel) -> tuple[DataFrame, dict[int, str]]:
     """Look up values of domains over 60 values in a broadcast table.
 
     Its size is proven: ``max_domain`` was checked when the model was built.
     """
-    words: dict[int, Column] = {}
-    spark = df.sparkSession
+    words: dict[int, str] = {}
     for a in model.attributes:
         if a.numeric or a.n_values <= SMALL_DOMAIN:
             continue
-        table = spark.createDataFrame(
-            list(enumerate(a.domain)), f"_p{a.pos} int, _v{a.pos} string"
-        )
-        df = df.join(F.broadcast(table), F.col(a.name).cast("string") == F.col(f"_v{a.pos}"), "left")
+        table = df.sparkSession.createDataFrame(list(enumerate(a.domain)), f"_p{a.pos} int, _v{a.pos} string")
+        name = quoted(a.name)
+        df = df.join(F.broadcast(table), F.expr(f"cast({name} as string) = _v{a.pos}"), "left")
         for i in model.var_words[a.pos]:
             w = model.words[i]
-            at = F.col(f"_p{a.pos}") - F.lit(w.first)
-            bit = F.expr(f"shiftleft(1L, _p{a.pos} - {w.first})")
-            words[i] = (
-                F.when(F.col(a.name).isNull(), F.lit(w.full))
-                .when((at >= 0) & (at < w.bits), bit)
-                .otherwise(F.lit(0))
-                .cast("bigint")
-            )
+            at = f"_p{a.pos} - {w.first}"
+            inside = f"_p{a.pos} between {w.first} and {w.first + w.bits - 1}"
+            words[i] = f"case when {name} is null then {w.full}L when {inside} then shiftleft(1L, {at}) else 0L end"
     return df, words
 
 
 def encode_items(df: DataFrame, model: TableModel, keep=()) -> DataFrame:
     """``keep`` columns, ``cls``, mask words and ``n = 1``: one select, no shuffle."""
     df, looked_up = _join_long_domains(df, model)
-    stage: dict[str, Column] = {}
-    masks: list[Column] = []
+    stage: dict[str, str] = {}
+    masks: list[str] = []
     for a in model.attributes:
+        words = model.var_words[a.pos]
         if a.numeric:
             columns, mask = encode_numeric(df, a)
             stage.update(columns)
-            masks.append(mask.alias(f"m{model.var_words[a.pos][0]}"))
+            masks.append(f"{mask} as m{words[0]}")
         elif a.n_values <= SMALL_DOMAIN:
-            masks.append(encode_nominal(F.col(a.name), a.domain).alias(f"m{model.var_words[a.pos][0]}"))
+            masks.append(f"{encode_nominal(quoted(a.name), a.domain)} as m{words[0]}")
         else:
-            masks += [looked_up[i].alias(f"m{i}") for i in model.var_words[a.pos]]
-    cls = F.col(model.class_col).cast("string").alias("cls")
-    nominal = [F.col(a.name) for a in model.attributes if not a.numeric and a.name not in keep]
-    helpers = [c for c in df.columns if c.startswith("_p") and c[2:].isdigit()]
+            masks += [f"{looked_up[i]} as m{i}" for i in words]
+    kept = [quoted(k) for k in keep]
+    nominal = [quoted(a.name) for a in model.attributes if not a.numeric and a.name not in keep]
+    helpers = [f"_p{a.pos}" for a in model.attributes if not a.numeric and a.n_values > SMALL_DOMAIN]
     # Degrees get their own projection so that each is computed once.
-    first = df.select(
-        *[F.col(k) for k in keep],
+    first = df.selectExpr(
+        *kept,
         *nominal,
         *helpers,
-        cls,
-        *[v.alias(k) for k, v in stage.items()],
+        f"cast({quoted(model.class_col)} as string) as cls",
+        *[f"{v} as {k}" for k, v in stage.items()],
     )
-    return first.select(*keep, "cls", *masks, F.lit(1).cast("bigint").alias("n"))
+    return first.selectExpr(*kept, "cls", *masks, "1L as n")
 
 
 def signatures(encoded: DataFrame, model: TableModel, rid: str | None = None) -> DataFrame:
@@ -121,18 +115,10 @@ def compact(df: DataFrame, model: TableModel, rid: str | None = None) -> DataFra
 
 def items_long(encoded: DataFrame, model: TableModel, keep=("cls", "n")) -> DataFrame:
     """``keep..., var, val``: one row per feature a row has."""
-    words = F.array(
-        *[
-            F.struct(
-                F.lit(w.var).alias("var"),
-                F.lit(w.first).alias("first"),
-                F.lit(w.bits).alias("bits"),
-                F.col(f"m{i}").alias("mask"),
-            )
-            for i, w in enumerate(model.words)
-        ]
+    words = ", ".join(
+        f"struct({w.var} as var, {w.first} as first, {w.bits} as bits, m{i} as mask)" for i, w in enumerate(model.words)
     )
-    long = encoded.select(*keep, F.explode(words).alias("w")).select(*keep, "w.*").where("mask <> 0")
+    long = encoded.selectExpr(*keep, f"explode(array({words})) as w").select(*keep, "w.*").where("mask <> 0")
     bits = F.explode(F.expr("sequence(0, bits - 1)")).alias("bit")
     return (
         long.select(*keep, "var", "first", "mask", bits)
@@ -153,27 +139,19 @@ def feature_lut(encoded: DataFrame, model: TableModel, rid: str) -> DataFrame:
     ``model.classes``. Output is hash partitioned by ``bucket`` so that later steps
     grouped by bucket need no further exchange.
     """
-    position = F.bitmap_bit_position(F.col(rid))
     feats = []
     for i, w in enumerate(model.words):
-        for b in range(w.bits):
-            feats.append((w.var, w.first + b, F.expr(f"(shiftright(m{i}, {b}) & 1) = 1")))
+        feats += [(w.var, w.first + b, f"(shiftright(m{i}, {b}) & 1) = 1") for b in range(w.bits)]
     for j, c in enumerate(model.classes):
-        feats.append((-1, j, F.col("cls") == c))
-    base = encoded.withColumn("bucket", F.bitmap_bucket_number(F.col(rid)))
+        feats.append((-1, j, f"cls = {text(c)}"))
+    base = encoded.selectExpr("*", f"bitmap_bucket_number({rid}) as bucket", f"bitmap_bit_position({rid}) as _at")
     out = None
     for start in range(0, len(feats), LUT_CHUNK):
         part = feats[start : start + LUT_CHUNK]
         # A null position is ignored by the aggregate, which leaves that bit unset.
-        wide = base.groupBy("bucket").agg(
-            *[F.bitmap_construct_agg(F.when(c, position)).alias(f"f{k}") for k, (_, _, c) in enumerate(part)]
-        )
-        rows = F.array(
-            *[
-                F.struct(F.lit(v).alias("var"), F.lit(j).alias("val"), F.col(f"f{k}").alias("bits"))
-                for k, (v, j, _) in enumerate(part)
-            ]
-        )
-        long = wide.select("bucket", F.explode(rows).alias("f")).select("bucket", "f.*")
+        aggs = [F.expr(f"bitmap_construct_agg(if({c}, _at, null)) as f{k}") for k, (_, _, c) in enumerate(part)]
+        rows = ", ".join(f"struct({v} as var, {j} as val, f{k} as bits)" for k, (v, j, _) in enumerate(part))
+        wide = base.groupBy("bucket").agg(*aggs)
+        long = wide.selectExpr("bucket", f"explode(array({rows})) as f").select("bucket", "f.*")
         out = long if out is None else out.unionByName(long)
     return out.where(F.bitmap_count("bits") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,12 +12,16 @@ from patternloom.model import WORD_BITS, Attribute, Label, TableModel
 AGGREGATE_CHUNK = 200
 
 
-def numeric_value(df: DataFrame, name: str) -> Column:
-    """Column as double with NaN turned into null."""
-    col = F.col(name)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numeric_value(df: DataFrame, name: str) -> str:
+    """SQL text of a column as double with NaN turned into null."""
+    col = quoted(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        col = F.when(~F.isnan(col), col)
-    return col.cast("double")
+        return f"cast(if(isnan({col}), null, {col}) as double)"
+    return f"cast({col} as double)"
 
 
 def split_columns(df: DataFrame, class_col: str, exclude=()) -> tuple[list[str], list[str]]:
@@ -44,14 +48,14 @@ def profile_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs = []
         for i, c in enumerate(cols):
             v = numeric_value(df, c)
-            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+            aggs += [F.expr(f"min({v}) as lo{i}"), F.expr(f"max({v}) as hi{i}")]
         wide = df.agg(*aggs)
         rows = [
             F.struct(F.lit(c).alias("name"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
             for i, c in enumerate(cols)
         ]
         return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    long = _long(df, cols, lambda c: numeric_value(df, c))
+    long = _long(df, cols, lambda c: F.expr(numeric_value(df, c)))
     return long.groupBy("name").agg(F.min("value").alias("min"), F.max("value").alias("max"))
 
 
@@ -120,8 +124,8 @@ def build_model(
     if len(numeric) <= AGGREGATE_CHUNK:
         aggs = []
         for i, c in enumerate(numeric):
-            v = numeric_value(df, c)
-            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+            v = numeric_value(used, c)
+            aggs += [F.expr(f"min({v}) as lo{i}"), F.expr(f"max({v}) as hi{i}")]
         head = used.agg(*aggs, *approx).head()
         ranges = {c: (head[f"lo{i}"], head[f"hi{i}"]) for i, c in enumerate(numeric)}
     else:

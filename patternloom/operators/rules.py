@@ -8,8 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.functions.fuzzy import assign_labels, belonging_degree
 from patternloom.functions.masks import ints, is_empty, normalise, num_active, num_vars, word_owners
 from patternloom.model import TableModel
+from patternloom.operators.profile import quoted
 
 RULE_SCHEMA = "rule_id bigint, cls string, masks array<bigint>"
 
@@ -108,8 +110,6 @@ def rule_predicate(model: TableModel, masks, nan_free: bool = False) -> Column:
     where the caller says the columns hold no NaN (a NaN matches every label, and a
     test for it cannot be pushed down).
     """
-    from patternloom.functions.fuzzy import assign_labels, belonging_degree
-
     parts = []
     for var, values in _selected(model, masks).items():
         a = model.attributes[var]
@@ -117,17 +117,18 @@ def rule_predicate(model: TableModel, masks, nan_free: bool = False) -> Column:
         if not a.numeric:
             parts.append(raw.isNull() | raw.cast("string").isin([a.domain[v] for v in values]))
             continue
-        x = raw.cast("double")
-        bits = sum(1 << v for v in values)
-        missing = raw.isNull() if nan_free else raw.isNull() | F.isnan(x)
-        held = assign_labels([belonging_degree(x, lab) for lab in a.labels])
+        name = quoted(a.name)
+        x = f"cast({name} as double)"
+        bits, full = sum(1 << v for v in values), (1 << a.n_values) - 1
+        missing = f"{name} is null" if nan_free else f"({name} is null or isnan({name}))"
+        held = assign_labels([f"({belonging_degree(x, lab)})" for lab in a.labels])
         # The test for a missing value sits inside the mask, else the optimizer would factor
         # it out of both conditions and the range could not be pushed down.
-        hit = F.when(missing, F.lit((1 << a.n_values) - 1)).otherwise(held).bitwiseAND(F.lit(bits)) != 0
+        hit = F.expr(f"(if({missing}, {full}L, {held}) & {bits}L) <> 0")
         lo, hi = _label_range(a, values)
         if lo is not None or hi is not None:
             wide = F.lit(True) if lo is None else raw >= F.lit(lo)
-            parts.append(missing | (wide if hi is None else wide & (raw <= F.lit(hi))))
+            parts.append(F.expr(missing) | (wide if hi is None else wide & (raw <= F.lit(hi))))
         parts.append(hit)
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
 

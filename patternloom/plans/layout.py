@@ -21,6 +21,8 @@ from patternloom.operators.selection import token_competition
 
 # Above this many mask words one projection per row gets too wide to compile.
 WIDE_WORDS = 256
+# Merging has to shrink the table at least this many times to be preferred to bitmaps.
+MERGE_FACTOR = 16
 
 
 @dataclass
@@ -85,28 +87,26 @@ class BitmapLayout:
 
 
 def prepare(df: DataFrame, model: TableModel, layout: str = "auto", rid: str | None = None):
-    """Encode the table once and persist it in the layout that suits its width.
+    """Encode the table once and persist it in the layout that suits it.
 
     Few possible signatures: merge, no estimate needed. Otherwise one approximate
-    distinct count over the encoded rows decides whether merging pays.
+    distinct count over the encoded rows decides whether merging pays; where it does not,
+    bitmaps serve, as they test 64 rows at a time. Without a row number ``rid`` counting
+    from 1 the bitmaps number rows by partition, which needs an input that gives the same
+    partitions whenever it is read, as file scans do.
     """
     totals = dict(zip(model.classes, model.class_counts))
     level = StorageLevel.MEMORY_AND_DISK
-    if layout == "auto":
-        layout = "rows" if model.n_words <= WIDE_WORDS else "bitmaps"
-    if layout == "bitmaps":
-        if rid is None:
-            raise ValueError("the bitmap layout needs the name of a row number column counting from 1")
-        return BitmapLayout(bitmaps.wide_lut(df, model, rid).persist(level), model, totals)
-    encoded = encode_items(df, model, keep=[rid] if rid else [])
-    if model.signature_bound <= SIGNATURE_LIMIT:
-        return RowLayout(signatures(encoded, model, rid).persist(level), model, totals)
-    encoded = encoded.withColumnRenamed(rid, "first_rid") if rid else encoded
-    encoded = encoded.persist(level)
-    seen = encoded.agg(F.approx_count_distinct(F.xxhash64("cls", *model.mask_columns))).head()[0]
-    if seen * 4 > model.n_rows:
-        return RowLayout(encoded, model, totals)
-    merged = signatures(encoded, model, "first_rid" if rid else None).persist(level)
-    merged.count()
-    encoded.unpersist()
-    return RowLayout(merged, model, totals)
+    if layout == "auto" and model.n_words <= WIDE_WORDS:
+        encoded = encode_items(df, model, keep=[rid] if rid else [])
+        merged = signatures(encoded, model, rid)
+        if model.signature_bound <= SIGNATURE_LIMIT:
+            return RowLayout(merged.persist(level), model, totals)
+        seen = encoded.agg(F.approx_count_distinct(F.xxhash64("cls", *model.mask_columns))).head()[0]
+        layout = "rows" if seen * MERGE_FACTOR <= model.n_rows else "bitmaps"
+    if layout == "rows":
+        return RowLayout(signatures(encode_items(df, model, keep=[rid] if rid else []), model, rid).persist(level), model, totals)
+    if rid is None:
+        rid = "_row"
+        df = df.withColumn(rid, F.monotonically_increasing_id() + 1)
+    return BitmapLayout(bitmaps.wide_lut(df, model, rid).persist(level), model, totals)

@@ -156,8 +156,8 @@ def fuzzy_labels_lines(spark, sf):
 def membership(spark, sf):
     c = Case(spark, sf, ORDERS)
     x = prof.numeric_value(c.df, "o_totalprice")
-    degrees = [F.round(belonging_degree(x, lab), 9).alias(f"d{lab.label}") for lab in c.model.attributes[0].labels]
-    return c.df.select("o_orderkey", *degrees)
+    labels = c.model.attributes[0].labels
+    return c.df.selectExpr("o_orderkey", *[f"round({belonging_degree(x, lab)}, 9) as d{lab.label}" for lab in labels])
 
 
 def assign_labels(spark, sf):
