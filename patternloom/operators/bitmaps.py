@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from patternloom.model import TableModel
 from patternloom.operators.coverage import coverage_bitmaps
 from patternloom.operators.encode import encode_items, feature_lut
-from patternloom.operators.selection import token_order
+from patternloom.operators.selection import keep_winners, token_order
 
 ATTRIBUTE_CHUNK = 80
 BUCKET_ROWS = 32768
@@ -56,17 +56,14 @@ def token_competition_bitmap(
 ) -> DataFrame:
     """Token competition by running unions: a rule is kept iff its rows add a bit somewhere."""
     ordered = token_order(scored, model)
-    cover = coverage_bitmaps(lut, ordered.select("rule_id", "cls", "masks"), model, max_rules).where("positive is not null")
-    ranked = cover.join(F.broadcast(ordered.select("rule_id", "cls", "token_rank")), "rule_id")
+    bare = ordered.select("rule_id", "cls", "masks", "token_rank")
+    cover = coverage_bitmaps(lut, bare, model, max_rules, ("cls", "token_rank")).where("positive is not null")
     line = Window.partitionBy("bucket", "cls").orderBy("token_rank")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = ranked.withColumn("_tokens", F.bitmap_count(F.bitmap_or_agg("positive").over(upto)))
+    tokens = cover.withColumn("_tokens", F.bitmap_count(F.bitmap_or_agg("positive").over(upto)))
     added = tokens.withColumn("_new", F.col("_tokens") - F.coalesce(F.lag("_tokens").over(line), F.lit(0)))
-    winners = added.where("_new > 0").select("cls", "token_rank").distinct().withColumn("_won", F.lit(1))
-    joined = ordered.join(winners, ["cls", "token_rank"], "left")
-    none = F.max("_won").over(Window.partitionBy("cls")).isNull()
-    kept = joined.withColumn("_none", none).where("_won = 1 or (_none and token_rank = 1)")
-    return kept.select(*scored.columns)
+    winners = added.where("_new > 0").select("cls", "token_rank").distinct()
+    return keep_winners(ordered, winners).select(*scored.columns)
 
 
 def newly_covered_bitmap(
@@ -76,15 +73,11 @@ def newly_covered_bitmap(
     tagged = previous.select("rule_id", "cls", "masks", F.lit(1).alias("_old")).unionByName(
         now.select("rule_id", "cls", "masks", F.lit(0).alias("_old"))
     )
-    numbered = tagged.select(F.struct("_old", "rule_id").alias("_key"), "cls", "masks", "_old")
-    ids = numbered.select(F.to_json("_key").alias("rule_id"), "cls", "masks", "_old")
-    cover = coverage_bitmaps(lut, ids.drop("_old"), model, max_rules).join(
-        F.broadcast(ids.select("rule_id", F.col("cls").alias("rule_cls"), "_old")), "rule_id"
-    )
+    cover = coverage_bitmaps(lut, tagged, model, max_rules, ("cls", "_old"))
     old = F.coalesce(F.bitmap_count(F.bitmap_or_agg(F.when(F.col("_old") == 1, F.col("covered")))), F.lit(0))
     both = F.bitmap_count(F.bitmap_or_agg("covered"))
-    per_bucket = cover.groupBy("bucket", "rule_cls").agg((both - old).alias("n"))
-    return per_bucket.groupBy("rule_cls").agg(F.sum("n").alias("n")).where("n > 0")
+    per_bucket = cover.groupBy("bucket", "cls").agg((both - old).alias("n"))
+    return per_bucket.groupBy(F.col("cls").alias("rule_cls")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _has_bit(bits: str, row: str) -> str:

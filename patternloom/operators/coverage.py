@@ -202,44 +202,48 @@ def covering_pairs(encoded: DataFrame, model: TableModel, where: Column) -> Data
 
 
 def coverage_bitmaps(
-    lut: DataFrame, rules: DataFrame, model: TableModel, max_rules: int | None = None
+    lut: DataFrame, rules: DataFrame, model: TableModel, max_rules: int | None = None, carry=()
 ) -> DataFrame:
-    """``rule_id, bucket, covered, positive`` bitmaps from the feature bitmaps.
+    """``rule_id, carry..., bucket, covered, positive`` bitmaps from the feature bitmaps.
 
     Values of a variable are OR-ed, variables are AND-ed, and the rule's class is one
     more AND for ``positive``. Everything after the lookup is grouped by bucket first,
-    which is how the feature bitmaps are partitioned, so bitmaps are not exchanged.
+    which is how the feature bitmaps are partitioned, so bitmaps are not exchanged. The
+    rule conditions are broadcast; too many of them are taken in slices of bounded size,
+    each one more pass over the bitmaps.
     """
+    n = rules.count() if max_rules is None else max_rules
+    size = n * sum(a.n_values for a in model.attributes) * (40 + 24 * len(carry))
+    slices = 1 + size // BROADCAST_LIMIT
+    if slices == 1:
+        return _coverage_slice(lut, rules, model, carry)
+    place = F.pmod(F.xxhash64("rule_id"), F.lit(slices))
+    parts = [_coverage_slice(lut, rules.where(place == s), model, carry) for s in range(slices)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _coverage_slice(lut: DataFrame, rules: DataFrame, model: TableModel, carry) -> DataFrame:
+    ids = list(dict.fromkeys(["rule_id", *carry, "_need"]))
+    keep = list(dict.fromkeys([*ids, "cls"]))
     classes = F.array(*[F.lit(c) for c in model.classes])
-    known = rules.select("rule_id", "cls", "masks", num_vars("masks", model).alias("_need")).where("_need > 0")
+    known = rules.select(*[c for c in keep if c != "_need"], "masks", num_vars("masks", model).alias("_need")).where("_need > 0")
+    own = (F.array_position(classes, F.col("cls")) - 1).cast("int")
     items = (
-        rule_items(known, model)
-        .select("rule_id", "var", "val")
-        .join(known.select("rule_id", "_need"), "rule_id")
-        .unionByName(
-            known.select(
-                "rule_id",
-                F.lit(-1).alias("var"),
-                (F.array_position(classes, F.col("cls")) - 1).cast("int").alias("val"),
-                "_need",
-            )
-        )
+        rule_items(known, model, keep)
+        .select(*ids, "var", "val")
+        .unionByName(known.select(*ids, F.lit(-1).alias("var"), own.alias("val")))
     )
-    n = rules.count() if max_rules is None else max_rules
-    if n * sum(a.n_values for a in model.attributes) * 40 <= BROADCAST_LIMIT:
-        items = F.broadcast(items)
     per_var = (
-        lut.join(items, ["var", "val"])
-        .groupBy("bucket", "rule_id", "_need", "var")
-        .agg(F.bitmap_or_agg("bits").alias("bits"))
+        lut.join(F.broadcast(items), ["var", "val"]).groupBy("bucket", *ids, "var").agg(F.bitmap_or_agg("bits").alias("bits"))
     )
     attr = F.col("var") >= 0
-    agreed = per_var.groupBy("bucket", "rule_id", "_need").agg(
+    agreed = per_var.groupBy("bucket", *ids).agg(
         F.bitmap_and_agg(F.when(attr, F.col("bits"))).alias("covered"),
         F.bitmap_and_agg("bits").alias("positive"),
         F.sum(attr.cast("int")).alias("_have"),
         F.max((~attr).cast("int")).alias("_cls"),
     )
+    out = [c for c in ids if c != "_need"]
     return agreed.where("_have = _need").select(
-        "rule_id", "bucket", "covered", F.when(F.col("_cls") == 1, F.col("positive")).alias("positive")
+        *out, "bucket", "covered", F.when(F.col("_cls") == 1, F.col("positive")).alias("positive")
     )

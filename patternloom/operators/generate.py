@@ -243,8 +243,9 @@ def reproduce(
     population and ``sizes`` its classes where the caller knows them.
     """
     planned = events(class_sizes(pop) if sizes is None else sizes, probs, seed, gen)
-    couples = tournament_select(pop, planned, seed, gen, 0, max_rules)
-    couples = tournament_select(pop, couples, seed, gen, 1, max_rules)
+    width = 100 + 8 * model.n_words
+    couples = tournament_select(pop, planned, seed, gen, 0, max_rules, width)
+    couples = tournament_select(pop, couples, seed, gen, 1, max_rules, width)
     key, a, b = "concat_ws(':', cls, draw)", "p0_masks", "p1_masks"
     x1, x2 = _npoint(a, b, model, key, seed, gen, min(2, model.n_vars))
     h1, h2 = _hux(a, b, model, key, seed, gen)

@@ -69,18 +69,19 @@ def dedupe_rules(rules: DataFrame, objectives=()) -> DataFrame:
     return firsts.select(*rules.columns)
 
 
-def rule_items(rules: DataFrame, model: TableModel) -> DataFrame:
-    """Long form ``rule_id, cls, var, val`` over participating variables."""
+def rule_items(rules: DataFrame, model: TableModel, carry=("cls",)) -> DataFrame:
+    """Long form ``rule_id, carry..., var, val`` over participating variables."""
+    kept = list(dict.fromkeys(["rule_id", *carry]))
     firsts, sizes = ints(w.first for w in model.words), ints(max(w.bits, 1) for w in model.words)
     zipped = f"explode(arrays_zip(masks, {word_owners(model)}, {firsts}, {sizes}))"
     return (
-        rules.select("rule_id", "cls", normalise("masks", model).alias("masks"))
-        .selectExpr("rule_id", "cls", f"{zipped} as z")
-        .selectExpr("rule_id", "cls", "z.masks as mask", "z.`1` as var", "z.`2` as first", "z.`3` as bits")
+        rules.select(*kept, normalise("masks", model).alias("masks"))
+        .selectExpr(*kept, f"{zipped} as z")
+        .selectExpr(*kept, "z.masks as mask", "z.`1` as var", "z.`2` as first", "z.`3` as bits")
         .where("mask <> 0")
-        .selectExpr("rule_id", "cls", "var", "first", "mask", "explode(sequence(0, bits - 1)) as bit")
+        .selectExpr(*kept, "var", "first", "mask", "explode(sequence(0, bits - 1)) as bit")
         .where("(shiftright(mask, bit) & 1) = 1")
-        .selectExpr("rule_id", "cls", "var", "first + bit as val")
+        .selectExpr(*kept, "var", "first + bit as val")
     )
 
 

@@ -38,15 +38,21 @@ def second_wins(a: str, b: str) -> Column:
 
 
 def tournament_select(
-    pop: DataFrame, draws: DataFrame, seed: int, gen: int, parent: int = 0, max_rules: int | None = None
+    pop: DataFrame,
+    draws: DataFrame,
+    seed: int,
+    gen: int,
+    parent: int = 0,
+    max_rules: int | None = None,
+    row_bytes: int = 200,
 ) -> DataFrame:
     """For each draw ``(cls, draw, size)`` pick two individuals and keep the better one.
 
     Adds ``p{parent}_rule_id`` and ``p{parent}_masks``. ``max_rules`` is the caller's bound
-    on the population; a bounded population is broadcast.
+    on the population and ``row_bytes`` the size of one individual; a population that
+    fits the broadcast limit is broadcast.
     """
-    width = 200
-    small = max_rules is not None and max_rules * width <= BROADCAST_LIMIT
+    small = max_rules is not None and max_rules * row_bytes <= BROADCAST_LIMIT
 
     def slot(side):
         return F.expr(pick("size", seed, gen, "'tournament'", "cls", "draw", parent, f"'{side}'") + " + 1")
@@ -86,13 +92,17 @@ def token_competition(
         .agg(F.min("token_rank").alias("token_rank"))
         .select("cls", "token_rank")
         .distinct()
-        .withColumn("_won", F.lit(1))
     )
-    per_class = Window.partitionBy("cls")
-    joined = ordered.join(winners, ["cls", "token_rank"], "left")
-    none = F.max("_won").over(per_class).isNull()
-    kept = joined.withColumn("_none", none).where("_won = 1 or (_none and token_rank = 1)")
-    return kept.select(*scored.columns)
+    return keep_winners(ordered, winners).select(*scored.columns)
+
+
+def keep_winners(ordered: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rules whose ``cls, token_rank`` won, and the first rule of classes without winners."""
+    firsts = ordered.select("cls").distinct().select("cls", F.lit(1).alias("token_rank"), F.lit(0).alias("_won"))
+    either = winners.withColumn("_won", F.lit(1)).unionByName(firsts)
+    anyone = F.max("_won").over(Window.partitionBy("cls"))
+    chosen = either.withColumn("_any", anyone).where("_won = 1 or _any = 0").select("cls", "token_rank")
+    return ordered.join(chosen, ["cls", "token_rank"], "left_semi")
 
 
 def measure_filter(
@@ -103,16 +113,17 @@ def measure_filter(
     Best means the first measure, then the token order.
     """
     ok = reduce(lambda a, b: a & b, [measure(m) >= t for m, t in conditions])
-    first = measure(conditions[0][0])
-    order = Window.partitionBy(by).orderBy(
-        F.col("_ok").desc(),
-        first.desc(),
-        F.round("WRAccNorm", 12).desc(),
-        num_active("masks", model),
-        F.col("rule_id"),
+    order = F.struct(
+        (-measure(conditions[0][0])).alias("_1"),
+        (-F.round("WRAccNorm", 12)).alias("_2"),
+        num_active("masks", model).alias("_3"),
+        F.col("rule_id").alias("_4"),
     )
-    ranked = scored.withColumn("_ok", ok).withColumn("_n", F.row_number().over(order))
-    return ranked.where("_ok or _n = 1").drop("_ok", "_n")
+    judged = scored.withColumn("_ok", ok)
+    # One grouped minimum per class instead of sorting the class.
+    best = judged.groupBy(by).agg(F.max("_ok").alias("_any"), F.min_by("rule_id", order).alias("_best"))
+    joined = judged.join(best, by)
+    return joined.where("_ok or (not _any and rule_id = _best)").select(*scored.columns)
 
 
 def better_set(current: DataFrame, challenger: DataFrame, by: str = "cls") -> DataFrame:

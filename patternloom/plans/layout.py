@@ -1,6 +1,6 @@
 """Where the encoded rows live during a search, behind one interface.
 
-``rows``     encoded rows merged into weighted signatures where that pays, else kept;
+``rows``     encoded rows merged into weighted signatures;
 ``bitmaps``  one bitmap per feature and bucket of rows, for very many attributes.
 """
 
@@ -44,9 +44,8 @@ class RowLayout:
         )
         keys = ["cls", *self.model.mask_columns]
         hits = match_rules(self.encoded, tagged, self.model, ["n", *keys], ("_old",), max_rules)
-        # Signatures are unique by class and masks; single rows are not, so weights are summed.
-        per_row = hits.groupBy("rule_cls", *keys, "rule_id", "_old").agg(F.sum("n").alias("n"))
-        first = per_row.groupBy("rule_cls", *keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
+        # Signatures are unique by class and masks, so their weight is the same on every hit.
+        first = hits.groupBy("rule_cls", *keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
         return first.where("_old = 0").groupBy("rule_cls").agg(F.sum("n").alias("n"))
 
     def uncovered_pairs(self, rules, classes, max_rules=None) -> DataFrame:

@@ -123,6 +123,26 @@ def test_large_rule_index_is_joined_by_salted_shuffle(spark, table, model, rows,
     assert ordered(df) == brute_counts(model, listed, rows)
 
 
+def test_many_rules_are_taken_in_slices_of_bitmaps(spark, table, model, rows, monkeypatch):
+    listed = listed_rules(model)
+    rules = rules_table(spark, model, listed)
+    monkeypatch.setattr(cov, "BROADCAST_LIMIT", len(listed) * sum(a.n_values for a in model.attributes) * 15)
+    lut = wide_lut(table, model, "no").cache()
+    got = contingency_bitmap(lut, rules, model, class_totals=dict(zip(model.classes, model.class_counts)))
+    assert ordered(got) == brute_counts(model, listed, rows)
+
+
+def test_attributes_in_several_chunks(spark, table, model, rows, monkeypatch):
+    from patternloom.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "ATTRIBUTE_CHUNK", 2)
+    listed = listed_rules(model)
+    got = contingency_bitmap(
+        wide_lut(table, model, "no"), rules_table(spark, model, listed), model, encoded=encode_items(table, model)
+    )
+    assert ordered(got) == brute_counts(model, listed, rows)
+
+
 def test_unseen_values_and_classes(spark, table, model):
     other = table.limit(5).withColumn("tag", F.lit("never")).withColumn("kind", F.lit("new"))
     rules = rules_table(spark, model, [("hot", {3: [1]}), ("hot", {3: list(range(130))}), ("hot", {0: [0, 1]})])
@@ -195,9 +215,8 @@ def test_newly_covered_and_first_uncovered(spark, table, model, rows):
             want[cls] = len(fresh)
     lut = wide_lut(table, model, "no").cache()
     assert {r["rule_cls"]: r["n"] for r in newly_covered_bitmap(lut, old, now, model).collect()} == want
-    for encoded in (compact(table, model, "no"), encode_items(table, model)):
-        layout = RowLayout(encoded, model, {})
-        assert {r["rule_cls"]: r["n"] for r in layout.newly_covered(old, now).collect()} == want
+    layout = RowLayout(signatures(encode_items(table, model), model), model, {})
+    assert {r["rule_cls"]: r["n"] for r in layout.newly_covered(old, now).collect()} == want
 
     cls = "cold"
     own = [model.mask(cond) for c, cond in listed[:8] if c == cls]
