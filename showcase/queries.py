@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.functions.fuzzy import belonging_degree, fuzzy_labels, label_text
-from patternloom.functions.hashing import pick, uniform
-from patternloom.functions.masks import num_active
+from patternloom.functions.hashing import uniform
 from patternloom.functions.measures import MEASURES, measure_violations, with_measures
 from patternloom.operators import coverage as cov
 from patternloom.operators import generate as gen
@@ -97,7 +96,7 @@ class Case:
 # -- sources and profile ------------------------------------------------------
 
 
-def arff_roundtrip(spark, sf):
+def arff_roundtrip(spark: SparkSession, sf: str):
     df = ORDERS.load(spark, sf).select("o_totalprice", "o_orderpriority", "o_orderstatus")
     folder = f"{ensure_checkpoint_dir(spark)}/arff-{uuid.uuid4().hex}"
     header = ["@relation orders", "@attribute o_totalprice real", "@attribute o_orderpriority string"]

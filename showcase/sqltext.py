@@ -1,4 +1,4 @@
-"""Pieces of SQL shared by the reference queries: encoding, rules, matching, hashing."""
+"""Pieces of SQL shared by the plain SQL queries: encoding, rules, matching, hashing."""
 
 from __future__ import annotations
 
