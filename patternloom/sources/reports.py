@@ -20,8 +20,12 @@ def rule_number() -> Column:
 
 
 def _six(c: Column) -> Column:
-    return F.when(c == float("inf"), F.lit("INFINITY")).when(F.isnan(c), F.lit("NaN")).otherwise(
-        F.format_string("%.6f", c)
+    """Six decimals; noise around zero, whose sign depends on summing order, prints as plain zero."""
+    settled = F.round(c, 9) + F.lit(0.0)
+    return (
+        F.when(c == float("inf"), F.lit("INFINITY"))
+        .when(F.isnan(c), F.lit("NaN"))
+        .otherwise(F.format_string("%.6f", settled))
     )
 
 

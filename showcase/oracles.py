@@ -241,7 +241,8 @@ SHORT = {
 
 
 def six(x):
-    return f"CASE WHEN {x} = 'inf'::DOUBLE THEN 'INFINITY' WHEN isnan({x}) THEN 'NaN' ELSE printf('%.6f', {x}) END"
+    # Nine places first and no negative zero: the sign of a noise zero depends on summing order.
+    return f"CASE WHEN {x} = 'inf'::DOUBLE THEN 'INFINITY' WHEN isnan({x}) THEN 'NaN' ELSE printf('%.6f', round({x}, 9) + 0::DOUBLE) END"
 
 
 def rule_key(n):
