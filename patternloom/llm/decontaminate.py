@@ -24,8 +24,8 @@ from patternloom.session import ship
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20  # of benchmark text searched in one pass
-SHARD_BYTES = 6 << 20  # of document text under one index
-LOCATE = 1 << 20  # hits located at once
+SHARD_BYTES = 2 << 20  # of document text under one index
+LOCATE = 1 << 18  # hits located at once
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

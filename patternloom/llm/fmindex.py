@@ -10,12 +10,12 @@ SAMPLE = 16  # one text position in so many is kept
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order; prefixes double, and only ties are sorted again."""
     n = len(text)
-    bits = max(1, int(text.max()).bit_length()) if n else 1
+    bits = (int(text.max()) + 1).bit_length() if n else 1
     depth = max(1, 62 // bits)
     key = np.zeros(n, np.int64)
     for j in range(depth):
         key <<= bits
-        key[: n - j] |= text[j:] if j < n else 0
+        key[: max(0, n - j)] |= text[j:] + 1  # 0 stands for the end
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
 

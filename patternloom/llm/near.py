@@ -295,9 +295,9 @@ def near_groups(
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component; only texts whose id may be dropped are moved."""
+    """``docs`` with one document of each component, and all rows without id; only texts whose id may be dropped are moved."""
     groups = cut_lineage(near_groups(docs, id_col, **options))
-    dropped = groups.where("not kept").select(F.col(id_col).alias("_near_id")).distinct()
+    dropped = groups.where(F.expr("not kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_near_id")).distinct()
     held = sieve(dropped.select(F.xxhash64("_near_id").alias("key")))
     flagged = passes(docs, F.xxhash64(F.col(id_col)), held, "_near_maybe")
     maybe = flagged.where("_near_maybe").join(dropped, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_anti")

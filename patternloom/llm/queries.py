@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.decontaminate import find_contamination
 from patternloom.llm.exact import find_copies
 from patternloom.llm.langid import fit, held_out, identify
+from patternloom.llm.licenses import scan_licenses
 from patternloom.llm.mixing import mix_sources
 from patternloom.llm.near import near_groups
+from patternloom.llm.pages import extract_text, train_weights
+from patternloom.llm.pii import KINDS, find_personal_data, listed, train_field
+from patternloom.llm.roles import repair_roles
+from patternloom.llm.rollup import BytePairs, Rollup, Runs, count_tokens, deletes, inserts, revisions
+from patternloom.session import cut_lineage, ensure_checkpoint_dir
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WHITE_SPACE, WORD_RUNS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +38,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     aside = held_out(F.col("doc_id"))
@@ -40,6 +54,53 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(docs, every_digest=True).withColumnRenamed("digest", "text_sha256")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = find_personal_data(docs, train_field(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    best = F.array_max(F.transform("licenses", lambda x: F.struct(x["coverage"], x["license"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        best["license"].alias("license"),
+        best["coverage"].alias("coverage"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",").alias("spans"),
+    )
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Totals after four batches: all documents, the same again, without exact copies, words counted anew."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rollup = Rollup.create(spark, f"{ensure_checkpoint_dir(spark)}/rollup/{uuid.uuid4().hex}")
+    counted = count_tokens(docs, {"words": Runs(WHITE_SPACE), "bpe-50k": BytePairs(tokenizer)})
+    again = count_tokens(docs, {"words": Runs(WORD_RUNS)}).withColumnRenamed("n_tokens", "new_tokens")
+    kept = find_copies(docs).select(F.col("doc_id").alias("id"), "kept")
+    counted, again, kept = cut_lineage(counted), cut_lineage(again.select("id", "new_tokens")), cut_lineage(kept)
+    rollup.commit("load", inserts(counted))
+    rollup.commit("load", inserts(counted))
+    rollup.commit("copies", deletes(counted.join(kept.where("not kept"), "id", "left_semi")))
+    stay = counted.where("version = 'words'").join(kept.where("kept"), "id", "left_semi")
+    rollup.commit("recount", revisions(stay.join(again, "id")))
+    return rollup.totals()
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    texts = extract_text(pages.select("page_id", "url", "html"), train_weights(pages))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, similarity=0.8)
 
@@ -51,7 +112,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_exact_dedup, op9_near_dedup, op10_mix_sources)
+    f.__name__: f for f in (
+        op1_decontaminate, op2_role_repair, op3_language_id, op4_exact_dedup, op5_personal_data,
+        op6_license_scan, op7_token_rollup, op8_main_text, op9_near_dedup, op10_mix_sources,
+    )
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes hashed at once
-SLICE = 1 << 22  # bytes of documents handled together; a longer document is a slice of its own
+CHUNK = 1 << 18  # bytes hashed at once
+SLICE = 1 << 20  # bytes of documents handled together; a longer document is a slice of its own
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
