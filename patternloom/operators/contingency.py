@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,8 @@ def _assemble(rules: DataFrame, hits: DataFrame, encoded: DataFrame, class_total
         positives = F.coalesce("n_cls", F.lit(0))
     else:
         n_total = F.lit(sum(class_totals.values())).cast("bigint")
-        positives = F.lit(0)
-        for c, n in class_totals.items():
-            positives = F.when(F.col("cls") == c, F.lit(n)).otherwise(positives)
-        positives = positives.cast("bigint")
+        held = F.from_json(F.lit(json.dumps(class_totals)), "map<string,bigint>")
+        positives = F.coalesce(F.try_element_at(held, F.col("cls")), F.lit(0)).cast("bigint")
     covered, tp = F.coalesce("covered", F.lit(0)), F.coalesce("tp", F.lit(0))
     return joined.select(
         *rules.columns,

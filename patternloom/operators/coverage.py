@@ -164,15 +164,18 @@ def cover_count(a: DataFrame) -> DataFrame:
 def cover_flags(encoded: DataFrame, rule_sets: dict[str, DataFrame], model: TableModel, keep=("cls", "n"), max_rules=None):
     """For each encoded row, is it covered by some rule of each named set?
 
-    One matching pass for all sets; rows covered by none of them are absent.
-    ``keep`` has to identify the encoded row, so the mask columns are included.
+    One matching pass for all sets; rows covered by none of them are absent. Rows equal in
+    ``keep`` and masks are merged first and ``n`` is their sum, so that merged and unmerged
+    tables give the same.
     """
     tagged = reduce(
         lambda a, b: a.unionByName(b),
         [r.select("rule_id", "cls", "masks", F.lit(name).alias("_set")) for name, r in rule_sets.items()],
     )
-    keys = list(dict.fromkeys([*keep, *model.mask_columns]))
-    hits = match_rules(encoded, tagged, model, keep=keys, carry=("_set",), max_rules=max_rules)
+    by = [k for k in dict.fromkeys([*keep, *model.mask_columns]) if k != "n"]
+    merged = encoded.groupBy(*by).agg(F.sum("n").alias("n"))
+    keys = [*by, "n"]
+    hits = match_rules(merged, tagged, model, keep=keys, carry=("_set",), max_rules=max_rules)
     flags = [F.max((F.col("_set") == name).cast("int")).alias(name) for name in rule_sets]
     return hits.groupBy(*keys).agg(*flags)
 

@@ -15,8 +15,6 @@ from patternloom.model import Attribute, TableModel
 from patternloom.operators.profile import numeric_value, quoted
 
 SMALL_DOMAIN = 60
-# Signatures are merged without a scan-time estimate up to this many distinct ones.
-SIGNATURE_LIMIT = 1 << 20
 LUT_CHUNK = 240
 
 
@@ -102,15 +100,8 @@ def signatures(encoded: DataFrame, model: TableModel, rid: str | None = None) ->
 
 
 def compact(df: DataFrame, model: TableModel, rid: str | None = None) -> DataFrame:
-    """Encode, and merge rows where the model proves that few signatures exist.
-
-    The bound is the product of the masks each attribute can hold, so no pass over
-    the data is needed to choose; beyond it rows are kept as they are.
-    """
-    encoded = encode_items(df, model, keep=[rid] if rid else [])
-    if model.signature_bound <= SIGNATURE_LIMIT:
-        return signatures(encoded, model, rid)
-    return encoded.withColumnRenamed(rid, "first_rid") if rid else encoded
+    """Encode, and merge equal rows; partial sums are made before the shuffle."""
+    return signatures(encode_items(df, model, keep=[rid] if rid else []), model, rid)
 
 
 def items_long(encoded: DataFrame, model: TableModel, keep=("cls", "n")) -> DataFrame:

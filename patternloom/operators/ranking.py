@@ -7,6 +7,7 @@ distinct objective vectors, so copies of a rule cost nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
 import numpy as np
@@ -14,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patternloom.session import cut_lineage
+from patternloom.session import cut_lineage, ship
 
 DECIMALS = 12
 # Distinct vectors of one group that a single task may rank; beyond it, work is split.
 GROUP_LIMIT = 20_000
+# The same for two objectives, which need a sort and one bisection per vector (16 bytes each).
+PAIR_LIMIT = 4_000_000
 BANDS = 64
 
 
@@ -72,11 +75,14 @@ def _skyline(values: np.ndarray) -> np.ndarray:
     """Flags of the non-dominated rows of a matrix of distinct vectors."""
     order = np.lexsort(tuple(-values[:, k] for k in range(values.shape[1] - 1, -1, -1)))
     keep = np.zeros(len(values), bool)
-    front = np.empty((0, values.shape[1]))
+    front, size = np.empty((16, values.shape[1])), 0
     for i in order:
-        if not len(front) or not (front >= values[i]).all(axis=1).any():
+        if not (front[:size] >= values[i]).all(axis=1).any():
             keep[i] = True
-            front = np.vstack([front, values[i]])
+            if size == len(front):
+                front = np.concatenate((front, np.empty_like(front)))
+            front[size] = values[i]
+            size += 1
     return keep
 
 
@@ -96,6 +102,7 @@ def _thin(points: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 
 def _front_many(points: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Front of distinct k-vectors: thin locally, then finish per group, or sieve in slices."""
+    ship(points.sparkSession)
     left = cut_lineage(_thin(points, by, names))
     widest = left.groupBy(*by).count().agg(F.max("count")).head()[0] or 0
     if widest <= GROUP_LIMIT:
@@ -109,20 +116,11 @@ def _front_many(points: DataFrame, by: list[str], names: list[str]) -> DataFrame
     left = cut_lineage(left.withColumn("_slice", F.pmod(F.xxhash64(*by, *names), F.lit(n_slices))))
     result = left
     for s in range(n_slices):
-        rows = left.where(F.col("_slice") == s).select(*by, *names).toPandas()
-        groups = {k: g[names].to_numpy() for k, g in rows.groupby(by, dropna=False)}
-
-        def sieve(batches, groups=groups):
-            for pdf in batches:
-                for k, part in pdf.groupby(by, dropna=False, sort=False):
-                    rivals, own = groups.get(k), part[names].to_numpy()
-                    if rivals is None:
-                        yield part
-                        continue
-                    lost = [((rivals >= v).all(axis=1) & (rivals > v).any(axis=1)).any() for v in own]
-                    yield part[~np.array(lost, bool)]
-
-        result = result.mapInPandas(sieve, left.schema)
+        # A slice holds about GROUP_LIMIT vectors, a bound that its broadcast may rely on.
+        rivals = left.where(F.col("_slice") == s).select(*[F.col(c).alias(f"_r{c}") for c in [*by, *names]])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in by], F.lit(True))
+        beaten = dominates([F.col(f"_r{c}") for c in names], [F.col(c) for c in names])
+        result = result.join(F.broadcast(rivals), same & beaten, "left_anti")
     return result.drop("_slice")
 
 
@@ -152,6 +150,16 @@ def _rank_group(values: np.ndarray) -> np.ndarray:
     """
     order = np.lexsort(tuple(-values[:, k] for k in range(values.shape[1] - 1, -1, -1)))
     rank = np.zeros(len(values), np.int32)
+    if values.shape[1] <= 2:
+        # With two objectives a front holds a vector as good iff its largest second value is as large.
+        tops: list[float] = []  # negated, ascending
+        for i, second in zip(order, -values[order, -1]):
+            rank[i] = front = bisect_right(tops, second)
+            if front == len(tops):
+                tops.append(second)
+            else:
+                tops[front] = second
+        return rank
     fronts: list[list[int]] = []
     for i in order:
         lo, hi = 0, len(fronts)
@@ -179,7 +187,14 @@ def nondominated_rank(
     Rows beyond ``max_rank`` get a null rank.
     """
     keys = _keys(by)
+    ship(df.sparkSession)
     full, names = _with_vector(df, objectives, minimise)
+    if len(names) == 1:
+        line = Window.partitionBy(*keys).orderBy(F.desc(names[0]))
+        number = F.dense_rank().over(line) - 1
+        number = number if max_rank is None else F.when(number <= max_rank, number)
+        return full.withColumn("rank", number.cast("int")).drop(*names)
+    limit = PAIR_LIMIT if len(names) == 2 else GROUP_LIMIT
     if group_bound is not None and group_bound <= GROUP_LIMIT:
         # Small groups: whole rows go to one task each, which saves joining the ranks back.
         schema = df.withColumn("rank", F.lit(0)).schema
@@ -196,7 +211,7 @@ def nondominated_rank(
     if group_bound is None:
         points = cut_lineage(points)
         group_bound = points.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-    if group_bound <= GROUP_LIMIT:
+    if group_bound <= limit:
         schema = points.withColumn("rank", F.lit(0)).schema
 
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:

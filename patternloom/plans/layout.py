@@ -16,20 +16,28 @@ from patternloom.model import TableModel
 from patternloom.operators import bitmaps
 from patternloom.operators.contingency import contingency, contingency_bitmap
 from patternloom.operators.coverage import match_rules, uncovered
-from patternloom.operators.encode import SIGNATURE_LIMIT, encode_items, items_long, signatures
+from patternloom.operators.encode import encode_items, items_long, signatures
+from patternloom.operators.profile import quoted
 from patternloom.operators.selection import token_competition
+from patternloom.session import cut_lineage
+from patternloom.sources.row_index import with_row_index
 
 # Above this many mask words one projection per row gets too wide to compile.
 WIDE_WORDS = 256
+# Up to so many possible signatures rows are merged without an estimate.
+FEW_SIGNATURES = 1 << 20
 # Merging has to shrink the table at least this many times to be preferred to bitmaps.
 MERGE_FACTOR = 16
 
 
 @dataclass
 class RowLayout:
+    """``encoded`` may hold equal rows several times unless ``merged``."""
+
     encoded: DataFrame
     model: TableModel
     class_totals: dict[str, int]
+    merged: bool = False
 
     def counts(self, rules, max_rules=None):
         return contingency(self.encoded, rules, self.model, max_rules, self.class_totals)
@@ -43,7 +51,8 @@ class RowLayout:
             now.select("rule_id", "cls", "masks", F.lit(0).alias("_old"))
         )
         keys = ["cls", *self.model.mask_columns]
-        hits = match_rules(self.encoded, tagged, self.model, ["n", *keys], ("_old",), max_rules)
+        rows = self.encoded if self.merged else signatures(self.encoded, self.model)
+        hits = match_rules(rows, tagged, self.model, ["n", *keys], ("_old",), max_rules)
         # Signatures are unique by class and masks, so their weight is the same on every hit.
         first = hits.groupBy("rule_cls", *keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
         return first.where("_old = 0").groupBy("rule_cls").agg(F.sum("n").alias("n"))
@@ -85,27 +94,34 @@ class BitmapLayout:
         self.lut.unpersist()
 
 
+def content_order(model: TableModel, name: str = "_order"):
+    """A hash of what a row holds: an order of the rows that no layout or partitioning changes."""
+    return F.xxhash64(*[F.col(quoted(a.name)) for a in model.attributes], F.col(quoted(model.class_col))).alias(name)
+
+
 def prepare(df: DataFrame, model: TableModel, layout: str = "auto", rid: str | None = None):
     """Encode the table once and persist it in the layout that suits it.
 
-    Few possible signatures: merge, no estimate needed. Otherwise one approximate
-    distinct count over the encoded rows decides whether merging pays; where it does not,
-    bitmaps serve, as they test 64 rows at a time. Without a row number ``rid`` counting
-    from 1 the bitmaps number rows by partition, which needs an input that gives the same
-    partitions whenever it is read, as file scans do.
+    ``auto`` merges rows if few signatures are possible or an approximate distinct count
+    shows that merging pays; otherwise bitmaps serve, as they test 64 rows at a time. Both give the
+    same results: rows are ordered by ``rid`` or else by a hash of their content. Bitmaps need
+    numbers without gaps; rows are numbered in that order, once, and written before they are sliced.
     """
     totals = dict(zip(model.classes, model.class_counts))
     level = StorageLevel.MEMORY_AND_DISK
+    order = rid or "_order"
+    if rid is None:
+        df = df.select("*", content_order(model))
     if layout == "auto" and model.n_words <= WIDE_WORDS:
-        encoded = encode_items(df, model, keep=[rid] if rid else [])
-        merged = signatures(encoded, model, rid)
-        if model.signature_bound <= SIGNATURE_LIMIT:
-            return RowLayout(merged.persist(level), model, totals)
-        seen = encoded.agg(F.approx_count_distinct(F.xxhash64("cls", *model.mask_columns))).head()[0]
-        layout = "rows" if seen * MERGE_FACTOR <= model.n_rows else "bitmaps"
+        few = model.signature_bound <= FEW_SIGNATURES
+        if not few:
+            seen = encode_items(df, model).agg(F.approx_count_distinct(F.xxhash64("cls", *model.mask_columns))).head()[0]
+            few = seen * MERGE_FACTOR <= model.n_rows
+        layout = "rows" if few else "bitmaps"
     if layout == "rows":
-        return RowLayout(signatures(encode_items(df, model, keep=[rid] if rid else []), model, rid).persist(level), model, totals)
-    if rid is None:
-        rid = "_row"
-        df = df.withColumn(rid, F.monotonically_increasing_id() + 1)
-    return BitmapLayout(bitmaps.wide_lut(df, model, rid).persist(level), model, totals)
+        merged = signatures(encode_items(df, model, keep=[order]), model, order)
+        return RowLayout(merged.persist(level), model, totals, merged=True)
+    names = dict.fromkeys([*[a.name for a in model.attributes], model.class_col])
+    wanted = df.select(*[F.col(quoted(n)) for n in names], F.col(quoted(order)).alias("_at"))
+    numbered = cut_lineage(with_row_index(wanted.repartitionByRange("_at").sortWithinPartitions("_at"), 1, "_row").drop("_at"))
+    return BitmapLayout(bitmaps.wide_lut(numbered, model, "_row").persist(level), model, totals)

@@ -137,7 +137,7 @@ class PatternMiner:
 
     def _search(self, spark, model: TableModel, layout) -> MinedPatterns:
         size = self.individuals * len(model.classes)
-        start = init_random if self.init == "random" else init_oriented
+        start = {"random": init_random, "oriented": init_oriented}[self.init]
         pop = cut_lineage(self._unranked(self._score(layout, start(spark, model, size, self.seed), size)))
         probs = {op: 1.0 / len(OPERATORS) for op in OPERATORS}
         elite, previous, gen, used = None, None, 0, size
@@ -165,6 +165,8 @@ class PatternMiner:
             now_keys = {(r["a"], r["b"]) for r in report if r["count"] < 0}
             changed = changed_classes(layout, previous, front, fresh_classes(front_keys, now_keys), size)
             previous, front_keys = front, now_keys
+            if elite is None:  # the first population is the elite of every class
+                elite = pop.select(*self._columns())
             restarted = []
             for c in model.classes:
                 if c in changed:
@@ -175,9 +177,6 @@ class PatternMiner:
                 pop, elite = self.reinitialise(layout, pop, elite, restarted, gen)
                 last_change.update(dict.fromkeys(restarted, used))
                 used += size * len(restarted)
-            if elite is None:
-                elite = pop.select(*self._columns())
-
             used += size
             total = sum(max(credits.get(op, 0), CREDIT_FLOOR) for op in OPERATORS)
             probs = {op: max(credits.get(op, 0), CREDIT_FLOOR) / total for op in OPERATORS}
@@ -194,7 +193,7 @@ class PatternMiner:
         kept = layout.token_competition(joint, bound)
         return pareto_front(kept, self.objectives, "cls", self.minimise)
 
-    def reinitialise(self, layout, pop: DataFrame, elite: DataFrame | None, classes: list[str], gen: int):
+    def reinitialise(self, layout, pop: DataFrame, elite: DataFrame, classes: list[str], gen: int):
         """Renew the populations of some classes; their elite improves if diversity does.
 
         A class with uncovered rows restarts from the features of the first of them, any
@@ -202,8 +201,7 @@ class PatternMiner:
         """
         cols, n = self._columns(), self.individuals * len(classes)
         mine = F.col("cls").isin(classes)
-        elite_mine = None if elite is None else elite.where(mine)
-        chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite_mine, 3 * n))
+        chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite.where(mine), 3 * n))
         elite = self.update_elite(elite, chosen, classes)
 
         number = F.lit(gen).cast("bigint") * (1 << 24) + (1 << 23) + F.col("rule_no")
@@ -224,10 +222,8 @@ class PatternMiner:
         fresh.unpersist()
         return pop, elite
 
-    def update_elite(self, elite: DataFrame | None, chosen: DataFrame, classes: list[str]) -> DataFrame:
+    def update_elite(self, elite: DataFrame, chosen: DataFrame, classes: list[str]) -> DataFrame:
         cols = self._columns()
-        if elite is None:
-            return chosen.select(*cols)
         mine = F.col("cls").isin(classes)
         best = better_set(elite.where(mine).select(*cols), chosen.select(*cols))
         return cut_lineage(elite.where(~mine).select(*cols).unionByName(best))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patternloom.session import cut_lineage
+
 
 def with_row_index(df: DataFrame, offset: int = 0, name: str = "index") -> DataFrame:
     """Add ``name`` = offset, offset + 1, ... in partition order.
 
-    Rows are numbered inside their partition without moving; only one count per
-    partition is gathered and turned into starting points. The plan below ``df`` has to
-    give the same partitions twice, as file scans do; put a checkpoint before it
-    otherwise.
+    Rows are numbered inside their partition without moving and written to the shared
+    folder, so that ``df`` is evaluated once and may be of any kind; then one count per
+    partition is gathered and turned into starting points.
     """
-    local = df.withColumn("_id", F.monotonically_increasing_id())
+    local = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
     local = local.withColumns(
         {"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
     ).drop("_id")

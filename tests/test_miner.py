@@ -1,9 +1,17 @@
 """Whole runs: the planted rule is found, runs repeat, both layouts work."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from patternloom.operators.profile import build_model
+from patternloom.operators.rules import rules_table
+from patternloom.plans.layout import prepare
 from patternloom.plans.miner import PatternMiner
 
 
@@ -49,6 +57,52 @@ def test_bitmap_layout_gives_the_same_counts(planted):
     assert got == again
 
 
+def test_layouts_and_partitions_restart_alike(planted):
+    """Without row numbers too, every layout restarts from the same uncovered row."""
+    df = planted.drop("no")
+    model = build_model(df, "kind", ["a", "b", "d"], ["c"], 3)
+    rules = rules_table(df.sparkSession, model, [("hot", {0: [2]}), ("cold", {3: [1]})])
+    found = set()
+    for layout in ("rows", "bitmaps"):
+        for frame in (df, df.repartition(7)):
+            laid = prepare(frame, model, layout)
+            pairs = laid.uncovered_pairs(rules, model.classes).collect()
+            found.add(tuple(sorted(map(tuple, pairs))))
+            laid.release()
+    assert len(found) == 1 and len(next(iter(found))) >= 4
+
+
+def test_input_of_any_kind_is_numbered_once(spark, planted):
+    """A shuffled join and more features than one slice holds."""
+    keys = spark.range(1, 1501).select(F.col("id").alias("no"), F.concat(F.lit("v"), F.col("id") % 300).alias("v"))
+    df = planted.repartition(5).join(keys.repartition(3), "no").drop("no")
+    model = build_model(df, "kind", ["a"], ["c", "v"], 3)
+    rules = rules_table(spark, model, [("hot", {2: list(range(0, 300, 2)), 0: [2]}), ("cold", {1: [1], 2: [5, 299]}), ("hot", {1: [1]})])
+    got = [sorted(map(tuple, prepare(df, model, k).counts(rules).drop("masks").collect())) for k in ("rows", "bitmaps")]
+    assert got[0] == got[1]
+
+
+def test_workers_far_from_the_source_have_the_package(tmp_path):
+    """A job started from another folder, without the source on its workers' path."""
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from patternloom.session import local_session\n"
+        "from patternloom.operators.ranking import nondominated_rank\n"
+        "spark = local_session(1)\n"
+        "df = spark.createDataFrame([(1, 'a', 1.0, 2.0), (2, 'a', 0.5, 1.0)], 'rule_id long, cls string, x double, y double')\n"
+        "print(sorted(r['rank'] for r in nondominated_rank(df, ('x', 'y'), group_bound=2).collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("[0, 1]"), done.stderr[-2000:]
+
+
+def test_unknown_start_is_refused(planted):
+    with pytest.raises(KeyError):
+        miner(init="anything").fit(planted)
+
+
 def test_restarts_and_random_start(planted):
     found = miner(individuals=8, evaluations=200, init="random", objectives=("Confidence", "TPR")).fit(planted)
     assert found.history[-1]["evaluations"] >= 200

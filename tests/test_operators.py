@@ -215,8 +215,12 @@ def test_newly_covered_and_first_uncovered(spark, table, model, rows):
             want[cls] = len(fresh)
     lut = wide_lut(table, model, "no").cache()
     assert {r["rule_cls"]: r["n"] for r in newly_covered_bitmap(lut, old, now, model).collect()} == want
-    layout = RowLayout(signatures(encode_items(table, model), model), model, {})
-    assert {r["rule_cls"]: r["n"] for r in layout.newly_covered(old, now).collect()} == want
+    for encoded, merged in ((compact(table, model), True), (encode_items(table, model), False)):
+        layout = RowLayout(encoded, model, {}, merged)
+        assert {r["rule_cls"]: r["n"] for r in layout.newly_covered(old, now).collect()} == want
+    flags = [cov.cover_flags(e, {"old": old, "now": now}, model) for e in (compact(table, model), encode_items(table, model))]
+    summed = [sorted(map(tuple, f.groupBy("cls", "old", "now").agg(F.sum("n")).collect())) for f in flags]
+    assert summed[0] == summed[1]
 
     cls = "cold"
     own = [model.mask(cond) for c, cond in listed[:8] if c == cls]
@@ -366,3 +370,27 @@ def test_predicates_work_on_streams(spark, table, model, tmp_path):
     q = stream.writeStream.format("memory").queryName("hits").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("hits").count() == table.where(rule_predicate(model, masks)).count() > 0
+
+
+def test_many_distinct_vectors_of_one_effective_objective(spark):
+    """Every vector is a front of its own; ranks come from bounded work."""
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("rule_id"), F.lit("a").alias("cls"), (F.col("id") / n).alias("x"), (F.col("id") / (2 * n)).alias("y"))
+    for objectives in (("x", "y"), ("x",)):
+        ranked = ranking.nondominated_rank(df, objectives)
+        assert ranked.where(F.col("rank") != n - 1 - F.col("rule_id")).count() == 0
+        assert ranking.nondominated_rank(df, objectives, max_rank=2).where("rank is not null").count() == 3
+
+
+def test_large_front_of_three_is_sieved_in_slices(spark, monkeypatch):
+    rnd = random.Random(9)
+    points = [(i, rnd.choice("ab"), *(rnd.randrange(12) / 8 for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(points, "rule_id long, cls string, x double, y double, z double").repartition(4)
+    want = {
+        p[0]
+        for p in points
+        if not any(o[1] == p[1] and all(a >= b for a, b in zip(o[2:], p[2:])) and o[2:] != p[2:] for o in points)
+    }
+    for limit in (20_000, 20):
+        monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
+        assert {r["rule_id"] for r in ranking.pareto_front(df, ("x", "y", "z")).collect()} == want
