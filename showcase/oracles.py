@@ -401,6 +401,63 @@ def _better_set():
     )
 
 
+def _elite_and_pairs():
+    """``sa``: one-feature rules numbered from 100,000; ``sb``: the pairs; both scored."""
+    b = LINES
+    names = [*TRADE_OFF, "WRAccNorm"]
+    return [
+        *q.enc_ctes(b), q.sig_cte(b), *q.pair_ctes(b, "pairs"),
+        ("singles", f"SELECT * REPLACE (rule_id + 100000 AS rule_id) FROM ({q.single_ctes(b)[2][1]})"),
+        *q.norm_ctes(b, "pairs", "npairs"),
+        ("nsingles", q.norm_ctes(b, "singles", "x")[1][1]),
+        *q.count_ctes(b, "nsingles", "ca"), *q.count_ctes(b, "npairs", "cb"),
+        q.scored_cte(names, "ca", "sa"), q.scored_cte(names, "cb", "sb"),
+    ]
+
+
+def _pick(current, challenger):
+    """``chosen``: per class the set with the higher mean WRAccNorm, then the smaller, then the current."""
+    return [
+        ("ma", f"SELECT cls, round(avg(WRAccNorm), 12) AS m, count(*) AS n FROM {current} GROUP BY cls"),
+        ("mb", f"SELECT cls, round(avg(WRAccNorm), 12) AS m, count(*) AS n FROM {challenger} GROUP BY cls"),
+        ("pick", "SELECT cls, coalesce(mb.m > ma.m OR (mb.m = ma.m AND mb.n < ma.n), ma.m IS NULL) AS second FROM ma FULL JOIN mb USING (cls)"),
+        (
+            "chosen",
+            f"SELECT s.* FROM {current} s JOIN pick USING (cls) WHERE NOT second UNION ALL BY NAME "
+            f"SELECT s.* FROM {challenger} s JOIN pick USING (cls) WHERE second",
+        ),
+    ]
+
+
+def _update_elite():
+    return cte(*_elite_and_pairs(), ("mine", "SELECT * FROM sb WHERE cls IN ('A', 'N')"), *_pick("sa", "mine")) + (
+        f"SELECT rule_id, cls, {COUNTS} FROM chosen"
+    )
+
+
+def _finalise():
+    beaten = lambda t: f"EXISTS (SELECT 1 FROM {t} a WHERE a.cls = b.cls AND {q.better(TRADE_OFF)})"
+    hit = f"SELECT e.rowid_, e.cls, min(q.token_rank) AS token_rank FROM ordered q JOIN rowed e ON e.cls = q.cls AND {q.match_on(LINES)} GROUP BY ALL"
+    order = "(CASE WHEN ok THEN 1 ELSE 0 END) DESC, Confidence DESC, round(WRAccNorm, 12) DESC, num_active, rule_id"
+    parts = [
+        *_elite_and_pairs(),
+        *_rank_ctes("sb"),
+        *_crowd_ctes(),
+        *_top_ctes(30),
+        ("front", f"SELECT * FROM pop b WHERE NOT {beaten('pop')}"),
+        ("joint", "SELECT * EXCLUDE (rank, crowding, slot) FROM front UNION ALL BY NAME SELECT * FROM sa"),
+        _token_order("joint"),
+        ("rowed", "SELECT *, row_number() OVER () AS rowid_ FROM sig"),
+        ("firsts", hit),
+        ("kept", "SELECT * FROM ordered WHERE (cls, token_rank) IN (SELECT cls, token_rank FROM firsts)"),
+        ("competitors", f"SELECT * EXCLUDE (token_rank) FROM kept b WHERE NOT {beaten('kept')}"),
+        *_pick("sa", "competitors"),
+        ("t", "SELECT *, Confidence >= 0.334::DOUBLE AS ok FROM chosen"),
+        ("u", f"SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {order}) AS nth FROM t"),
+    ]
+    return rcte(*parts) + f"SELECT rule_id, cls, {COUNTS} FROM u WHERE ok OR nth = 1"
+
+
 # -- candidates ---------------------------------------------------------------------------
 
 S = f"'{SEED}'"
@@ -627,7 +684,7 @@ def _newly(b, old, now):
 
 # -- applying a model to other rows -----------------------------------------------------------
 
-EARLY = "o_orderdate < TIMESTAMP '1999-01-01' AND o_orderpriority <> '5-LOW'"
+EARLY = "o_orderdate < TIMESTAMP '1999-01-01'"
 LATE = "o_orderdate >= TIMESTAMP '1999-01-01'"
 
 
@@ -635,7 +692,8 @@ def _holdout_ctes():
     b = ORDERS
     ctes = q.enc_ctes(b, rows="late")
     ctes[0] = ("src", f"{b.sql} WHERE {EARLY}")
-    ctes.insert(0, ("late", f"{b.sql} WHERE {LATE}"))
+    unseen = "CASE WHEN o_orderpriority = '5-LOW' THEN '6-NEW' ELSE o_orderpriority END AS o_orderpriority"
+    ctes.insert(0, ("late", f"SELECT * REPLACE ({unseen}) FROM ({b.sql} WHERE {LATE})"))
     rules = [
         q.features_cte(b),
         ("classes", "SELECT DISTINCT o_orderstatus AS cls FROM src"),
@@ -754,6 +812,8 @@ ORACLES = {
     "replace": _replace(),
     "stagnation": _newly(LINES, "rule_id < 20", "rule_id >= 20"),
     "stagnation_bitmap": _newly(ORDERS, "rule_id < 20", "true"),
+    "update_elite": _update_elite(),
+    "finalise": _finalise(),
     "evaluate_holdout": cte(*_holdout_ctes(), *q.count_ctes(ORDERS), q.scored_cte(["AUC", "Confidence", "WRAccNorm"]))
     + f"SELECT rule_id, cls, {COUNTS}, {r9('AUC', 'Confidence', 'WRAccNorm')} FROM scored",
     "match_rows": cte(*_holdout_ctes())

@@ -32,9 +32,9 @@ from patternloom.operators.rules import (
     rules_table,
     single_rules,
 )
-from patternloom.plans.layout import RowLayout
+from patternloom.plans.layout import RowLayout, prepare
 from patternloom.plans.miner import MinedPatterns, PatternMiner, replace_population
-from patternloom.session import ensure_checkpoint_dir
+from patternloom.session import cut_lineage, ensure_checkpoint_dir
 from patternloom.sources.arff import arff_schema, read_arff
 from patternloom.sources.reports import render_rules, test_measures, training_measures
 from patternloom.sources.row_index import with_row_index
@@ -658,9 +658,36 @@ def fit_planted(spark, sf):
 
 
 def _halves(df):
-    """Train on the orders up to 1998, test on the later ones, which include a priority unseen in training."""
+    """Train on the orders up to 1998, test on the later ones, of which low ones have a priority unseen in training."""
     early = F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")
-    return df.where(early & (F.col("o_orderpriority") != "5-LOW")), df.where(~early)
+    unseen = F.when(F.col("o_orderpriority") == "5-LOW", "6-NEW").otherwise(F.col("o_orderpriority"))
+    return df.where(early), df.where(~early).withColumn("o_orderpriority", unseen)
+
+
+def _miner(binding, **kw):
+    return PatternMiner(binding.cls, list(binding.numeric), list(binding.nominal), objectives=TRADE_OFF, **kw)
+
+
+def _elite(c):
+    """The one-feature rules as an elite, numbered apart from the pairs."""
+    scored, n = c.scored(c.singles())
+    return scored.withColumn("rule_id", F.col("rule_id") + 100_000), n
+
+
+def update_elite(spark, sf):
+    c = Case(spark, sf, LINES)
+    pairs, _ = c.scored(c.pairs())
+    kept = _miner(LINES).update_elite(_elite(c)[0], pairs.where(F.col("cls").isin("A", "N")), ["A", "N"])
+    return kept.select("rule_id", "cls", *COUNTS)
+
+
+def finalise(spark, sf):
+    c = Case(spark, sf, LINES)
+    layout = prepare(c.df, c.model)
+    miner = _miner(LINES, individuals=30, filters=(("Confidence", 0.334),))
+    out = cut_lineage(miner.finalise(layout, _population(c), _elite(c)[0]).select("rule_id", "cls", *COUNTS))
+    layout.release()
+    return out
 
 
 def evaluate_holdout(spark, sf):
@@ -761,6 +788,8 @@ QUERIES = {
     "stagnation_bitmap": stagnation_bitmaps,
     "fit_orders": fit_orders,
     "fit_planted": fit_planted,
+    "update_elite": update_elite,
+    "finalise": finalise,
     "evaluate_holdout": evaluate_holdout,
     "match_rows": match_rows,
 }
