@@ -56,12 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
     Functions that run in workers refer to the package; installed clusters have it, others get a zip.
+    Rows may be whole texts: unless the session says otherwise, 1,000 of them go to a worker at a time.
     """
     sc = spark.sparkContext
+    if BATCH_ROWS not in spark.conf.getAll:
+        spark.conf.set(BATCH_ROWS, "1000")
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
