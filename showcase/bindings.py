@@ -130,7 +130,9 @@ def _documents(f):
 
 
 def _vectors(f):
-    parts = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(VECTOR_SIZE)]
+    # Another width is an error, not a prefix.
+    vector = F.when(F.size("embedding") == VECTOR_SIZE, F.col("embedding")).otherwise(F.raise_error(F.lit("vector of another size")))
+    parts = [vector[i].cast("double").alias(f"e{i}") for i in range(VECTOR_SIZE)]
     return f["embeddings"].select("vec_id", *parts, F.col("label").cast("string").alias("label"))
 
 

@@ -458,6 +458,49 @@ def _finalise():
     return rcte(*parts) + f"SELECT rule_id, cls, {COUNTS} FROM u WHERE ok OR nth = 1"
 
 
+def _reinitialise():
+    b = ORDERS
+    beaten = f"EXISTS (SELECT 1 FROM kept a WHERE a.cls = b.cls AND {q.better(TRADE_OFF)})"
+    hit = f"SELECT e.rowid_, e.cls, min(q.token_rank) AS token_rank FROM ordered q JOIN rowed e ON e.cls = q.cls AND {q.match_on(b)} GROUP BY ALL"
+    covered = f"EXISTS (SELECT 1 FROM competitors q WHERE q.cls = e.cls AND {q.match_on(b)})"
+    pairs = " UNION ALL ".join(
+        f"SELECT e.cls, f.var, f.val FROM one e JOIN feat f ON f.var = {i} AND (e.m{i} >> f.val::BIGINT) & 1 = 1" for i in range(2)
+    )
+    k = q.pick("least(ceil(total * 0.5)::INTEGER + 1, total)", f"'{SEED}'", "'1'", "'covering_n'", "rule_id") + " + 1"
+    uu = q.u(f"'{SEED}'", "'1'", "'covering_pair'", "rule_id", "var", "val")
+    words = ", ".join(
+        f"coalesce((SELECT max_by(1::BIGINT << d.val::BIGINT, d.nth) FROM drawn d WHERE d.rule_id = t.rule_id AND d.var = {w}), 0)::BIGINT AS r{w}"
+        for w in range(2)
+    )
+    parts = [
+        *_pair_scored(b), *_rank_ctes(), *_crowd_ctes(), *_top_ctes(10),
+        (
+            "joint",
+            "SELECT * EXCLUDE (rank, crowding, slot) FROM pop WHERE rank = 0 AND cls IN ('F', 'P') "
+            "UNION BY NAME SELECT * FROM scored WHERE rule_id < 30 AND cls IN ('F', 'P')",
+        ),
+        _token_order("joint"),
+        ("rowed", "SELECT *, row_number() OVER () AS rowid_ FROM sig"),
+        ("firsts", hit),
+        ("kept", "SELECT * FROM ordered WHERE (cls, token_rank) IN (SELECT cls, token_rank FROM firsts)"),
+        ("competitors", f"SELECT * FROM kept b WHERE NOT {beaten}"),
+        ("one", f"SELECT cls, min_by(m0, o_orderkey) AS m0, min_by(m1, o_orderkey) AS m1 FROM enc e WHERE cls IN ('F', 'P') AND NOT {covered} GROUP BY cls"),
+        ("prs", f"SELECT *, count(*) OVER (PARTITION BY cls) AS total FROM ({pairs})"),
+        ("ids", "SELECT 16777216 + 8388608 + (CASE cls WHEN 'F' THEN 0 ELSE 10 END) + slot AS rule_id, cls FROM pop WHERE cls IN ('F', 'P')"),
+        ("pu", f"SELECT rule_id, var, val, total, {uu} AS u FROM ids JOIN prs USING (cls)"),
+        ("nth", "SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY u, var, val) AS nth FROM pu"),
+        ("drawn", f"SELECT * FROM nth WHERE nth <= {k}"),
+        ("fresh", f"SELECT rule_id, cls, {words} FROM ids t"),
+        ("nfresh", q.norm_ctes(b, "fresh", "x")[1][1]),
+        *q.count_ctes(b, "nfresh", "cf"),
+    ]
+    return rcte(*parts) + (
+        f"SELECT c.rule_id, c.cls, {q.masks_text(2, 'f.r')} AS masks, {', '.join('c.' + x for x in COUNTS.split(', '))} "
+        "FROM cf c JOIN fresh f USING (rule_id) UNION ALL "
+        f"SELECT rule_id, cls, {q.masks_text(2)} AS masks, {COUNTS} FROM pop WHERE cls NOT IN ('F', 'P')"
+    )
+
+
 # -- candidates ---------------------------------------------------------------------------
 
 S = f"'{SEED}'"
@@ -812,6 +855,7 @@ ORACLES = {
     "replace": _replace(),
     "stagnation": _newly(LINES, "rule_id < 20", "rule_id >= 20"),
     "stagnation_bitmap": _newly(ORDERS, "rule_id < 20", "true"),
+    "reinitialise": _reinitialise(),
     "update_elite": _update_elite(),
     "finalise": _finalise(),
     "evaluate_holdout": cte(*_holdout_ctes(), *q.count_ctes(ORDERS), q.scored_cte(["AUC", "Confidence", "WRAccNorm"]))

@@ -690,6 +690,18 @@ def finalise(spark, sf):
     return out
 
 
+def reinitialise(spark, sf):
+    """Two of the three classes restart from their first uncovered order; the third keeps its rules."""
+    c = Case(spark, sf, ORDERS)
+    layout = prepare(c.df, c.model, "rows", "o_orderkey")
+    scored, _ = c.scored(c.pairs())
+    pop, _ = _miner(ORDERS, individuals=10, seed=SEED).reinitialise(
+        layout, _population(c, 10), scored.where(F.col("rule_id") < 30), ["F", "P"], 1
+    )
+    layout.release()
+    return pop.select("rule_id", "cls", _masks(), *COUNTS)
+
+
 def evaluate_holdout(spark, sf):
     train, test = _halves(ORDERS.load(spark, sf))
     model = ORDERS.model(train)
@@ -788,6 +800,7 @@ QUERIES = {
     "stagnation_bitmap": stagnation_bitmaps,
     "fit_orders": fit_orders,
     "fit_planted": fit_planted,
+    "reinitialise": reinitialise,
     "update_elite": update_elite,
     "finalise": finalise,
     "evaluate_holdout": evaluate_holdout,
