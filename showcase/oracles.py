@@ -725,6 +725,14 @@ def _newly(b, old, now):
     )
 
 
+def _planted():
+    b = PLANTED
+    rule = "SELECT 0 AS rule_id, 'hot' AS cls, 4::BIGINT AS r0, 0::BIGINT AS r1, 4::BIGINT AS r2, 0::BIGINT AS r3, 0::BIGINT AS r4"
+    return cte(*q.enc_ctes(b), q.sig_cte(b), q.features_cte(b), ("rules", rule), *q.norm_ctes(b), *q.count_ctes(b)) + (
+        f"SELECT cls, {q.masks_text(5)} AS masks, {COUNTS} FROM ct"
+    )
+
+
 # -- applying a model to other rows -----------------------------------------------------------
 
 EARLY = "o_orderdate < TIMESTAMP '1999-01-01'"
@@ -855,6 +863,8 @@ ORACLES = {
     "replace": _replace(),
     "stagnation": _newly(LINES, "rule_id < 20", "rule_id >= 20"),
     "stagnation_bitmap": _newly(ORDERS, "rule_id < 20", "true"),
+    "fit_orders": "SELECT o_orderstatus AS cls, 0::BIGINT AS mismatches, true AS found FROM orders GROUP BY o_orderstatus",
+    "fit_planted": _planted(),
     "reinitialise": _reinitialise(),
     "update_elite": _update_elite(),
     "finalise": _finalise(),
