@@ -676,7 +676,7 @@ def _miner(binding, **kw):
 def _elite(c):
     """The one-feature rules as an elite, numbered apart from the pairs."""
     scored, n = c.scored(c.singles())
-    return scored.withColumn("rule_id", F.col("rule_id") + 100_000), n
+    return cut_lineage(scored.withColumn("rule_id", F.col("rule_id") + 100_000)), n
 
 
 def update_elite(spark, sf):
@@ -690,7 +690,7 @@ def finalise(spark, sf):
     c = Case(spark, sf, LINES)
     layout = prepare(c.df, c.model)
     miner = _miner(LINES, individuals=30, filters=(("Confidence", 0.334),))
-    out = cut_lineage(miner.finalise(layout, _population(c), _elite(c)[0]).select("rule_id", "cls", *COUNTS))
+    out = cut_lineage(miner.finalise(layout, cut_lineage(_population(c)), _elite(c)[0]).select("rule_id", "cls", *COUNTS))
     layout.release()
     return out
 
@@ -701,7 +701,7 @@ def reinitialise(spark, sf):
     layout = prepare(c.df, c.model, "rows", "o_orderkey")
     scored, _ = c.scored(c.pairs())
     pop, _ = _miner(ORDERS, individuals=10, seed=SEED).reinitialise(
-        layout, _population(c, 10), scored.where(F.col("rule_id") < 30), ["F", "P"], 1
+        layout, cut_lineage(_population(c, 10)), cut_lineage(scored.where(F.col("rule_id") < 30)), ["F", "P"], 1
     )
     layout.release()
     return pop.select("rule_id", "cls", _masks(), *COUNTS)
