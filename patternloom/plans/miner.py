@@ -190,7 +190,8 @@ class PatternMiner:
         cols = self._columns()
         joint = front.select(*cols) if elite is None else front.select(*cols).unionByName(elite.select(*cols))
         joint = cut_lineage(dedupe_rules(joint, cols[3:]))
-        kept = layout.token_competition(joint, bound)
+        # The front reads its input several times.
+        kept = cut_lineage(layout.token_competition(joint, bound))
         return pareto_front(kept, self.objectives, "cls", self.minimise)
 
     def reinitialise(self, layout, pop: DataFrame, elite: DataFrame, classes: list[str], gen: int):
@@ -237,6 +238,6 @@ class PatternMiner:
         chosen = cut_lineage(
             self._competitors(layout, ranked.where("rank = 0"), elite, 3 * self.individuals * len(layout.model.classes))
         )
-        best = chosen if elite is None else better_set(elite, chosen)
+        best = chosen if elite is None else cut_lineage(better_set(elite, chosen))
         filtered = measure_filter(dedupe_rules(best.select(*cols), cols[3:]), layout.model, self.filters)
         return filtered.select(*cols)
