@@ -15,6 +15,8 @@ from patternloom.model import WORD_BITS, TableModel
 from patternloom.operators.selection import tournament_select
 
 CROSSOVER, HUX, MUTATION = "npoint", "hux", "mutation"
+# Ids of one generation; its restarts take the upper half.
+GENERATION = 1 << 40
 OPERATORS = (CROSSOVER, HUX, MUTATION)
 
 
@@ -257,9 +259,13 @@ def reproduce(
     h1, h2 = _hux(a, b, model, key, seed, gen)
     kids = f"""case op when {_quoted(MUTATION)} then array({_mutated(a, model, key, seed, gen)})
         when {_quoted(HUX)} then array({h1}, {h2}) else array({x1}, {x2}) end"""
-    made = couples.selectExpr("cls", "draw", "op", f"posexplode({kids}) as (child, masks)")
-    # A population is a bounded rule table, so one ordered pass over it is cheap.
-    order = Window.orderBy("cls", "draw", "child")
+    made = couples.selectExpr("cls", "before", "op", f"posexplode({kids}) as (child, masks)")
+    # Children are numbered by class, draw and child; what the classes before make is one row per class.
+    line = Window.orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    starts = planned.groupBy("cls").agg(F.sum("children").alias("_made"))
+    starts = starts.select("cls", F.coalesce(F.sum("_made").over(line), F.lit(0)).alias("_start"))
     total = F.lit(max_rules) if max_rules is not None else pop.agg(F.count(F.lit(1))).scalar()
-    numbered = made.withColumn("_n", F.row_number().over(order)).withColumn("surplus", F.col("_n") > total)
-    return numbered.selectExpr(f"{gen}L * {1 << 24}L + _n as rule_id", "cls", "masks", "op", "surplus")
+    numbered = made.join(F.broadcast(starts), "cls").withColumn("_n", F.expr("_start + before + child + 1"))
+    return numbered.withColumn("surplus", F.col("_n") > total).selectExpr(
+        f"{gen}L * {GENERATION}L + _n as rule_id", "cls", "masks", "op", "surplus"
+    )

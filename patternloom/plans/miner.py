@@ -18,6 +18,7 @@ from patternloom.operators.contingency import contingency, with_objectives
 from patternloom.operators.coverage import match_rules
 from patternloom.operators.encode import compact, encode_items
 from patternloom.operators.generate import (
+    GENERATION,
     OPERATORS,
     covering_masks,
     init_oriented,
@@ -205,7 +206,7 @@ class PatternMiner:
         chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite.where(mine), 3 * n))
         elite = self.update_elite(elite, chosen, classes)
 
-        number = F.lit(gen).cast("bigint") * (1 << 24) + (1 << 23) + F.col("rule_no")
+        number = F.lit(gen).cast("bigint") * GENERATION + GENERATION // 2 + F.col("rule_no")
         position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")) - 1
         ids = (
             pop.where(mine)

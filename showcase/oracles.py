@@ -486,7 +486,7 @@ def _reinitialise():
         ("competitors", f"SELECT * FROM kept b WHERE NOT {beaten}"),
         ("one", f"SELECT cls, min_by(m0, o_orderkey) AS m0, min_by(m1, o_orderkey) AS m1 FROM enc e WHERE cls IN ('F', 'P') AND NOT {covered} GROUP BY cls"),
         ("prs", f"SELECT *, count(*) OVER (PARTITION BY cls) AS total FROM ({pairs})"),
-        ("ids", "SELECT 16777216 + 8388608 + (CASE cls WHEN 'F' THEN 0 ELSE 10 END) + slot AS rule_id, cls FROM pop WHERE cls IN ('F', 'P')"),
+        ("ids", "SELECT 1649267441664 + (CASE cls WHEN 'F' THEN 0 ELSE 10 END) + slot AS rule_id, cls FROM pop WHERE cls IN ('F', 'P')"),
         ("pu", f"SELECT rule_id, var, val, total, {uu} AS u FROM ids JOIN prs USING (cls)"),
         ("nth", "SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY u, var, val) AS nth FROM pu"),
         ("drawn", f"SELECT * FROM nth WHERE nth <= {k}"),
@@ -686,7 +686,7 @@ def _reproduce():
         ("nth", "SELECT *, row_number() OVER (ORDER BY cls, draw, child) AS nth FROM kids"),
     ]
     return rcte(*parts) + (
-        f"SELECT 16777216 + nth AS rule_id, cls, op, {q.masks_text(5)} AS masks FROM nth WHERE nth <= (SELECT count(*) FROM pop)"
+        f"SELECT 1099511627776 + nth AS rule_id, cls, op, {q.masks_text(5)} AS masks FROM nth WHERE nth <= (SELECT count(*) FROM pop)"
     )
 
 
