@@ -16,7 +16,7 @@ from patternloom.model import TableModel
 from patternloom.operators import bitmaps
 from patternloom.operators.contingency import contingency, contingency_bitmap
 from patternloom.operators.coverage import match_rules, uncovered
-from patternloom.operators.encode import encode_items, items_long, signatures
+from patternloom.operators.encode import compact, encode_items, items_long, signatures
 from patternloom.operators.profile import quoted
 from patternloom.operators.selection import token_competition
 from patternloom.session import cut_lineage
@@ -121,7 +121,25 @@ def prepare(df: DataFrame, model: TableModel, layout: str = "auto", rid: str | N
     if layout == "rows":
         merged = signatures(encode_items(df, model, keep=[order]), model, order)
         return RowLayout(merged.persist(level), model, totals, merged=True)
+    return BitmapLayout(bitmaps.wide_lut(numbered_rows(df, model, order), model, "_row").persist(level), model, totals)
+
+
+def numbered_rows(df: DataFrame, model: TableModel, order: str) -> DataFrame:
+    """The columns of the model with ``_row`` from 1 in the order of a column, written once."""
     names = dict.fromkeys([*[a.name for a in model.attributes], model.class_col])
     wanted = df.select(*[F.col(quoted(n)) for n in names], F.col(quoted(order)).alias("_at"))
-    numbered = cut_lineage(with_row_index(wanted.repartitionByRange("_at").sortWithinPartitions("_at"), 1, "_row").drop("_at"))
-    return BitmapLayout(bitmaps.wide_lut(numbered, model, "_row").persist(level), model, totals)
+    return cut_lineage(with_row_index(wanted.repartitionByRange("_at").sortWithinPartitions("_at"), 1, "_row").drop("_at"))
+
+
+def evaluate_rules(df: DataFrame, rules: DataFrame, model: TableModel) -> DataFrame:
+    """Confusion counts of rules on another table of the same structure, which is read once.
+
+    Up to ``WIDE_WORDS`` mask words equal rows are merged and written; wider tables are counted by bitmaps.
+    """
+    if model.n_words <= WIDE_WORDS:
+        return contingency(cut_lineage(compact(df, model)), rules, model)
+    rows = numbered_rows(df.select("*", content_order(model)), model, "_order")
+    # Rows without class count as rows, under a name that no class has.
+    cls = F.coalesce(F.col(quoted(model.class_col)).cast("string"), F.lit("\0"))
+    totals = {r["cls"]: r["count"] for r in rows.groupBy(cls.alias("cls")).count().collect()}
+    return contingency_bitmap(cut_lineage(bitmaps.wide_lut(rows, model, "_row")), rules, model, class_totals=totals)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patternloom.functions.measures import all_measures
 from patternloom.model import TableModel
-from patternloom.operators.contingency import contingency, with_objectives
+from patternloom.operators.contingency import with_objectives
 from patternloom.operators.coverage import match_rules
 from patternloom.operators.encode import compact, encode_items
 from patternloom.operators.generate import (
@@ -30,7 +30,7 @@ from patternloom.operators.profile import build_model
 from patternloom.operators.ranking import crowding_distance, nondominated_rank, pareto_front, select_top
 from patternloom.operators.rules import dedupe_rules
 from patternloom.operators.selection import better_set, measure_filter
-from patternloom.plans.layout import prepare
+from patternloom.plans.layout import evaluate_rules, prepare
 from patternloom.session import cut_lineage
 from patternloom.sources import reports
 
@@ -78,7 +78,7 @@ class MinedPatterns:
     def evaluate(self, df: DataFrame) -> DataFrame:
         """Rules with counts and all listed measures on another table."""
         base = self.rules.select("rule_id", "cls", "masks")
-        return all_measures(contingency(self.encode_test(df), base, self.model))
+        return all_measures(evaluate_rules(df, base, self.model))
 
     def match(self, df: DataFrame, keep=None) -> DataFrame:
         """Rows of a table with each rule that covers them."""

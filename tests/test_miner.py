@@ -103,6 +103,21 @@ def test_unknown_start_is_refused(planted):
         miner(init="anything").fit(planted)
 
 
+def test_wide_tables_are_evaluated_by_bitmaps(planted, monkeypatch):
+    """The same counts, also on rows with unseen values and other classes."""
+    from patternloom.plans import layout
+
+    model = build_model(planted, "kind", ["a", "b", "d"], ["c"], 3)
+    rules = rules_table(planted.sparkSession, model, [("hot", {0: [2], 3: [1]}), ("cold", {1: [0, 1]}), ("hot", {})])
+    other = planted.where("no % 3 = 0").withColumn("c", F.when(F.col("no") % 5 == 0, "new").otherwise(F.col("c")))
+    other = other.withColumn("kind", F.when(F.col("no") % 7 == 0, "warm").otherwise(F.col("kind")))
+    got = []
+    for words in (256, 2):
+        monkeypatch.setattr(layout, "WIDE_WORDS", words)
+        got.append(sorted(map(tuple, layout.evaluate_rules(other, rules, model).drop("masks").collect())))
+    assert got[0] == got[1] and got[0][0][2] > 0
+
+
 def test_restarts_and_random_start(planted):
     found = miner(individuals=8, evaluations=200, init="random", objectives=("Confidence", "TPR")).fit(planted)
     assert found.history[-1]["evaluations"] >= 200
