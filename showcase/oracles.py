@@ -835,6 +835,9 @@ ORACLES = {
     "rules_text": _rules_text(),
     "training_report": _training_report(),
     "test_report": _test_report(),
+    "written_rules": f"SELECT (row_number() OVER (ORDER BY cls, rule_id) - 1)::INTEGER AS rule, rule_text FROM ({_rules_text()})",
+    "written_training": _training_report(),
+    "written_test": _test_report(),
     "pareto_front": _front(TRADE_OFF),
     "pareto_front_three": _front(THREE_WAY),
     "pareto_front_minimise": _front(("TPR", "FPR"), ("TPR", "-FPR")),

@@ -36,7 +36,14 @@ from patternloom.plans.layout import RowLayout, prepare
 from patternloom.plans.miner import MinedPatterns, PatternMiner, replace_population
 from patternloom.session import cut_lineage, ensure_checkpoint_dir
 from patternloom.sources.arff import arff_schema, read_arff
-from patternloom.sources.reports import render_rules, test_measures, training_measures
+from patternloom.sources.reports import (
+    render_rules,
+    test_measures,
+    training_measures,
+    write_rules,
+    write_test_measures,
+    write_training_measures,
+)
 from patternloom.sources.row_index import with_row_index
 from showcase.bindings import (
     CUSTOMERS,
@@ -431,6 +438,33 @@ def test_report(spark, sf):
     return test_measures(contingency(c.compact(), rules, c.model, n), c.model)
 
 
+def _folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_rules(spark, sf):
+    """The file of rules, written and read back rule by rule."""
+    c, path = Case(spark, sf, ORDERS), _folder(spark, "rules")
+    rules, _ = c.rules(_edge_rules(c.model) + c.pairs())
+    write_rules(rules, c.model, path)
+    parts = F.regexp_extract("value", r"(?s)^Rule (\d+)\n(.*)$", 1).cast("int"), F.regexp_extract("value", r"(?s)^Rule (\d+)\n(.*)$", 2)
+    return spark.read.text(path, lineSep="\n\n\n").select(parts[0].alias("rule"), parts[1].alias("rule_text"))
+
+
+def written_training(spark, sf):
+    c, path = Case(spark, sf, ORDERS), _folder(spark, "training")
+    scored, _ = c.scored(c.pairs(), ("Confidence", "Support"))
+    write_training_measures(scored, c.model, ("Confidence", "Support"), path)
+    return spark.read.csv(path, sep="\t", header=True).withColumn("Rule", F.col("Rule").cast("int"))
+
+
+def written_test(spark, sf):
+    c, path = Case(spark, sf, DOCUMENTS), _folder(spark, "test")
+    rules, n = c.rules(c.singles())
+    write_test_measures(contingency(c.compact(), rules, c.model, n), c.model, path)
+    return spark.read.csv(path, sep="\t", header=True)
+
+
 # -- ranking ------------------------------------------------------------------------
 
 
@@ -779,6 +813,9 @@ QUERIES = {
     "rules_text": rules_text,
     "training_report": training_report,
     "test_report": test_report,
+    "written_rules": written_rules,
+    "written_training": written_training,
+    "written_test": written_test,
     "pareto_front": pareto_front,
     "pareto_front_three": pareto_front_three,
     "pareto_front_minimise": pareto_front_minimise,
