@@ -57,7 +57,7 @@ def main() -> None:
     for n, table in rules.items():
         timed(
             f"score_{n}_rules",
-            lambda t=table, n=n: run(all_measures(contingency(compact(lines, model), t, model, n, totals))),
+            lambda t=table, n=n: run(all_measures(contingency(compact(lines, model), t, model, n, totals, merged=True))),
         )
     timed(
         "score_1000_rules_unmerged",

@@ -40,15 +40,18 @@ def contingency(
     model: TableModel,
     max_rules: int | None = None,
     class_totals: dict | None = None,
+    merged: bool = False,
 ) -> DataFrame:
     """Rules with tp, fp, tn, fn. Empty rules cover nothing.
 
-    Only (rule, count, count) partial sums are exchanged, never rows. ``class_totals``
+    Unless the rows are ``merged`` already, equal ones are merged first, by partial sums before
+    they are shuffled; then only (rule, count, count) partial sums are exchanged. ``class_totals``
     gives the rows per class where they are known; otherwise they are counted.
     """
     hit = F.col("cls") == F.col("rule_cls")
+    rows = encoded if merged else encoded.groupBy("cls", *model.mask_columns).agg(F.sum("n").alias("n"))
     counts = (
-        match_rules(encoded, rules, model, max_rules=max_rules)
+        match_rules(rows, rules, model, max_rules=max_rules)
         .groupBy("rule_id")
         .agg(F.sum("n").alias("covered"), F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).alias("tp"))
     )

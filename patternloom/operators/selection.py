@@ -85,7 +85,7 @@ def token_competition(
     """
     ordered = token_order(scored, model)
     keys = ["cls", *model.mask_columns]
-    hits = match_rules(encoded.select(*keys), ordered, model, keep=keys, carry=("token_rank",), max_rules=max_rules)
+    hits = match_rules(encoded.select(*keys).distinct(), ordered, model, keep=keys, carry=("token_rank",), max_rules=max_rules)
     winners = (
         hits.where(F.col("cls") == F.col("rule_cls"))
         .groupBy(*keys)

@@ -40,7 +40,7 @@ class RowLayout:
     merged: bool = False
 
     def counts(self, rules, max_rules=None):
-        return contingency(self.encoded, rules, self.model, max_rules, self.class_totals)
+        return contingency(self.encoded, rules, self.model, max_rules, self.class_totals, self.merged)
 
     def token_competition(self, scored, max_rules=None):
         return token_competition(self.encoded, scored, self.model, max_rules)
@@ -137,7 +137,7 @@ def evaluate_rules(df: DataFrame, rules: DataFrame, model: TableModel) -> DataFr
     Up to ``WIDE_WORDS`` mask words equal rows are merged and written; wider tables are counted by bitmaps.
     """
     if model.n_words <= WIDE_WORDS:
-        return contingency(cut_lineage(compact(df, model)), rules, model)
+        return contingency(cut_lineage(compact(df, model)), rules, model, merged=True)
     rows = numbered_rows(df.select("*", content_order(model)), model, "_order")
     # Rows without class count as rows, under a name that no class has.
     cls = F.coalesce(F.col(quoted(model.class_col)).cast("string"), F.lit("\0"))
