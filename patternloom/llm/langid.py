@@ -28,7 +28,7 @@ BITS = 14
 BUCKETS = 1 << BITS
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-SAMPLE = 800
+SAMPLE = 300
 LANGUAGES = 200
 EPOCHS = 6
 REJECT = 0.5
@@ -174,7 +174,8 @@ def fit(
     names = sorted(set(got.column("lang").to_pylist()))
     number = {n: k for k, n in enumerate(names)}
     values = [[np.asarray(x.values) for x in got.column(c)] for c in ("buckets", "counts")]
-    examples = [(b, c.astype(np.float64), number[y]) for b, c, y in zip(*values, got.column("lang").to_pylist()) if len(b)]
+    # Views of the received buffers, not copies.
+    examples = [(b, c, number[y]) for b, c, y in zip(*values, got.column("lang").to_pylist()) if len(b)]
     return train(examples, names, reject=reject) if examples else None
 
 
