@@ -101,8 +101,9 @@ def _shard(windows: Windows, buf: np.ndarray, offsets: np.ndarray):
     first = np.concatenate(([0], np.cumsum(count)))
     spans, owners = [], []
     for at, which in windows.hits(windows.numbers(hashed), doc):
-        a, b = _merged(at, at + windows.lengths[which])
-        spans.append((a, b))
+        # One free number after each document, so that spans of neighbouring documents never touch.
+        start = at + doc[at]
+        spans.append(_merged(start, start + windows.lengths[which]))
         pairs = np.unique(doc[at] * len(windows.lengths) + which)
         d, which = pairs // len(windows.lengths), pairs % len(windows.lengths)
         size = windows.owner_from[which + 1] - windows.owner_from[which]
@@ -111,9 +112,7 @@ def _shard(windows: Windows, buf: np.ndarray, offsets: np.ndarray):
     owned = np.unique(np.concatenate(owners)) if owners else np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 2
     if len(a):
-        # Spans of neighbouring documents may touch in the shard's numbering: join within a document only.
-        shift = doc[a]
-        a, b = _merged(a + shift, b + shift)
+        a, b = _merged(a, b)
         d = np.searchsorted(first + np.arange(n + 1), a, side="right") - 1
         a, b = a - d - first[d], b - d - first[d]
     else:

@@ -63,6 +63,20 @@ def test_contamination_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 0").count() == 0 and kept.where("doc_id = 4").count() == 1
 
 
+def test_windows_that_touch_across_documents(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(13)) for c in "xy")
+    texts = [a, b, a + " tail", "head " + b, a, b + " " + "filler " * 400, "", a, b + " " + a]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("i1", a), ("i2", b)], "item_id string, text string")
+    want = [[(0, 13)], [(0, 13)], [(0, 13)], [(1, 14)], [(0, 13)], [(0, 13)], [], [(0, 13)], [(0, 26)]]
+    for blocks in (1 << 20, 40):
+        got = {r.doc_id: r for r in find_contamination(docs, bench, block_bytes=blocks).collect()}
+        assert [[tuple(s) for s in got[k].spans] for k in range(len(texts))] == want
+        assert all(r.n_hit == sum(e - s for s, e in r.spans) <= r.n_words for r in got.values())
+        assert [k for k in got if not got[k].contaminated] == [5, 6]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [5, 6]
+
+
 def test_copies_of_odd_rows(spark, odd, none):
     rows = odd.collect()
     got = find_copies(odd, every_digest=True).collect()
