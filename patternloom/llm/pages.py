@@ -33,22 +33,24 @@ BLOCKS = frozenset(
     " head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object".split())
+#: Elements whose content is no text of the page; that of RAW_TEXT is no markup either.
+RAW = frozenset("script style textarea title noscript template iframe svg select option button".split())
+RAW_TEXT = frozenset("script style textarea iframe".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
-#: Words in class, id or role that name something beside the article.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side-bar|widget|comments?|respond|replies|disqus|cookies?"
-    r"|consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommended|breadcrumbs?|menu|nav|navbar|navigation"
-    r"|footer|pagination|toolbar|login|search)(?:$|[\s_-])",
-    re.I,
+#: Classes, ids and roles, as whole tokens, that name something beside the article.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo sidebar side-bar widget comment comments respond replies disqus cookie cookies"
+    " consent notice alert popup modal newsletter subscribe signup share social related recommended breadcrumb breadcrumbs menu nav navbar navigation"
+    " footer pagination toolbar login search".split()
 )
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NEVER_BESIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # by a class, id or role
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order, without comments and raw elements."""
-    at = 0
+    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order, without comments and raw text."""
+    at, unclosed = 0, set()
     while m := TOKEN.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()], ""
@@ -56,18 +58,62 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if not m[2]:
             continue
         name = m[2].lower()
-        if not m[1] and name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            yield "open", name, m[3]
-            yield "close", name, ""
-        else:
-            yield ("close" if m[1] else "open"), name, m[3]
+        yield ("close" if m[1] else "open"), name, m[3]
+        if not m[1] and name in RAW_TEXT and name not in unclosed and not m[3].endswith("/"):
+            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            if end or name == "script":
+                at = end.end() if end else len(page)
+                yield "close", name, ""
+            else:
+                unclosed.add(name)
     rest = page[at:]
     if rest and not re.match(r"</?[A-Za-z!][^>]*\Z", rest):  # a tag cut off at the end is none
         yield "text", rest.split("<!--")[0], ""
 
 
+def names(attributes: str) -> dict[str, list[str]]:
+    """The lowered tokens of class, id and role; the first of equal attributes counts."""
+    found: dict[str, list[str]] = {}
+    for key, *values in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            found.setdefault(key.lower(), "".join(values).lower().split())
+    return found
+
+
+@dataclass
+class Element:
+    name: str
+    parent: int  # place among the elements of the page, in order of their starts
+    raw: bool = False  # it or one around it has no text of the page
+    beside: bool = False  # it is itself something beside the article
+    article: bool = False
+    words: int = 0  # in it, without what is beside in it
+    all_words: int = 0
+    title: bool = False  # holds an h1
+
+
+def _beside(elements: list[Element]) -> list[bool]:
+    """Whether each element is in something beside the article; what holds the article is none, nor is a form or dialog around it."""
+    for e in reversed(elements[1:]):
+        around = elements[e.parent]
+        around.words += 0 if e.beside else e.words
+        around.all_words += e.all_words
+        around.title |= e.title
+    held = max((k for k, e in enumerate(elements) if e.article and e.words), key=lambda k: elements[k].words, default=0)
+    if held:
+        while held := elements[held].parent:
+            if elements[held].name not in ASIDE - {"form", "dialog"}:
+                elements[held].beside = False
+    else:  # without a labelled article, it is where the title and most words are
+        for e in elements:
+            if e.title and 2 * e.all_words > elements[0].all_words and e.name not in ASIDE - {"form", "dialog"}:
+                e.beside = False
+    inherited: list[bool] = []
+    for k, e in enumerate(elements):
+        inherited.append(e.beside or k > 0 and inherited[e.parent])
+    return inherited
+
+
 @dataclass
 class Page:
     """Scored items in page order and the block each text belongs to."""
@@ -81,47 +127,71 @@ class Page:
 
 
 def read(page: str) -> Page:
-    out, stack, number = Page(), [], 0  # stack: (name, names something beside)
+    out, number = Page(), 0
+    elements, stack = [Element("", 0)], [0]
     inside = 0
 
     def add(kind: str, count: int, block: int, text: str) -> None:
         out.classes.append(kind)
         out.counts.append(count)
         out.block.append(block)
-        out.beside.append(bool(stack) and stack[-1][1])
+        holders.append(stack[-1])
         out.label.append(inside > 0)
         out.texts.append(text)
 
+    def pop() -> Element:
+        nonlocal inside
+        closed = elements[stack.pop()]
+        inside -= closed.name == LABEL
+        return closed
+
+    holders: list[int] = []
     for what, name, attributes in tokens(page):
         if what == "text":
-            holder = next((n for n, _ in reversed(stack) if n in BLOCKS or n == "a"), "")
+            top = elements[stack[-1]]
+            if top.raw:
+                continue
+            holder = next((n for k in reversed(stack) if (n := elements[k].name) in BLOCKS or n == "a"), "")
             text = html.unescape(name)
             if text:
-                add(f"word {holder}", len(text.split()), number, text)
+                count = len(text.split())
+                top.words += count
+                top.all_words += count
+                add(f"word {holder}", count, number, text)
             continue
-        if name in BLOCKS:
-            number += 1
         if what == "open":
-            add(f"tag {name}", 1, number if name == "br" else -1, " " if name == "br" else "")
-            if name in VOID or name in RAW or attributes.endswith("/"):
+            if name == "body" and all(elements[k].name != "body" for k in stack):  # ends the head and what is open in it
+                while len(stack) > 1 and elements[stack[-1]].name != "html":
+                    pop()
+            elif name in ("article", "main") and all(elements[k].name not in ("noscript", "template") for k in stack):
+                while elements[stack[-1]].raw:  # cannot hold it
+                    pop()
+            raw = elements[stack[-1]].raw
+            if not raw:
+                number += name in BLOCKS
+                add(f"tag {name}", 1, number if name == "br" else -1, " " if name == "br" else "")
+            if name in VOID or attributes.endswith("/"):
                 continue
-            if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or name in BLOCKS:
-                while stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd") or stack[-1][0] in ("b", "i", "em", "strong", "span", "u", "a") and name in BLOCKS and any(n == "p" for n, _ in stack)):
-                    stack.pop()
-            named = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
-            beside = bool(stack) and stack[-1][1] or name in ASIDE or bool(named and BESIDE.search(named))
+            if name in ("p", "li", "td", "th", "tr", "dt", "dd") or name in BLOCKS:
+                while (top := elements[stack[-1]].name) and (top == "p" or top == name and name in ("li", "td", "th", "tr", "dt", "dd") or top in ("b", "i", "em", "strong", "span", "u", "a") and name in BLOCKS and any(elements[k].name == "p" for k in stack)):
+                    pop()
+            named = names(attributes) if attributes else {}
+            beside = name in ASIDE or name not in NEVER_BESIDE and any(not BESIDE.isdisjoint(x) for x in named.values())
             if name == "header" and inside:  # an article's own heading
-                beside = bool(stack) and stack[-1][1]
-            stack.append((name, beside))
+                beside = False
+            article = not raw and (name in ("article", "main") or not {"article", "main"}.isdisjoint(named.get("role", ())))
+            elements.append(Element(name, stack[-1], raw or name in RAW, beside, article, title=name == "h1" and not raw))
+            stack.append(len(elements) - 1)
             inside += name == LABEL
         else:
-            if any(n == name for n, _ in stack):
-                while True:
-                    closed = stack.pop()[0]
-                    inside -= closed == LABEL
-                    if closed == name:
-                        break
-            add(f"tag {name}", 1, -1, "")
+            if any(elements[k].name == name for k in stack):
+                while pop().name != name:
+                    pass
+            if not elements[stack[-1]].raw:
+                number += name in BLOCKS
+                add(f"tag {name}", 1, -1, "")
+    beside = _beside(elements)
+    out.beside = [beside[k] for k in holders]
     return out
 
 

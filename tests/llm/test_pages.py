@@ -44,6 +44,50 @@ def test_parts_that_are_no_article(spark):
     assert set(UNSEEN) == {"word", "tag"}
 
 
+def test_names_in_the_article_drop_nothing(spark):
+    weights = train_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    text = ("word " * 40).strip()
+    body = f"<h1>Head</h1><p>{text}</p>"
+    want = f"Head\n\n{text}"
+    nav = "<nav><a href='/'>Home</a></nav>"
+    for page in (
+        f"<body class='single has-sidebar'>{nav}<article>{body}</article></body>",
+        f"<body class='comments-open'>{nav}<article>{body}</article></body>",
+        f"<html class=search><body id='search'>{nav}<main role=search class='widget'><article class='related'>{body}</article></main></body></html>",
+        f"<div class='content with-sidebar'>{body}</div>",
+        f"<div class='search'>{nav}<article>{body}</article></div>",
+        f"<div class='search'>{nav}{body}</div>",
+        f"<form id='search'>{nav}<article>{body}</article></form>",
+        f"<article><h1>Head</h1><p data-id='search' data-role=nav title=\" class='ad' \">{text}</p></article>",
+        f"<article>{body}</article><div class='related'><article><p>other teaser</p></article></div>",
+        f"<main>{body}<div id='comments'><article><p>a comment</p></article></div></main>",
+    ):
+        assert main_text(page, weights) == want, page
+    page = f"<article>{body}<section id='related-work'><h2 id='binary-search'>Works</h2><p>{text}</p></section><h2 id='search'>More</h2><p>{text}</p></article>"
+    assert main_text(page, weights) == f"{want}\n\nWorks\n\n{text}\n\nMore\n\n{text}"
+    page = f"<article>{body}<div CLASS = 'x AD'>Buy</div><div id=comments>me too</div><div role='navigation'>On</div><p>{text}</p></article>"
+    assert main_text(page, weights) == f"{want}\n\n{text}"
+
+
+def test_raw_elements_end_at_their_parent(spark):
+    weights = train_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    text = ("word " * 40).strip()
+    rest = f"<p>{text}</p><svg><title>t</title></svg></article></body></html>"
+    for raw in ("button", "svg", "select", "option", "textarea", "iframe", "noscript", "template"):
+        page = f"<html><body><article><h1>Head</h1><p>{text} <{raw}>gone</p>{rest}"
+        assert main_text(page, weights) == f"Head\n\n{text}\n\n{text}", raw
+        page = f"<html><body><article><h1>Head</h1><p>{text} <{raw}><i>gone</i></{raw}>kept</p>{rest}"
+        assert main_text(page, weights) == f"Head\n\n{text} kept\n\n{text}", raw
+    for start in ("<head><title>T</head><body>", "<head><title>T<body>", "<body><button>Go", "<body><svg><path d=''>"):
+        assert main_text(f"<html>{start}<article><h1>Head</h1>{rest}", weights) == f"Head\n\n{text}"
+    page = f"<article><h1>Head</h1><p>{text} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is <object data=o>shown</object> here</p>{rest}"
+    assert main_text(page, weights) == f"Head\n\n{text} x=1 is shown here\n\n{text}"
+    page = f"<article><h1>Head</h1><p>{text} <math><mi>x <object>shown</p>{rest}"
+    assert main_text(page, weights) == f"Head\n\n{text} x shown\n\n{text}"
+    assert main_text(f"<article><p>{text}</p><script>var a = '<p>no</p>'", weights) == text
+    assert main_text("<textarea>" * 50_000 + f"<div>{text}</div>", weights) == ""
+
+
 def test_odd_pages(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, None, None, "old", 1), (None, "u", "", None, None), (2, "u", "<p>a b</p>" * 3000, "x", 2), (2, "u", "<p>a b</p>" * 3000, "x", 2)]
