@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((1, *m.span()))
     for kind, pattern, low, high in ((2, CARD, 16, 19), (3, PHONE, 8, 15)):
         for m in pattern.finditer(text):
-            n = len(DIGIT.findall(m[0])) if m.end() - m.start() < 200 else 999
+            n = sum(map(m[0].count, "0123456789"))
             if low <= n <= high and (kind == 3 or luhn("".join(DIGIT.findall(m[0])))):
                 out.append((kind, *m.span()))
     return out

@@ -44,6 +44,14 @@ def test_base_spans_in_mixed_text():
         assert [(KINDS[k], a, b) for k, a, b in base_spans(text)] == plain(text)
 
 
+def test_padded_numbers_of_any_length():
+    for pad in (" " * 200, "." * 3000, " -()." * 100_000):
+        for text in (f"call +1{pad}5551234567 now", f"+{pad}5551234567", f"+1{pad}", f"+1{pad}{'5' * 14}", f"+1{pad}{'5' * 15}", f"+1{pad}2 +1{pad}234567890"):
+            assert [(KINDS[k], a, b) for k, a, b in base_spans(text)] == plain(text)
+    assert base_spans("+1" + " " * 200 + "5551234567") == [(3, 0, 212)]
+    assert base_spans("4" * 500_000 + " +" + "1" * 500_000) == []
+
+
 def test_field_adds_what_is_certain_elsewhere(spark):
     field = train_field(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     card = "4111 1111 1111 1111"
