@@ -2,17 +2,19 @@
 
 Subwords are the byte n-grams of each word with its borders, hashed into ``BUCKETS``. A document is the
 average of their embeddings; a linear layer and a softmax give the languages. Embeddings and layer are
-trained together by stochastic gradient descent in numpy on the driver, over a bounded sample: about
-``sample`` rows of each of the ``languages`` most frequent languages, each as at most ``BUCKETS`` counts made by the
-executors from whole texts. A temperature fitted on a fifth of the sample makes the score a probability;
-below ``reject`` a document is rejected. For prediction the layer is folded into the embeddings, so
-that a document costs one sum over its subwords.
+trained together by stochastic gradient descent in numpy on the driver. Every language that has a row is
+learnt, from about ``sample`` of its rows, or fewer so that all samples together stay about ``total`` rows. The
+executors write each as at most ``BUCKETS`` counts of its whole text, and the driver reads one batch of them at
+a time. A temperature fitted on a fifth of the sample makes the score a probability; below ``reject`` a
+document is rejected. For prediction the layer is folded into the embeddings of few languages, so that a
+document costs one sum over its subwords.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patternloom.llm.words import LOWER, slices, utf8
-from patternloom.session import ship
+from patternloom.session import cut_lineage, ensure_checkpoint_dir, ship
 
 BITS = 14
 BUCKETS = 1 << BITS
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-SAMPLE = 300
-LANGUAGES = 200
+SAMPLE = 800  # rows of a language, about
+TOTAL = 160_000  # rows of all languages, about
+BATCH = 400  # rows read by the driver at once, about
+KEPT = 64 << 20  # bytes of batches that the driver holds between epochs
 EPOCHS = 6
 REJECT = 0.5
 UNKNOWN = "und"
@@ -67,63 +71,73 @@ def document_counts(buf: np.ndarray, offsets: np.ndarray) -> Iterator[list[np.nd
         yield [f[b[d] : b[d + 1]] for f, b in zip(found, begins)]
 
 
+Example = tuple[np.ndarray, np.ndarray, int, bool]  # buckets, counts, language number, only for calibration
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: embeddings times layer
+    table: np.ndarray  # BUCKETS x languages: embeddings times layer; or the embeddings
+    layer: np.ndarray | None
     bias: np.ndarray
     temperature: float
     reject: float
 
+    def logits(self, summed: np.ndarray, n: int) -> np.ndarray:
+        return (summed if self.layer is None else summed @ self.layer) / max(1, n) + self.bias
+
     def scores(self, parts: list[np.ndarray]) -> np.ndarray:
         n = sum(map(len, parts))
         if n > 2048:
-            logits = sum(np.bincount(p, minlength=BUCKETS) for p in parts) @ self.table
+            summed = sum(np.bincount(p, minlength=BUCKETS) for p in parts) @ self.table
         else:
-            logits = self.table[np.concatenate(parts)].sum(axis=0)
-        logits = (logits / max(1, n) + self.bias) / self.temperature
+            summed = self.table[np.concatenate(parts)].sum(axis=0)
+        logits = self.logits(summed, n) / self.temperature
         e = np.exp(logits - logits.max())
         return e / e.sum()
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], seed: int = 7, reject: float = REJECT) -> Model:
-    """Fit on (buckets, counts, language number); every fifth example only calibrates."""
+def train(batches: list[Callable[[], list[Example]]], size: int, languages: list[str], seed: int = 7, reject: float = REJECT) -> Model:
+    """Fit on batches of ``size`` examples in all, read anew in every epoch; those for calibration are not learnt."""
     rng = np.random.default_rng(seed)
-    size = len(languages)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
-    layer, bias = np.zeros((DIMENSIONS, size)), np.zeros(size)
-    held = [x for k, x in enumerate(examples) if k % 5 == 4]
-    fitted = [x for k, x in enumerate(examples) if k % 5 != 4]
-    steps, done = EPOCHS * max(1, len(fitted)), 0
+    layer, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
+    steps, done = EPOCHS * max(1, size), 0
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(fitted)):
-            buckets, counts, y = fitted[k]
-            rate = 0.5 * (1 - done / steps)
-            done += 1
-            if not len(buckets):
-                continue
-            share = counts / counts.sum()
-            hidden = share @ vectors[buckets]
-            logits = hidden @ layer + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y] -= 1
-            back = layer @ p
-            layer -= rate * np.outer(hidden, p)
-            bias -= 0.1 * rate * p
-            # The average divides the gradient among all subwords; scaled by their number it keeps one pace.
-            vectors[buckets] -= rate * np.minimum(1.0, share * len(share))[:, None] * back
-    model = Model(languages, (vectors @ layer).astype(np.float32), bias.astype(np.float32), 1.0, reject)
+        for b in rng.permutation(len(batches)):
+            examples = batches[b]()
+            for k in rng.permutation(len(examples)):
+                buckets, counts, y, aside = examples[k]
+                rate = 0.5 * (1 - done / steps)
+                done += 1
+                if aside:
+                    continue
+                share = counts / counts.sum()
+                hidden = share @ vectors[buckets]
+                logits = hidden @ layer + bias
+                p = np.exp(logits - logits.max())
+                p /= p.sum()
+                p[y] -= 1
+                back = layer @ p
+                layer -= rate * np.outer(hidden, p)
+                bias -= 0.1 * rate * p
+                # The average divides the gradient among all subwords; scaled by their number it keeps one pace.
+                vectors[buckets] -= rate * np.minimum(1.0, share * len(share))[:, None] * back
+    folded = len(languages) <= DIMENSIONS
+    model = Model(
+        languages, (vectors @ layer if folded else vectors).astype(np.float32), None if folded else layer.astype(np.float32), bias.astype(np.float32), 1.0, reject
+    )
+    temperatures = np.geomspace(0.2, 20, 60)
+    losses, held = np.zeros(len(temperatures)), 0
+    for batch in batches:
+        for buckets, counts, y, aside in batch():
+            if aside:
+                logits = model.logits(counts @ model.table[buckets], counts.sum()).astype(np.float64)
+                z = logits - logits.max()
+                losses += [np.log(np.exp(z / t).sum()) - z[y] / t for t in temperatures]
+                held += 1
     if held:
-        logits = np.array([(c @ model.table[b] / max(1, c.sum()) if len(b) else 0) + bias for b, c, _ in held]).reshape(len(held), size)
-        truth = np.array([y for *_, y in held])
-
-        def loss(t: float) -> float:
-            z = logits / t
-            z = z - z.max(axis=1, keepdims=True)
-            return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]))
-
-        model.temperature = min(np.geomspace(0.2, 20, 60), key=loss)
+        model.temperature = float(temperatures[losses.argmin()])
     return model
 
 
@@ -140,8 +154,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "place": part.column("place"),
-                    "lang": part.column("lang"),
+                    **{n: part.column(n) for n in part.schema.names if n != "text"},
                     "buckets": pa.array(buckets, pa.list_(pa.int32())),
                     "counts": pa.array(counts, pa.list_(pa.int32())),
                 }
@@ -154,29 +167,53 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     sample: int = SAMPLE,
-    languages: int = LANGUAGES,
+    total: int = TOTAL,
     reject: float = REJECT,
 ) -> Model | None:
     """Train on about ``sample`` rows of each language; None if no row has a text with a letter and a language.
 
-    The rows are those with the smallest hashes of their id, so reruns train alike. With more than
-    ``languages`` languages the rarest are not learnt.
+    The rows are chosen by the hash of their id and text, so reruns train alike; repeated rows count once.
+    If ``sample`` rows of each language are more than ``total``, all have an equal share of it, and one row at least.
     """
     ship(labelled.sparkSession)
+    spark = labelled.sparkSession
     rows = labelled.select(
-        F.xxhash64(F.col(id_col), F.lit(11)).alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
-    ).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)  # a bounded table
-    share = F.lit(float(sample)) / F.col("count")
-    chosen = rows.join(F.broadcast(sizes), "lang").where(F.pmod("place", F.lit(1 << 30)) < share * float(1 << 30))
-    schema = "place long, lang string, buckets array<int>, counts array<int>"
-    got = chosen.select("place", "lang", "text").mapInArrow(_count, schema).toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
-    names = sorted(set(got.column("lang").to_pylist()))
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+    ).where("lang is not null and text is not null and text rlike '[A-Za-z]|[^\\\\x00-\\\\x7F]'")
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")))
+    names = sorted(r[0] for r in sizes.select("lang").collect())
+    if not names:
+        return None
+    each = max(1, min(sample, total // len(names)))
+    parts = -(-sizes.agg(F.sum(F.least("n", F.lit(each)))).first()[0] // BATCH)
+    least = F.col("place") == F.col("least")  # of every language one row is chosen and learnt
+    chosen = rows.join(F.broadcast(sizes), "lang").where((F.pmod("place", F.lit(1 << 30)) < float(1 << 30) * each / F.col("n")) | least)
+    aside = (F.pmod("place", F.lit(5)) == 4) & ~least
+    batch = F.pmod(F.shiftright("place", 30), F.lit(parts)).cast("int")
+    chosen = chosen.select("place", "lang", aside.alias("aside"), batch.alias("batch"), "text").dropDuplicates(["place", "lang"])
+    schema = "place long, lang string, aside boolean, batch int, buckets array<int>, counts array<int>"
+    path = f"{ensure_checkpoint_dir(spark)}/langid/{uuid.uuid4().hex}"
+    chosen.mapInArrow(_count, schema).repartition("batch").write.partitionBy("batch").parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    held = {r[0]: r[1] for r in written.groupBy("batch").count().collect()}
     number = {n: k for k, n in enumerate(names)}
-    values = [[np.asarray(x.values) for x in got.column(c)] for c in ("buckets", "counts")]
-    # Views of the received buffers, not copies.
-    examples = [(b, c, number[y]) for b, c, y in zip(*values, got.column("lang").to_pylist()) if len(b)]
-    return train(examples, names, reject=reject) if examples else None
+    kept: dict[int, list[Example]] = {}
+    room = KEPT
+
+    def load(b: int) -> list[Example]:
+        nonlocal room
+        if b in kept:
+            return kept[b]
+        got = written.where(F.col("batch") == b).drop("batch").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+        values = [[np.asarray(x.values) for x in got.column(c)] for c in ("buckets", "counts")]
+        # Views of the received buffers, not copies.
+        examples = [(x, c, number[y], a) for x, c, y, a in zip(*values, *(got.column(c).to_pylist() for c in ("lang", "aside")))]
+        if got.nbytes <= room:
+            room -= got.nbytes
+            kept[b] = examples
+        return examples
+
+    return train([lambda b=b: load(b) for b in sorted(held)], sum(held.values()), names, reject=reject)
 
 
 def _predict(shared):

@@ -207,6 +207,22 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than one sample can treat alike, rare ones beside a large one, and one row repeated without an id."""
+    words = {f"l{n:03}": [f"{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}{x}" for x in ("qua", "zem", "tro")] for n in range(230)}
+    rows = [(n * 10 + k, " ".join(w[k % 3 :] + w) * 4, lang) for n, (lang, w) in enumerate(words.items()) for k in range(6)]
+    rows += [(100_000 + k, f"{k} xylo phon {k % 7}", "many") for k in range(3000)] + [(None, "vlk vlk vlk", "same")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    assert model.languages == sorted({*words, "many", "same"})
+    got = identify(docs, model).collect()
+    got = [r for r in got if r.lang != "same"]
+    assert {r.lang_pred for r in got if r.lang == r.lang_pred} == {*words, "many"}
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    few = fit(docs, total=300)  # one row of each: all are still there
+    assert few.languages == model.languages
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert all(r.spans == [] for r in find_personal_data(odd, train_field(odd)).collect())
     assert train_field(none) is None and find_personal_data(none, None).count() == 0
