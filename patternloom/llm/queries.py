@@ -16,6 +16,7 @@ from patternloom.llm.mixing import mix_sources
 from patternloom.llm.near import near_groups
 from patternloom.llm.pages import extract_text, train_weights
 from patternloom.llm.pii import KINDS, find_personal_data, listed, train_field
+from patternloom.llm.resample import resample
 from patternloom.llm.roles import repair_roles
 from patternloom.llm.rollup import BytePairs, Rollup, Runs, count_tokens, deletes, inserts, revisions
 from patternloom.session import cut_lineage, ensure_checkpoint_dir
@@ -111,15 +112,33 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resample(docs, target).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_role_repair, op3_language_id, op4_exact_dedup, op5_personal_data,
         op6_license_scan, op7_token_rollup, op8_main_text, op9_near_dedup, op10_mix_sources,
+        op12_importance_resample,
     )
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 in SQL: the table of 256 remainders, and the fold over the bytes of a text.
+_CRC_TABLE = """crc_table as (
+            select list(v order by i) as t
+            from (select i, list_reduce(range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v from range(256) r(i))
+        )"""
+
+
+def _crc32(text: str) -> str:
+    data = f"list_transform(range(1, 2 * octet_length(encode({text})) + 1, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::bigint)"
+    return f"xor(list_reduce({data}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": rf"""
         with docs as (
@@ -204,4 +223,28 @@ ORACLES: dict[str, str] = {
                cast(floor(rate) * size + greatest(0, least(upto, goal) - (upto - size)) as bigint) as taken
         from ordered
     """,
+    "op12_importance_resample": rf"""
+        with {_CRC_TABLE},
+        docs as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+        doc_words as (select r, unnest(ws) as w from docs),
+        target_words as (select unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+        vocabulary as (select w, {_crc32("w")} % 10000 as bucket from (select w from doc_words union select w from target_words), crc_table),
+        source as (select bucket, count(*) as s from doc_words join vocabulary using (w) group by bucket),
+        target as (select bucket, count(*) as t from target_words join vocabulary using (w) group by bucket),
+        sums as (select (select coalesce(sum(s), 0) from source)::double as all_s, (select coalesce(sum(t), 0) from target)::double as all_t),
+        gain as (
+            select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (all_s + 10000) / ((coalesce(s, 0) + 1)::double * (all_t + 10000))))::bigint as g
+            from (select distinct bucket from vocabulary) left join source using (bucket) left join target using (bucket), sums
+        ), weights as (select r, sum(g)::bigint as weight from doc_words join vocabulary using (w) join gain using (bucket) group by r),
+        scored as (
+            select doc_id, len(ws)::bigint as n_features, coalesce(weight, 0) as weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+            from docs left join weights using (r)
+        ), ranked as (
+            select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+                   10 * (count(*) filter (n_features >= 20) over ()) // 100 as drawn
+            from scored
+        )
+        select doc_id, n_features, weight, score, case when n_features >= 20 and place <= drawn then place end as rank from ranked
+    """,
 }
