@@ -19,6 +19,8 @@ from patternloom.llm.pii import KINDS, find_personal_data, listed, train_field
 from patternloom.llm.resample import resample
 from patternloom.llm.roles import repair_roles
 from patternloom.llm.rollup import BytePairs, Rollup, Runs, count_tokens, deletes, inserts, revisions
+from patternloom.llm.structure import damaged, digests, emptied, repair_structure
+from patternloom.llm.toxicity import fit_toxicity, score_toxicity
 from patternloom.session import cut_lineage, ensure_checkpoint_dir
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -112,16 +114,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = digests(repair_structure(damaged(given), "conv", "turn"), "conv").withColumnRenamed("conv", "conv_id")
+    nothing = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return repaired.unionByName(emptied(given).withColumns(nothing))
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target).drop("n_words")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    aside = held_out(F.col("doc_id"))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~aside)))
+    return scored.select("doc_id", aside.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_role_repair, op3_language_id, op4_exact_dedup, op5_personal_data,
         op6_license_scan, op7_token_rollup, op8_main_text, op9_near_dedup, op10_mix_sources,
-        op12_importance_resample,
+        op11_structure_repair, op12_importance_resample, op13_toxicity,
     )
 }
 
@@ -223,6 +240,60 @@ ORACLES: dict[str, str] = {
                cast(floor(rate) * size + greatest(0, least(upto, goal) - (upto - size)) as bigint) as taken
         from ordered
     """,
+    "op11_structure_repair": rf"""
+        with recursive {_CRC_TABLE},
+        given as (select *, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations, crc_table),
+        kept as (
+            select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+                   case kind when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+                   unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+            from given where kind <> 0
+        ), seen as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k,
+                   row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+                   rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, role[1:1] as initial
+            from kept
+        ), faulty as (
+            select *, case when bare = '' then 'blank' when again > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+                   lag(initial) over (partition by conv_id order by k) || initial as pair
+            from seen
+        ), counted as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+                   count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+                   count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+            from faulty group by conv_id
+        ), steps(conv_id, k, e, s, u, a) as (
+            -- Cheapest (cost, audit) for each initial written last, after k turns.
+            select conv_id, 0::bigint, {{'c': 0, 'w': ''}}, {{'c': 1000000, 'w': ''}}, {{'c': 1000000, 'w': ''}}, {{'c': 1000000, 'w': ''}} from counted
+            union all
+            select conv_id, k, {{'c': e.c + 3, 'w': e.w || 'D'}}, least({{'c': s.c + 3, 'w': s.w || 'D'}}, {{'c': e.c + if(initial = 's', stay, 1000000), 'w': e.w || 'K'}}),
+                   list_sort([{{'c': u1.c + 3, 'w': u1.w || 'D'}}] || list_transform([e, s, a1], lambda x: {{'c': x.c + 2 + stay, 'w': x.w || 'R'}})
+                             || list_transform([e, s, a1], lambda x: {{'c': x.c + if(initial = 'u', stay, 1000000), 'w': x.w || 'K'}}))[1],
+                   list_sort([{{'c': a1.c + 3, 'w': a1.w || 'D'}}, {{'c': u1.c + 2 + stay, 'w': u1.w || 'R'}}, {{'c': u1.c + if(initial = 'a', stay, 1000000), 'w': u1.w || 'K'}}])[1]
+            from (select t.*, f.k as next, f.initial, case fault when 'truncated' then 1 when '' then 0 else 1000000 end as stay,
+                         list_sort([u, {{'c': e.c + 2, 'w': e.w || 'I'}}, {{'c': s.c + 2, 'w': s.w || 'I'}}, {{'c': a.c + 2, 'w': a.w || 'I'}}])[1] as u1,
+                         list_sort([a, {{'c': u.c + 2, 'w': u.w || 'I'}}, {{'c': e.c + 4, 'w': e.w || 'II'}}, {{'c': s.c + 4, 'w': s.w || 'II'}}])[1] as a1
+                  from steps t join faulty f on f.conv_id is not distinct from t.conv_id and f.k = t.k + 1) x(conv_id, before, e, s, u, a, k, initial, stay, u1, a1)
+        ), best as (
+            select steps.conv_id, list_sort([e, a, {{'c': u.c + 2, 'w': u.w || 'I'}}, {{'c': s.c + 4, 'w': s.w || 'II'}}])[1] as b
+            from steps join counted on counted.conv_id is not distinct from steps.conv_id and k = n
+        ), edits as (select conv_id, unnest(range(1, len(b.w) + 1)) as i, b.w as w from best),
+        placed as (select conv_id, i, w[i] as edit, len(replace(w[1 : i], 'I', '')) as k, len(replace(w[1 : i], 'D', '')) as p from edits),
+        written as (
+            select placed.*, faulty.role, faulty.text, faulty.initial,
+                   max(case when p = 1 and edit = 'K' and initial = 's' then 1 else 0 end) over (partition by placed.conv_id) as headed
+            from placed left join faulty on faulty.conv_id is not distinct from placed.conv_id and faulty.k = placed.k and edit <> 'I'
+        ), texts as (
+            select conv_id, string_agg(case when edit = 'K' then role when (p - headed) % 2 = 1 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by i) as repaired
+            from written where edit <> 'D' group by conv_id
+        )
+        select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.w, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) ids
+        left join counted on counted.conv_id is not distinct from ids.conv_id
+        left join best on best.conv_id is not distinct from ids.conv_id
+        left join texts on texts.conv_id is not distinct from ids.conv_id
+    """,
     "op12_importance_resample": rf"""
         with {_CRC_TABLE},
         docs as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
