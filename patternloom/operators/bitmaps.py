@@ -66,18 +66,25 @@ def token_competition_bitmap(
     return keep_winners(ordered, winners).select(*scored.columns)
 
 
+def cover_bitmap(lut: DataFrame, rules: DataFrame, model: TableModel, max_rules: int | None = None) -> DataFrame:
+    """``rule_cls, bucket, covered``: the rows that some rule of a class covers."""
+    cover = coverage_bitmaps(lut, rules.select("rule_id", "cls", "masks"), model, max_rules, ("cls",))
+    return cover.groupBy(F.col("cls").alias("rule_cls"), "bucket").agg(F.bitmap_or_agg("covered").alias("covered"))
+
+
+def added_bitmap(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``rule_cls, n``: rows of one cover that another one lacks."""
+    both = before.withColumn("_old", F.lit(1)).unionByName(now.withColumn("_old", F.lit(0)))
+    old = F.coalesce(F.bitmap_count(F.bitmap_or_agg(F.when(F.col("_old") == 1, F.col("covered")))), F.lit(0))
+    per_bucket = both.groupBy("rule_cls", "bucket").agg((F.bitmap_count(F.bitmap_or_agg("covered")) - old).alias("n"))
+    return per_bucket.groupBy("rule_cls").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def newly_covered_bitmap(
     lut: DataFrame, previous: DataFrame, now: DataFrame, model: TableModel, max_rules: int | None = None
 ) -> DataFrame:
     """``rule_cls, n``: rows a class's rules cover now and did not before."""
-    tagged = previous.select("rule_id", "cls", "masks", F.lit(1).alias("_old")).unionByName(
-        now.select("rule_id", "cls", "masks", F.lit(0).alias("_old"))
-    )
-    cover = coverage_bitmaps(lut, tagged, model, max_rules, ("cls", "_old"))
-    old = F.coalesce(F.bitmap_count(F.bitmap_or_agg(F.when(F.col("_old") == 1, F.col("covered")))), F.lit(0))
-    both = F.bitmap_count(F.bitmap_or_agg("covered"))
-    per_bucket = cover.groupBy("bucket", "cls").agg((both - old).alias("n"))
-    return per_bucket.groupBy(F.col("cls").alias("rule_cls")).agg(F.sum("n").alias("n")).where("n > 0")
+    return added_bitmap(*(cover_bitmap(lut, rules, model, max_rules) for rules in (previous, now)))
 
 
 def _has_bit(bits: str, row: str) -> str:
@@ -87,39 +94,31 @@ def _has_bit(bits: str, row: str) -> str:
 
 
 def first_uncovered_bitmap(
-    lut: DataFrame, rules: DataFrame, model: TableModel, cls: str, max_rules: int | None = None
+    lut: DataFrame, rules: DataFrame, model: TableModel, classes, max_rules: int | None = None
 ) -> DataFrame:
-    """``bucket, row`` of the first row of the class no rule covers; empty if all are covered."""
-    members = class_bitmaps(lut, model).where(F.col("cls") == cls).select("bucket", "members")
-    cover = coverage_bitmaps(lut, rules, model, max_rules).select("bucket", F.col("covered").alias("bits"))
-    tagged = members.select("bucket", F.col("members").alias("bits"), F.lit(1).alias("_m")).unionByName(
-        cover.select("bucket", "bits", F.lit(0).alias("_m"))
-    )
-    per_bucket = tagged.groupBy("bucket").agg(
+    """``cls, bucket, row`` of the first row of each class that no rule of the class covers; a class without one is absent."""
+    classes = [classes] if isinstance(classes, str) else list(classes)
+    wanted = F.col("cls").isin(classes)
+    members = class_bitmaps(lut, model).where(wanted).select("cls", "bucket", F.col("members").alias("bits"), F.lit(1).alias("_m"))
+    cover = cover_bitmap(lut, rules.where(wanted), model, max_rules)
+    tagged = members.unionByName(cover.select(F.col("rule_cls").alias("cls"), "bucket", F.col("covered").alias("bits"), F.lit(0).alias("_m")))
+    per_bucket = tagged.groupBy("cls", "bucket").agg(
         F.bitmap_or_agg(F.when(F.col("_m") == 1, F.col("bits"))).alias("members"),
         F.bitmap_or_agg(F.when(F.col("_m") == 0, F.col("bits"))).alias("covered"),
         F.bitmap_count(F.bitmap_or_agg("bits")).alias("_both"),
     )
     # A bucket has uncovered members iff adding them to the covered rows adds bits.
     open_buckets = per_bucket.where("members is not null and _both > coalesce(bitmap_count(covered), 0)")
-    first = open_buckets.orderBy("bucket").limit(1)
-    rows = first.select("bucket", "members", "covered", F.explode(F.sequence(F.lit(0), F.lit(BUCKET_ROWS - 1))).alias("row"))
+    first = open_buckets.groupBy("cls").agg(F.min_by(F.struct("bucket", "members", "covered"), "bucket").alias("_b")).select("cls", "_b.*")
+    rows = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(BUCKET_ROWS - 1))).alias("row"))
     missing = f"{_has_bit('members', 'row')} and (covered is null or not ({_has_bit('covered', 'row')}))"
-    return rows.where(missing).groupBy("bucket").agg(F.min("row").alias("row"))
+    return rows.where(missing).groupBy("cls", "bucket").agg(F.min("row").alias("row"))
 
 
 def uncovered_pairs_bitmap(
     lut: DataFrame, rules: DataFrame, model: TableModel, classes, max_rules: int | None = None
 ) -> DataFrame:
-    """``cls, var, val``: features of the first row of each class its rules leave uncovered."""
-    found = []
-    for cls in classes:
-        mine = rules.where(F.col("cls") == cls)
-        at = first_uncovered_bitmap(lut, mine, model, cls, max_rules).head()
-        if at is not None:
-            here = lut.where((F.col("bucket") == at["bucket"]) & (F.col("var") >= 0))
-            has = here.where(_has_bit("bits", str(at["row"])))
-            found.append(has.select(F.lit(cls).alias("cls"), "var", "val"))
-    if not found:
-        return lut.limit(0).select(F.lit("").alias("cls"), "var", "val")
-    return reduce(lambda a, b: a.unionByName(b), found)
+    """``cls, var, val``: features of the first row of each class its rules leave uncovered, all classes at once."""
+    at = first_uncovered_bitmap(lut, rules, model, classes, max_rules)  # one row per class at most
+    here = lut.where(F.col("var") >= 0).join(F.broadcast(at), "bucket")
+    return here.where(_has_bit("bits", "row")).select("cls", "var", "val")

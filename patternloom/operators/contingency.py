@@ -15,23 +15,24 @@ from patternloom.operators.coverage import coverage_bitmaps, match_rules
 
 def _assemble(rules: DataFrame, hits: DataFrame, encoded: DataFrame, class_totals: dict | None) -> DataFrame:
     joined = rules.join(hits, "rule_id", "left")
-    if class_totals is None:
-        totals = encoded.groupBy("cls").agg(F.sum("n").alias("n_cls"))
-        n_total = F.coalesce(totals.agg(F.sum("n_cls")).scalar(), F.lit(0))
-        joined = joined.join(totals, "cls", "left")
-        positives = F.coalesce("n_cls", F.lit(0))
-    else:
-        n_total = F.lit(sum(class_totals.values())).cast("bigint")
-        held = F.from_json(F.lit(json.dumps(class_totals)), "map<string,bigint>")
-        positives = F.coalesce(F.try_element_at(held, F.col("cls")), F.lit(0)).cast("bigint")
+    if class_totals is not None:
+        return joined.select(*rules.columns, *confusion("cls", class_totals))
+    totals = encoded.groupBy("cls").agg(F.sum("n").alias("n_cls"))
+    n_total = F.coalesce(totals.agg(F.sum("n_cls")).scalar(), F.lit(0))
+    joined = joined.join(totals, "cls", "left")
+    return joined.select(*rules.columns, *_four(n_total, F.coalesce("n_cls", F.lit(0))))
+
+
+def _four(n_total, positives) -> list:
     covered, tp = F.coalesce("covered", F.lit(0)), F.coalesce("tp", F.lit(0))
-    return joined.select(
-        *rules.columns,
-        tp.alias("tp"),
-        (covered - tp).alias("fp"),
-        (n_total - positives - covered + tp).alias("tn"),
-        (positives - tp).alias("fn"),
-    )
+    return [tp.alias("tp"), (covered - tp).alias("fp"), (n_total - positives - covered + tp).alias("tn"), (positives - tp).alias("fn")]
+
+
+def confusion(cls: str, class_totals: dict[str, int]) -> list:
+    """tp, fp, tn and fn from the columns ``covered`` and ``tp`` (null: 0) and the rows of each class."""
+    held = F.from_json(F.lit(json.dumps(class_totals)), "map<string,bigint>")
+    positives = F.coalesce(F.try_element_at(held, F.col(cls)), F.lit(0)).cast("bigint")
+    return _four(F.lit(sum(class_totals.values())).cast("bigint"), positives)
 
 
 def contingency(
@@ -48,14 +49,18 @@ def contingency(
     they are shuffled; then only (rule, count, count) partial sums are exchanged. ``class_totals``
     gives the rows per class where they are known; otherwise they are counted.
     """
+    return _assemble(rules, covered_counts(encoded, rules, model, max_rules, merged).drop("rule_cls"), encoded, class_totals)
+
+
+def covered_counts(encoded: DataFrame, rules: DataFrame, model: TableModel, max_rules: int | None = None, merged: bool = False) -> DataFrame:
+    """``rule_id, rule_cls, covered, tp`` of the rules that cover some row."""
     hit = F.col("cls") == F.col("rule_cls")
     rows = encoded if merged else encoded.groupBy("cls", *model.mask_columns).agg(F.sum("n").alias("n"))
-    counts = (
+    return (
         match_rules(rows, rules, model, max_rules=max_rules)
-        .groupBy("rule_id")
+        .groupBy("rule_id", "rule_cls")
         .agg(F.sum("n").alias("covered"), F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0))).alias("tp"))
     )
-    return _assemble(rules, counts, encoded, class_totals)
 
 
 def contingency_bitmap(
@@ -70,15 +75,17 @@ def contingency_bitmap(
 
     Class totals come from ``encoded`` or from ``class_totals``.
     """
-    counts = (
-        coverage_bitmaps(lut, rules, model, max_rules)
-        .groupBy("rule_id")
-        .agg(
-            F.sum(F.bitmap_count("covered")).alias("covered"),
-            F.sum(F.coalesce(F.bitmap_count("positive"), F.lit(0))).alias("tp"),
-        )
+    return _assemble(rules, covered_counts_bitmap(lut, rules, model, max_rules).drop("rule_cls"), encoded, class_totals)
+
+
+def covered_counts_bitmap(lut: DataFrame, rules: DataFrame, model: TableModel, max_rules: int | None = None) -> DataFrame:
+    """``rule_id, rule_cls, covered, tp`` of the rules that cover some row."""
+    positive = F.coalesce(F.bitmap_count("positive"), F.lit(0))
+    return (
+        coverage_bitmaps(lut, rules, model, max_rules, ("cls",))
+        .groupBy("rule_id", F.col("cls").alias("rule_cls"))
+        .agg(F.sum(F.bitmap_count("covered")).alias("covered"), F.sum(positive).alias("tp"))
     )
-    return _assemble(rules, counts, encoded, class_totals)
 
 
 def penalise_empty(scored: DataFrame, model: TableModel, objectives, rank: str | None = None) -> DataFrame:

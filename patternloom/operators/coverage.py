@@ -194,11 +194,12 @@ def first_uncovered(encoded: DataFrame, rules: DataFrame, model: TableModel, cls
     return uncovered(encoded, rules, model, cls, max_rules).agg(F.min("first_rid").alias("first_rid"))
 
 
-def covering_pairs(encoded: DataFrame, model: TableModel, where: Column) -> DataFrame:
-    """All (var, val) features of the one row the condition picks."""
+def covering_pairs(encoded: DataFrame, model: TableModel, where: Column | None = None, keep=()) -> DataFrame:
+    """``keep..., var, val``: all features of the rows the condition picks, one row per value of ``keep`` as a rule."""
     from patternloom.operators.encode import items_long
 
-    return items_long(encoded.where(where), model, keep=()).distinct()
+    picked = encoded if where is None else encoded.where(where)
+    return items_long(picked, model, keep=keep).distinct()
 
 
 # -- bitmap layout -----------------------------------------------------------

@@ -6,7 +6,7 @@ generation, step and rule, so nothing is shuffled to make a candidate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternloom.functions.hashing import pick, random_bits, uniform
@@ -104,32 +104,25 @@ def covering_masks(
     most as many per class as features. Between 1 and ceil(pct * pairs) + 1 of them are
     drawn, never more than exist; of two values of one variable the one drawn later stays.
     """
-    listed = pairs.groupBy("cls").agg(_listed())
-    return _from_pairs(ids.join(listed, "cls"), ids.columns, model, seed, gen, pct)
-
-
-def _listed() -> Column:
-    """Pairs of a group as one sorted array."""
-    return F.array_sort(F.collect_list(F.struct("var", "val"))).alias("_pairs")
-
-
-def _from_pairs(ids: DataFrame, kept, model: TableModel, seed: int, gen: int, pct: float) -> DataFrame:
+    listed = pairs.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("var", "val"))).alias("_pairs"))
+    kept = ids.columns
     most = f"least(cast(ceil(size(_pairs) * {pct}D) as int) + 1, size(_pairs))"
     how_many = pick(most, seed, gen, _quoted("covering_n"), "rule_id") + " + 1"
     rank = uniform(seed, gen, _quoted("covering_pair"), "rule_id", "_p.var", "_p.val")
     order = f"array_sort(transform(_pairs, _p -> struct({rank} as u, _p.var as var, _p.val as val)))"
     word = f"aggregate(_drawn, 0L, (_acc, _d) -> if(_d.var = _w.v, {_bit(model, '_d.val')}, _acc))"
-    return ids.selectExpr(*kept, f"slice({order}, 1, {how_many}) as _drawn").selectExpr(
+    return ids.join(listed, "cls").selectExpr(*kept, f"slice({order}, 1, {how_many}) as _drawn").selectExpr(
         *kept, f"{_words(model, word)} as masks"
     )
 
 
 def init_covering(
-    spark: SparkSession, pairs: DataFrame, model: TableModel, n: int, cls: str, seed: int, gen: int = 0, pct: float = 0.5
+    spark: SparkSession, pairs: DataFrame, model: TableModel, n: int, seed: int, gen: int = 0, pct: float = 0.5
 ) -> DataFrame:
-    """``n`` rules of one class from the features ``var, val`` of one of its rows."""
-    ids = _ids(spark, n).withColumns({"cls": F.lit(cls), "_pairs": pairs.agg(_listed()).scalar()})
-    return _from_pairs(ids, ["rule_id", "cls"], model, seed, gen, pct)
+    """``n`` rules of every class that has features ``cls, var, val`` of one of its rows, numbered class by class."""
+    classes = ", ".join(_quoted(c) for c in model.classes)
+    ids = _ids(spark, n * len(model.classes)).selectExpr("rule_id", f"element_at(array({classes}), cast(rule_id div {n} as int) + 1) as cls")
+    return covering_masks(ids, pairs, model, seed, gen, pct)
 
 
 # -- variation -------------------------------------------------------------

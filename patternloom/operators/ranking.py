@@ -34,7 +34,8 @@ def _goal(name: str, minimise) -> Column:
     return -v if name in minimise else v
 
 
-def _with_vector(df: DataFrame, objectives, minimise) -> tuple[DataFrame, list[str]]:
+def with_vector(df: DataFrame, objectives, minimise) -> tuple[DataFrame, list[str]]:
+    """Add the objectives as they are compared: rounded, and to be maximised."""
     names = [f"_o{i}" for i in range(len(objectives))]
     # Adding zero merges -0.0 with 0.0.
     cols = {n: _goal(o, minimise) + F.lit(0.0) for n, o in zip(names, objectives)}
@@ -135,13 +136,13 @@ def _front_points(points: DataFrame, by: list[str], names: list[str]) -> DataFra
 def pareto_front(df: DataFrame, objectives, by="cls", minimise=()) -> DataFrame:
     """Rows no other row of their group dominates."""
     keys = _keys(by)
-    full, names = _with_vector(df, objectives, minimise)
+    full, names = with_vector(df, objectives, minimise)
     points = full.select(*keys, *names).distinct()
     front = _front_points(points, keys, names)
     return full.join(front, [*keys, *names], "left_semi").drop(*names)
 
 
-def _rank_group(values: np.ndarray) -> np.ndarray:
+def rank_vectors(values: np.ndarray) -> np.ndarray:
     """Front number of every distinct vector: sort once, then place each in the first front it fits.
 
     In lexicographic order only earlier vectors can dominate a later one, and a vector
@@ -188,7 +189,7 @@ def nondominated_rank(
     """
     keys = _keys(by)
     ship(df.sparkSession)
-    full, names = _with_vector(df, objectives, minimise)
+    full, names = with_vector(df, objectives, minimise)
     if len(names) == 1:
         line = Window.partitionBy(*keys).orderBy(F.desc(names[0]))
         number = F.dense_rank().over(line) - 1
@@ -201,7 +202,7 @@ def nondominated_rank(
 
         def rank_rows(pdf: pd.DataFrame) -> pd.DataFrame:
             vectors, back = np.unique(pdf[names].to_numpy(), axis=0, return_inverse=True)
-            ranks = _rank_group(vectors)[back.ravel()]
+            ranks = rank_vectors(vectors)[back.ravel()]
             if max_rank is not None:
                 ranks = pd.array(np.where(ranks <= max_rank, ranks, -1), dtype="Int32").replace(-1, pd.NA)
             return pdf.assign(rank=ranks)[schema.names]
@@ -215,7 +216,7 @@ def nondominated_rank(
         schema = points.withColumn("rank", F.lit(0)).schema
 
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf.assign(rank=_rank_group(pdf[names].to_numpy()))
+            return pdf.assign(rank=rank_vectors(pdf[names].to_numpy()))
 
         ranked = points.groupBy(*keys).applyInPandas(rank, schema)
         if max_rank is not None:

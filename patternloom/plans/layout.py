@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patternloom.model import TableModel
 from patternloom.operators import bitmaps
-from patternloom.operators.contingency import contingency, contingency_bitmap
+from patternloom.operators.contingency import contingency, contingency_bitmap, covered_counts, covered_counts_bitmap
 from patternloom.operators.coverage import match_rules, uncovered
 from patternloom.operators.encode import compact, encode_items, items_long, signatures
 from patternloom.operators.profile import quoted
@@ -42,21 +42,35 @@ class RowLayout:
     def counts(self, rules, max_rules=None):
         return contingency(self.encoded, rules, self.model, max_rules, self.class_totals, self.merged)
 
+    def covered(self, rules, max_rules=None) -> DataFrame:
+        """``rule_id, rule_cls, covered, tp`` of the rules that cover some row."""
+        return covered_counts(self.encoded, rules, self.model, max_rules, self.merged)
+
     def token_competition(self, scored, max_rules=None):
         return token_competition(self.encoded, scored, self.model, max_rules)
 
-    def newly_covered(self, previous, now, max_rules=None) -> DataFrame:
-        """``rule_cls, n``: rows a class's rules cover now and did not before."""
-        tagged = previous.select("rule_id", "cls", "masks", F.lit(1).alias("_old")).unionByName(
-            now.select("rule_id", "cls", "masks", F.lit(0).alias("_old"))
-        )
+    @property
+    def spark(self):
+        return self.encoded.sparkSession
+
+    def cover(self, rules, max_rules=None) -> DataFrame:
+        """The rows that some rule of a class covers: signatures with their weight, once per ``rule_cls``."""
         keys = ["cls", *self.model.mask_columns]
         rows = self.encoded if self.merged else signatures(self.encoded, self.model)
-        hits = match_rules(rows, tagged, self.model, ["n", *keys], ("_old",), max_rules)
         # Signatures are unique by class and masks, so their weight is the same on every hit.
-        first = hits.groupBy("rule_cls", *keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
+        return match_rules(rows, rules, self.model, ["n", *keys], (), max_rules).groupBy("rule_cls", *keys).agg(F.max("n").alias("n"))
+
+    def added(self, before: DataFrame, now: DataFrame) -> DataFrame:
+        """``rule_cls, n``: rows of one cover that another one lacks."""
+        keys = ["rule_cls", "cls", *self.model.mask_columns]
+        both = before.select(*keys, "n", F.lit(1).alias("_old")).unionByName(now.select(*keys, "n", F.lit(0).alias("_old")))
+        first = both.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("n").alias("n"))
         return first.where("_old = 0").groupBy("rule_cls").agg(F.sum("n").alias("n"))
 
+    def newly_covered(self, previous, now, max_rules=None) -> DataFrame:
+        """``rule_cls, n``: rows a class's rules cover now and did not before."""
+        return self.added(self.cover(previous, max_rules), self.cover(now, max_rules))
+
     def uncovered_pairs(self, rules, classes, max_rules=None) -> DataFrame:
         """``cls, var, val``: features of the first row of each class its rules leave uncovered.
 
@@ -81,11 +95,25 @@ class BitmapLayout:
     def counts(self, rules, max_rules=None):
         return contingency_bitmap(self.lut, rules, self.model, max_rules, class_totals=self.class_totals)
 
+    def covered(self, rules, max_rules=None):
+        return covered_counts_bitmap(self.lut, rules, self.model, max_rules)
+
     def token_competition(self, scored, max_rules=None):
         return bitmaps.token_competition_bitmap(self.lut, scored, self.model, max_rules)
 
+    @property
+    def spark(self):
+        return self.lut.sparkSession
+
+    def cover(self, rules, max_rules=None):
+        """One bitmap per class and bucket."""
+        return bitmaps.cover_bitmap(self.lut, rules, self.model, max_rules)
+
+    def added(self, before, now):
+        return bitmaps.added_bitmap(before, now)
+
     def newly_covered(self, previous, now, max_rules=None):
-        return bitmaps.newly_covered_bitmap(self.lut, previous, now, self.model, max_rules)
+        return self.added(self.cover(previous, max_rules), self.cover(now, max_rules))
 
     def uncovered_pairs(self, rules, classes, max_rules=None):
         return bitmaps.uncovered_pairs_bitmap(self.lut, rules, self.model, classes, max_rules)

@@ -1,12 +1,13 @@
 """The whole mining run: search, reinitialisation, final selection, application.
 
-The state of the search is a rule table of bounded size (individuals per class), kept
-as a DataFrame and checkpointed every generation. Per generation the data is read once
-to count the offspring; only counts per class come back to the driver.
+The state of the search is a population of bounded size (individuals per class), which the driver holds; rules
+are scored on Spark, each canonical rule once, since a memo keeps what was seen. Rows and coverages stay on
+Spark: the cover of each class's front is written when the front changes, and only counts come back.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,32 +25,74 @@ from patternloom.operators.generate import (
     init_oriented,
     init_random,
     oriented_masks,
-    reproduce,
 )
 from patternloom.operators.profile import build_model
 from patternloom.operators.ranking import crowding_distance, nondominated_rank, pareto_front, select_top
 from patternloom.operators.rules import dedupe_rules
-from patternloom.operators.selection import better_set, measure_filter
+from patternloom.operators.selection import better_set, measure_filter, with_slot
 from patternloom.plans.layout import evaluate_rules, prepare
+from patternloom.plans.population import UNRANKED, Individual, Scorer, population_frame, reproduce_rules, survivors
 from patternloom.session import cut_lineage
 from patternloom.sources import reports
 
-UNRANKED = 2**31 - 1
 CREDIT_FLOOR = 2
 
 
-def fresh_classes(previous: set[tuple], front: set[tuple]) -> list[str]:
-    """Classes whose front holds a rule that was not in their front before."""
-    return sorted({cls for cls, _ in front - previous})
+def settled(rules: DataFrame) -> DataFrame:
+    """A rule table whose size a parameter bounds (a population, a front, an elite), evaluated once."""
+    return rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
 
 
-def changed_classes(layout, previous: DataFrame | None, front: DataFrame, classes: list[str], max_rules: int) -> set[str]:
-    """Which of the classes now cover a row their front of the generation before did not."""
-    if not classes:
-        return set()
-    now = front.where(F.col("cls").isin(classes))
-    old = front.limit(0) if previous is None else previous.where(F.col("cls").isin(classes))
-    return {r["rule_cls"] for r in layout.newly_covered(old, now, 2 * max_rules).collect()}
+class FrontCover:
+    """Tells whether a new front of a class covers rows that its front before did not."""
+
+    def __init__(self, layout):
+        self.layout, self.rules = layout, {c: frozenset() for c in layout.model.classes}
+        self.held: dict[str, tuple[frozenset, DataFrame]] = {}  # by class the front that was matched last, and its cover
+        self.known: dict[str, list[tuple[frozenset, frozenset, bool]]] = {c: [] for c in self.rules}
+
+    def changed(self, fronts: dict[str, frozenset]) -> set[str]:
+        """Classes whose front (canonical masks) now covers a row that their front before did not.
+
+        Only new rules can. What a larger front left uncovered, a smaller one does; so answers given before settle
+        many questions. For the others the fronts are matched in one job and their cover is kept, as
+        it is the one to compare with next time.
+        """
+        before, self.rules = self.rules, fronts
+        out, asked = set(), []
+        for c, front in fronts.items():
+            fresh = front - before[c]
+            if not fresh:
+                continue
+            answer = next((new for old, rules, new in self.known[c] if (old >= before[c] and rules <= fresh if new else old <= before[c] and rules >= fresh)), None)
+            if answer is None:
+                asked.append(c)
+            elif answer:
+                out.add(c)
+        if asked:
+            covers = {id(self.held[c][1]) for c in asked if c in self.held and self.held[c][0] == before[c]}
+            kept = len(covers) == 1 and all(c in self.held and self.held[c][0] == before[c] for c in asked)
+            old = self.held[asked[0]][1] if kept else self._cover(before, asked)
+            now = self._cover(fronts, asked).persist()
+            added = {r["rule_cls"] for r in self.layout.added(old.where(F.col("rule_cls").isin(asked)), now).collect()}
+            self.release(asked)
+            for c in asked:
+                self.held[c] = fronts[c], now
+                self.known[c].append((before[c], fronts[c] - before[c], c in added))
+            out |= added & set(asked)
+        return out
+
+    def _cover(self, fronts: dict[str, frozenset], classes: list[str]) -> DataFrame:
+        listed = [(i, c, list(m)) for i, (c, m) in enumerate((c, m) for c in classes for m in sorted(fronts[c]))]
+        table = self.layout.spark.createDataFrame(listed, "rule_id bigint, cls string, masks array<bigint>")
+        return self.layout.cover(table, len(listed))
+
+    def release(self, classes) -> None:
+        """Forget the covers of these classes; a cover that no class needs any more leaves the memory."""
+        gone = [self.held.pop(c)[1] for c in classes if c in self.held]
+        for cover in gone:
+            if all(cover is not other for _, other in self.held.values()):
+                cover.unpersist()
 
 
 def replace_population(
@@ -132,42 +175,33 @@ class PatternMiner:
         return with_objectives(counts, layout.model, self.objectives).select(*self._columns())
 
     def _unranked(self, scored: DataFrame) -> DataFrame:
-        from patternloom.operators.selection import with_slot
-
         return with_slot(scored).withColumns({"rank": F.lit(UNRANKED), "crowding": F.lit(0.0)})
 
+    def _schema(self) -> str:
+        columns = [f"{c} {'bigint' if c in ('tp', 'fp', 'tn', 'fn') else 'double'}" for c in self._columns()[3:]]
+        return ", ".join(["rule_id bigint, cls string, masks array<bigint>", *columns, "slot int, rank int, crowding double"])
+
     def _search(self, spark, model: TableModel, layout) -> MinedPatterns:
         size = self.individuals * len(model.classes)
         start = {"random": init_random, "oriented": init_oriented}[self.init]
-        pop = cut_lineage(self._unranked(self._score(layout, start(spark, model, size, self.seed), size)))
+        scorer = Scorer(layout, self.objectives, self.minimise, self._columns())
+        first = start(spark, model, size, self.seed).select("rule_id", "cls", "masks").orderBy("rule_id").collect()
+        pop: dict[str, list[Individual]] = {c: [] for c in model.classes}
+        for x in scorer((r["rule_id"], r["cls"], tuple(r["masks"])) for r in first):
+            pop[x.cls].append(x)
         probs = {op: 1.0 / len(OPERATORS) for op in OPERATORS}
-        elite, previous, gen, used = None, None, 0, size
+        elite, gen, used = None, 0, size
         last_change = {c: 0 for c in model.classes}
         patience = int(self.evaluations * 0.25)
         history: list[dict] = []
-
-        sizes = spark.createDataFrame([(c, self.individuals) for c in model.classes], "cls string, size bigint")
-        front_keys: set[tuple] = set()
+        cover = FrontCover(layout)
 
         while used < self.evaluations:
             gen += 1
-            offspring = reproduce(pop, model, probs, self.seed, gen, size, sizes).persist()
-            scored = self._score(layout, offspring.where("not surplus"), size)
-            parents = pop.select(*self._columns())
-            pop = cut_lineage(replace_population(parents, scored, self.objectives, self.individuals, self.minimise))
-            front = pop.where("rank = 0")
-
-            # What comes back to the driver: children per operator and the keys of the front rules.
-            credit = offspring.groupBy(F.col("op").alias("a"), F.lit("credit").alias("b")).count()
-            keys = front.select(F.col("cls").alias("a"), F.md5(F.concat_ws("|", F.col("masks").cast("array<string>"))).alias("b"))
-            report = credit.unionByName(keys.distinct().withColumn("count", F.lit(-1).cast("bigint"))).collect()
-            offspring.unpersist()
-            credits = {r["a"]: r["count"] for r in report if r["count"] >= 0}
-            now_keys = {(r["a"], r["b"]) for r in report if r["count"] < 0}
-            changed = changed_classes(layout, previous, front, fresh_classes(front_keys, now_keys), size)
-            previous, front_keys = front, now_keys
+            pop, credits = self.generation(scorer, pop, model, probs, gen)
+            changed = cover.changed({c: frozenset(scorer.canonical(x.masks) for x in mine if x.rank == 0) for c, mine in pop.items()})
             if elite is None:  # the first population is the elite of every class
-                elite = pop.select(*self._columns())
+                elite = population_frame(pop, spark, self._schema()).select(*self._columns())
             restarted = []
             for c in model.classes:
                 if c in changed:
@@ -175,24 +209,37 @@ class PatternMiner:
                 elif used + size * len(restarted) - last_change[c] >= patience:
                     restarted.append(c)
             if restarted:
-                pop, elite = self.reinitialise(layout, pop, elite, restarted, gen)
+                renewed, elite = self.reinitialise(layout, population_frame(pop, spark, self._schema()), elite, restarted, gen)
+                mine = renewed.where(F.col("cls").isin(restarted)).orderBy("cls", "slot").collect()
+                for c in restarted:
+                    pop[c] = scorer((r["rule_id"], c, tuple(r["masks"])) for r in mine if r["cls"] == c)
                 last_change.update(dict.fromkeys(restarted, used))
                 used += size * len(restarted)
             used += size
             total = sum(max(credits.get(op, 0), CREDIT_FLOOR) for op in OPERATORS)
             probs = {op: max(credits.get(op, 0), CREDIT_FLOOR) / total for op in OPERATORS}
-            history.append({"generation": gen, "evaluations": used, "restarted": restarted, "probs": probs})
+            history.append({"generation": gen, "evaluations": used, "restarted": restarted, "probs": probs, "scored": len(scorer.memo)})
 
-        rules = cut_lineage(self.finalise(layout, pop, elite))
+        cover.release(model.classes)
+        rules = cut_lineage(self.finalise(layout, population_frame(pop, spark, self._schema()), elite))
         return MinedPatterns(model, rules, tuple(self.objectives), history)
 
+    def generation(self, scorer: Scorer, pop, model: TableModel, probs: dict[str, float], gen: int):
+        """Next population, and how many children each operator made."""
+        born = reproduce_rules(pop, model, probs, self.seed, gen)
+        scored = scorer((i, c, m) for i, c, m, _, surplus in born if not surplus)
+        joint = {c: list(mine) for c, mine in pop.items()}
+        for x in scored:
+            joint[x.cls].append(x)
+        kept = {c: survivors(mine, len(self.objectives), self.individuals) for c, mine in joint.items()}
+        return kept, Counter(op for _, _, _, op, _ in born)
+
     def _competitors(self, layout, front: DataFrame, elite: DataFrame | None, bound: int) -> DataFrame:
         """Front and elite after token competition and dominance."""
         cols = self._columns()
         joint = front.select(*cols) if elite is None else front.select(*cols).unionByName(elite.select(*cols))
-        joint = cut_lineage(dedupe_rules(joint, cols[3:]))
-        # The front reads its input several times.
-        kept = cut_lineage(layout.token_competition(joint, bound))
+        joint = settled(dedupe_rules(joint, cols[3:]))
+        kept = settled(layout.token_competition(joint, bound))
         return pareto_front(kept, self.objectives, "cls", self.minimise)
 
     def reinitialise(self, layout, pop: DataFrame, elite: DataFrame, classes: list[str], gen: int):
@@ -203,7 +250,7 @@ class PatternMiner:
         """
         cols, n = self._columns(), self.individuals * len(classes)
         mine = F.col("cls").isin(classes)
-        chosen = cut_lineage(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite.where(mine), 3 * n))
+        chosen = settled(self._competitors(layout, pop.where(mine & (F.col("rank") == 0)), elite.where(mine), 3 * n))
         elite = self.update_elite(elite, chosen, classes)
 
         number = F.lit(gen).cast("bigint") * GENERATION + GENERATION // 2 + F.col("rule_no")
@@ -213,22 +260,20 @@ class PatternMiner:
             .withColumn("rule_no", position * self.individuals + F.col("slot"))
             .select(number.alias("rule_id"), "cls")
         )
-        pairs = cut_lineage(layout.uncovered_pairs(chosen, classes, 3 * n))
+        pairs = settled(layout.uncovered_pairs(chosen, classes, 3 * n))  # features of one row per class
         still_open = [r["cls"] for r in pairs.select("cls").distinct().collect()]
         fresh = covering_masks(ids, pairs, layout.model, self.seed, gen, 0.5)
         rest = ids.where(~F.col("cls").isin(still_open))
-        fresh = fresh.unionByName(oriented_masks(rest, layout.model, self.seed, gen)).persist()
+        fresh = settled(fresh.unionByName(oriented_masks(rest, layout.model, self.seed, gen)))
         renewed = self._unranked(self._score(layout, fresh, n))
         others = pop.where(~mine).select(*cols, "slot", "rank", "crowding")
-        pop = cut_lineage(others.unionByName(renewed.select(*others.columns)))
-        fresh.unpersist()
-        return pop, elite
+        return settled(others.unionByName(renewed.select(*others.columns))), elite
 
     def update_elite(self, elite: DataFrame, chosen: DataFrame, classes: list[str]) -> DataFrame:
         cols = self._columns()
         mine = F.col("cls").isin(classes)
         best = better_set(elite.where(mine).select(*cols), chosen.select(*cols))
-        return cut_lineage(elite.where(~mine).select(*cols).unionByName(best))
+        return settled(elite.where(~mine).select(*cols).unionByName(best))
 
     def finalise(self, layout, pop: DataFrame, elite: DataFrame | None) -> DataFrame:
         """Per class the better of elite and competitors, then the measure filter."""
@@ -236,9 +281,9 @@ class PatternMiner:
         ranked = nondominated_rank(
             pop.select(*cols), self.objectives, "cls", self.minimise, group_bound=self.individuals
         )
-        chosen = cut_lineage(
+        chosen = settled(
             self._competitors(layout, ranked.where("rank = 0"), elite, 3 * self.individuals * len(layout.model.classes))
         )
-        best = chosen if elite is None else cut_lineage(better_set(elite, chosen))
+        best = chosen if elite is None else settled(better_set(elite, chosen))
         filtered = measure_filter(dedupe_rules(best.select(*cols), cols[3:]), layout.model, self.filters)
         return filtered.select(*cols)

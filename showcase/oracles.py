@@ -142,9 +142,9 @@ NARROW = "NOT ((m0 & 2) <> 0 AND (m1 & 1) <> 0) AND (m0 & 1) = 0"
 
 def _covering_pairs():
     b = ORDERS
-    first = f"SELECT m0, m1 FROM enc WHERE cls = (SELECT min(cls) FROM enc) AND {NARROW} ORDER BY o_orderkey LIMIT 1"
+    first = f"SELECT cls, m0, m1 FROM enc WHERE {NARROW} QUALIFY row_number() OVER (PARTITION BY cls ORDER BY o_orderkey) = 1"
     return cte(*q.enc_ctes(b), q.features_cte(b), ("one", first)) + " UNION ALL ".join(
-        f"SELECT f.var, f.val::INTEGER AS val FROM one e JOIN feat f ON f.var = {i} AND (e.m{i} >> f.val::BIGINT) & 1 = 1"
+        f"SELECT e.cls, f.var, f.val::INTEGER AS val FROM one e JOIN feat f ON f.var = {i} AND (e.m{i} >> f.val::BIGINT) & 1 = 1"
         for i in range(2)
     )
 
@@ -551,17 +551,17 @@ def _oriented_body(n, words=5):
 
 def _covering():
     n, words = 120, 5
-    first = "SELECT * FROM sig WHERE cls = 'N' ORDER BY m0, m1, m2, m3, m4 LIMIT 1"
+    first = "SELECT * FROM sig WHERE (m0 & 1) = 0 QUALIFY row_number() OVER (PARTITION BY cls ORDER BY m0, m1, m2, m3, m4) = 1"
     pairs = " UNION ALL ".join(
-        f"SELECT f.var, f.val FROM one e JOIN feat f ON f.var = {i} AND (e.m{i} >> f.val::BIGINT) & 1 = 1" for i in range(words)
+        f"SELECT e.cls, f.var, f.val FROM one e JOIN feat f ON f.var = {i} AND (e.m{i} >> f.val::BIGINT) & 1 = 1" for i in range(words)
     )
-    total = "(SELECT count(*) FROM prs)"
-    k = q.pick(f"least(ceil({total} * 0.5)::INTEGER + 1, {total})", S, "'0'", "'covering_n'", "i") + " + 1"
+    k = q.pick("least(ceil(total * 0.5)::INTEGER + 1, total)", S, "'0'", "'covering_n'", "i") + " + 1"
     uu = q.u(S, "'0'", "'covering_pair'", "i", "var", "val")
     extra = [
         ("one", first),
         ("prs", pairs),
-        ("pu", f"SELECT i, var, val, {uu} AS u FROM range({n}) t(i) CROSS JOIN prs"),
+        ("mine", f"SELECT row_number() OVER (ORDER BY cls, i) - 1 AS i, cls FROM classes CROSS JOIN range({n}) t(i)"),
+        ("pu", f"SELECT i, var, val, {uu} AS u, count(*) OVER (PARTITION BY i) AS total FROM mine JOIN prs USING (cls)"),
         ("nth", "SELECT *, row_number() OVER (PARTITION BY i ORDER BY u, var, val) AS nth FROM pu"),
         ("drawn", f"SELECT * FROM nth WHERE nth <= {k}"),
     ]
@@ -569,7 +569,7 @@ def _covering():
         f"coalesce((SELECT max_by(1::BIGINT << d.val::BIGINT, d.nth) FROM drawn d WHERE d.i = t.i AND d.var = {w}), 0)::BIGINT AS r{w}"
         for w in range(words)
     )
-    return _made(LINES, f"SELECT i AS rule_id, 'N' AS cls, {cols} FROM range({n}) t(i)", extra)
+    return _made(LINES, f"SELECT i AS rule_id, cls, {cols} FROM mine t WHERE cls IN (SELECT cls FROM one)", extra)
 
 
 def _lit(x):
@@ -634,26 +634,7 @@ def _mutate():
     return _made(LINES, f"SELECT rule_id, cls, {_cols(words)} FROM pairs CROSS JOIN sizes", _pairs_extra())
 
 
-CREDITS = (
-    "cr",
-    "SELECT CASE o_orderstatus WHEN 'F' THEN 'hux' WHEN 'O' THEN 'mutation' ELSE 'npoint' END AS op, "
-    "sum(CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END)::BIGINT AS credit FROM orders GROUP BY 1",
-)
-PROBS = ("pr", "SELECT op, credit, greatest(credit, 2)::DOUBLE / (SELECT sum(greatest(credit, 2))::DOUBLE FROM cr) AS prob FROM cr")
-
-
-def _choose():
-    return cte(
-        CREDITS,
-        PROBS,
-        ("wheel", "SELECT op, sum(prob) OVER (ORDER BY op) AS upto FROM pr"),
-        ("d", f"SELECT o_orderkey, {q.u(S, _lit(1), _lit('operator'), 'o_orderkey')} AS u FROM orders"),
-    ) + (
-        "SELECT o_orderkey, coalesce((SELECT min(op) FROM wheel WHERE upto > u), (SELECT max(op) FROM wheel)) AS op FROM d"
-    )
-
-
-def _reproduce():
+def _kids():
     uu = q.u(S, _lit(1), _lit("operator"), "cls", "draw")
     op = f"CASE WHEN {uu} < 0.3::DOUBLE THEN 'hux' WHEN {uu} < (0.3::DOUBLE + 0.3::DOUBLE) THEN 'mutation' ELSE 'npoint' END"
     key = "(cls || ':' || draw)"
@@ -685,11 +666,31 @@ def _reproduce():
         ("kids", kids),
         ("nth", "SELECT *, row_number() OVER (ORDER BY cls, draw, child) AS nth FROM kids"),
     ]
-    return rcte(*parts) + (
+    return parts
+
+
+def _reproduce():
+    return rcte(*_kids()) + (
         f"SELECT 1099511627776 + nth AS rule_id, cls, op, {q.masks_text(5)} AS masks FROM nth WHERE nth <= (SELECT count(*) FROM pop)"
     )
 
 
+CREDITS = ("cr", "SELECT op, count(*) AS credit FROM kids GROUP BY op")
+PROBS = ("pr", "SELECT op, credit, greatest(credit, 2)::DOUBLE / (SELECT sum(greatest(credit, 2))::DOUBLE FROM cr) AS prob FROM cr")
+
+
+def _choose():
+    return rcte(
+        *_kids(),
+        CREDITS,
+        PROBS,
+        ("wheel", "SELECT op, sum(prob) OVER (ORDER BY op) AS upto FROM pr"),
+        ("d", f"SELECT o_orderkey, {q.u(S, _lit(1), _lit('operator'), 'o_orderkey')} AS u FROM orders"),
+    ) + (
+        "SELECT o_orderkey, coalesce((SELECT min(op) FROM wheel WHERE upto > u), (SELECT max(op) FROM wheel)) AS op FROM d"
+    )
+
+
 def _replace():
     b = LINES
     cols = "rule_id, cls, Confidence, TPR"
@@ -725,12 +726,28 @@ def _newly(b, old, now):
     )
 
 
-def _planted():
-    b = PLANTED
-    rule = "SELECT 0 AS rule_id, 'hot' AS cls, 4::BIGINT AS r0, 0::BIGINT AS r1, 4::BIGINT AS r2, 0::BIGINT AS r3, 0::BIGINT AS r4"
-    return cte(*q.enc_ctes(b), q.sig_cte(b), q.features_cte(b), ("rules", rule), *q.norm_ctes(b), *q.count_ctes(b)) + (
-        f"SELECT cls, {q.masks_text(5)} AS masks, {COUNTS} FROM ct"
-    )
+def _best_of_all(b, objectives=("WRAccNorm", "SuppDiff")):
+    """What a search should find: of all rules there are the front, after token competition, filtered as by default."""
+    n = q.n_words(b)
+    tables = ", ".join(f"(SELECT unnest(range((1::BIGINT << z{i}::BIGINT) - 1)) AS r{i} FROM sizes)" for i in range(n))
+    some = " OR ".join(f"r{i} <> 0" for i in range(n))
+    rules = f"SELECT row_number() OVER (ORDER BY cls, {', '.join(f'r{i}' for i in range(n))}) AS rule_id, cls, {', '.join(f'r{i}' for i in range(n))} FROM classes, {tables} WHERE {some}"
+    beaten = f"EXISTS (SELECT 1 FROM points a WHERE a.cls = b.cls AND {q.better(objectives)})"
+    hit = f"SELECT e.rowid_, e.cls, min(q.token_rank) AS token_rank FROM ordered q JOIN rowed e ON e.cls = q.cls AND {q.match_on(b)} GROUP BY ALL"
+    order = "(CASE WHEN ok THEN 1 ELSE 0 END) DESC, Confidence DESC, round(WRAccNorm, 12) DESC, num_active, rule_id"
+    return cte(
+        *q.enc_ctes(b), q.sig_cte(b), q.CLASSES, q.sizes_cte(b), ("rules", rules), *q.norm_ctes(b)[1:], *q.count_ctes(b),
+        q.scored_cte(list(dict.fromkeys([*objectives, "WRAccNorm", "Confidence"]))),
+        ("points", f"SELECT DISTINCT cls, {', '.join(objectives)} FROM scored"),
+        ("best", f"SELECT * FROM points b WHERE NOT {beaten}"),
+        ("front", f"SELECT s.* FROM scored s SEMI JOIN best USING (cls, {', '.join(objectives)})"),
+        _token_order("front"),
+        ("rowed", "SELECT *, row_number() OVER () AS rowid_ FROM sig"),
+        ("firsts", hit),
+        ("kept", "SELECT * FROM ordered WHERE (cls, token_rank) IN (SELECT cls, token_rank FROM firsts)"),
+        ("t", "SELECT *, Confidence >= 0.6::DOUBLE AS ok FROM kept"),
+        ("u", f"SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {order}) AS nth FROM t"),
+    ) + f"SELECT cls, {q.masks_text(n)} AS masks, {COUNTS} FROM u WHERE ok OR nth = 1"
 
 
 # -- applying a model to other rows -----------------------------------------------------------
@@ -860,14 +877,14 @@ ORACLES = {
     "crossover_npoint": _crossed(_npoint_words),
     "crossover_hux": _crossed(_hux_words),
     "mutate": _mutate(),
-    "operator_probs": cte(CREDITS, PROBS) + "SELECT op, credit, round(prob, 12) AS prob FROM pr",
+    "operator_probs": rcte(*_kids(), CREDITS, PROBS) + "SELECT op, credit, round(prob, 12) AS prob FROM pr",
     "choose_operator": _choose(),
     "reproduce": _reproduce(),
     "replace": _replace(),
     "stagnation": _newly(LINES, "rule_id < 20", "rule_id >= 20"),
     "stagnation_bitmap": _newly(ORDERS, "rule_id < 20", "true"),
-    "fit_orders": "SELECT o_orderstatus AS cls, 0::BIGINT AS mismatches, true AS found FROM orders GROUP BY o_orderstatus",
-    "fit_planted": _planted(),
+    "fit_orders": _best_of_all(ORDERS),
+    "fit_planted": _best_of_all(PLANTED),
     "reinitialise": _reinitialise(),
     "update_elite": _update_elite(),
     "finalise": _finalise(),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patternloom.functions.fuzzy import belonging_degree, fuzzy_labels, label_text
 from patternloom.functions.hashing import uniform
+from patternloom.functions.masks import normalise
 from patternloom.functions.measures import MEASURES, measure_violations, with_measures
 from patternloom.operators import coverage as cov
 from patternloom.operators import generate as gen
@@ -321,13 +322,13 @@ def first_uncovered(spark, sf):
 
 
 def covering_pairs(spark, sf):
+    """The features of the first order of each class that the rules of the class leave uncovered."""
     c = Case(spark, sf, ORDERS)
     rules, n = c.rules(_narrow_rules(c))
-    k = c.model.classes[0]
-    rows = c.compact("o_orderkey")
-    left = cov.uncovered(rows, rules.where(F.col("cls") == k), c.model, k, n)
-    first = left.agg(F.min("first_rid")).scalar()
-    return cov.covering_pairs(rows, c.model, F.col("first_rid") == first)
+    left = cov.uncovered(c.compact("o_orderkey"), rules, c.model, c.model.classes, n)
+    masks = c.model.mask_columns
+    first = left.groupBy("cls").agg(F.min_by(F.struct(*masks), "first_rid").alias("m")).select("cls", "m.*")
+    return cov.covering_pairs(first, c.model, keep=("cls",))
 
 
 def cover_flags(spark, sf):
@@ -576,10 +577,11 @@ def init_oriented(spark, sf):
 
 
 def init_covering(spark, sf):
+    """For every class, rules from the features of the first line that none of its narrow rules covers."""
     c = Case(spark, sf, LINES)
-    first = c.compact().where(F.col("cls") == "N").orderBy(*c.model.mask_columns).limit(1)
-    pairs = items_long(first, c.model, ()).distinct()
-    return _counted(c, gen.init_covering(spark, pairs, c.model, 120, "N", SEED), 120)
+    rules, n = c.rules([(k, {0: [0]}) for k in c.model.classes])
+    pairs = RowLayout(c.compact(), c.model, {}, merged=True).uncovered_pairs(rules, c.model.classes, n)
+    return _counted(c, gen.init_covering(spark, pairs, c.model, 120, SEED), 120 * len(c.model.classes))
 
 
 def _couples(c):
@@ -614,31 +616,31 @@ def mutate(spark, sf):
     return _counted(c, gen.mutate_dnf(rules, c.model, SEED, 1, 0.9), n)
 
 
-def _credits(df):
-    """Orders per status stand for the offspring each operator made, one of them made none."""
-    named = F.when(F.col("o_orderstatus") == "F", "hux").when(F.col("o_orderstatus") == "O", "mutation").otherwise("npoint")
-    made = F.sum(F.when(F.col("o_orderstatus") != "O", F.lit(1)).otherwise(F.lit(0))).alias("credit")
-    return df.groupBy(named.alias("op")).agg(made)
+SHARES = {"hux": 0.3, "mutation": 0.3, "npoint": 0.4}
 
 
-def operator_probs(spark, sf):
-    return gen.operator_probs(_credits(ORDERS.load(spark, sf))).select("op", "credit", F.round("prob", 12).alias("prob"))
+def reproduce(spark, sf):
+    c = Case(spark, sf, LINES)
+    kids = gen.reproduce(_population(c), c.model, SHARES, SEED, 1, 90)
+    return kids.where("not surplus").select("rule_id", "cls", "op", _masks())
 
 
-def choose_operator(spark, sf):
-    df = ORDERS.load(spark, sf)
-    probs = gen.operator_probs(_credits(df))
-    draws = df.select("o_orderkey", F.expr(uniform(SEED, 1, "'operator'", "o_orderkey")).alias("u"))
-    return gen.choose_operator(draws, probs).select("o_orderkey", "op")
+def _credits(spark, sf):
+    """How many children each operator made in one generation over lines."""
+    c = Case(spark, sf, LINES)
+    kids = gen.reproduce(_population(c), c.model, SHARES, SEED, 1, 90)
+    return kids.groupBy("op").agg(F.count(F.lit(1)).alias("credit"))
 
 
-SHARES = {"hux": 0.3, "mutation": 0.3, "npoint": 0.4}
+def operator_probs(spark, sf):
+    return gen.operator_probs(_credits(spark, sf)).select("op", "credit", F.round("prob", 12).alias("prob"))
 
 
-def reproduce(spark, sf):
-    c = Case(spark, sf, LINES)
-    kids = gen.reproduce(_population(c), c.model, SHARES, SEED, 1, 90)
-    return kids.where("not surplus").select("rule_id", "cls", "op", _masks())
+def choose_operator(spark, sf):
+    """The operator of each order's draw under the shares of that generation."""
+    probs = cut_lineage(gen.operator_probs(_credits(spark, sf)))
+    draws = ORDERS.load(spark, sf).select("o_orderkey", F.expr(uniform(SEED, 1, "'operator'", "o_orderkey")).alias("u"))
+    return gen.choose_operator(draws, probs).select("o_orderkey", "op")
 
 
 def replace(spark, sf):
@@ -677,23 +679,21 @@ def stagnation_bitmaps(spark, sf):
 # -- whole jobs -------------------------------------------------------------------------
 
 
+def _mined(binding, spark, sf):
+    """All mined rules of a search with the default budget and objectives, written canonically."""
+    df = binding.load(spark, sf)
+    mined = PatternMiner(binding.cls, list(binding.numeric), list(binding.nominal)).fit(df)
+    return mined.rules.select("cls", F.array_join(normalise("masks", mined.model).cast("array<string>"), ",").alias("masks"), *COUNTS)
+
+
 def fit_orders(spark, sf):
-    """Per class how many mined rules have other counts when they are evaluated on the same orders."""
-    df = ORDERS.load(spark, sf)
-    mined = PatternMiner(
-        ORDERS.cls, list(ORDERS.numeric), list(ORDERS.nominal), individuals=10, evaluations=90, objectives=TRADE_OFF
-    ).fit(df)
-    again = mined.evaluate(df).select("rule_id", F.array(*COUNTS).alias("again"))
-    same = F.array(*COUNTS).eqNullSafe(F.col("again"))
-    both = mined.rules.join(again, "rule_id", "left")
-    return both.groupBy("cls").agg(F.count(F.when(~same, F.lit(1))).alias("mismatches"), (F.count(F.lit(1)) > 0).alias("found"))
+    """The search over orders; SQL tries all rules there are."""
+    return _mined(ORDERS, spark, sf)
 
 
 def fit_planted(spark, sf):
-    """The mined rules of the planted class: exactly the plant, which explains it wholly."""
-    df = PLANTED.load(spark, sf)
-    miner = PatternMiner(PLANTED.cls, list(PLANTED.numeric), list(PLANTED.nominal), individuals=40, evaluations=600)
-    return miner.fit(df).rules.where(F.col("cls") == "hot").select("cls", _masks(), *COUNTS)
+    """The search for the plant, and for what best describes the rest; SQL tries all rules there are."""
+    return _mined(PLANTED, spark, sf)
 
 
 def _halves(df):

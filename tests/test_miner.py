@@ -123,3 +123,60 @@ def test_restarts_and_random_start(planted):
     assert found.history[-1]["evaluations"] >= 200
     assert any(h["restarted"] for h in found.history)
     assert found.rules.count() >= 2
+
+
+def test_generation_follows_the_table_operators(spark, planted):
+    """Children, survivors and scores of the loop are those of the operators on rule tables."""
+    from patternloom.operators.contingency import score
+    from patternloom.operators.encode import compact
+    from patternloom.operators.generate import class_sizes, init_random, reproduce
+    from patternloom.plans.miner import replace_population
+    from patternloom.plans.population import Scorer, population_frame, reproduce_rules, survivors
+
+    model = build_model(planted, "kind", ["a", "b", "d"], ["c"], 3)
+    layout, rows = prepare(planted, model), compact(planted, model).cache()
+    probs = {"npoint": 0.5, "hux": 0.2, "mutation": 0.3}
+    for objectives, minimise in ((("Confidence", "TPR"), ()), (("WRAccNorm",), ()), (("Confidence", "TPR", "FPR"), ("FPR",))):
+        search = miner(objectives=objectives, minimise=minimise, individuals=9)
+        scorer = Scorer(layout, objectives, minimise, search._columns())
+        first = init_random(spark, model, 18, 3).collect()
+        pop = {c: [] for c in model.classes}
+        for x in scorer((r["rule_id"], r["cls"], tuple(r["masks"])) for r in first):
+            pop[x.cls].append(x)
+        for gen in (1, 2):
+            table = population_frame(pop, spark, search._schema()).cache()
+            made = reproduce(table, model, probs, 7, gen, 18, class_sizes(table)).cache()
+            born = reproduce_rules(pop, model, probs, 7, gen)
+            assert sorted((r["rule_id"], r["cls"], tuple(r["masks"]), r["op"], r["surplus"]) for r in made.collect()) == sorted(born)
+            kids = score(rows, made.where("not surplus").select("rule_id", "cls", "masks"), model, objectives).select(*search._columns())
+            parents = table.select(*search._columns())
+            joint = {c: list(mine) for c, mine in pop.items()}
+            for x in scorer((i, c, m) for i, c, m, _, surplus in born if not surplus):
+                joint[x.cls].append(x)
+            pop = {c: survivors(mine, len(objectives), 9) for c, mine in joint.items()}
+            want = replace_population(parents, kids, objectives, 9, minimise).select("cls", "slot", "rule_id", "rank", "crowding", *search._columns()[3:])
+            got = population_frame(pop, spark, search._schema()).select(*want.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    seen = len(scorer.memo)
+    assert scorer((r["rule_id"], r["cls"], tuple(r["masks"])) for r in first) and len(scorer.memo) == seen
+    layout.release()
+
+
+def test_front_cover_against_matching_anew(spark, planted):
+    """Answers taken from earlier ones, and from kept covers, are those of matching both fronts."""
+    from patternloom.plans.miner import FrontCover
+
+    model = build_model(planted, "kind", ["a", "b", "d"], ["c"], 3)
+    rng = random.Random(2)
+    pool = [tuple(rng.randrange(8) if rng.random() < 0.4 else 0 for _ in range(4)) for _ in range(12)]
+    for name in ("rows", "bitmaps"):
+        layout = prepare(planted, model, name)
+        cover, before = FrontCover(layout), {c: frozenset() for c in model.classes}
+        for _ in range(8):
+            now = {c: frozenset(m for m in rng.sample(pool, rng.randrange(1, 7)) if any(m)) for c in model.classes}
+            tables = [
+                spark.createDataFrame([(i, c, list(m)) for c in f for i, m in enumerate(f[c])], "rule_id long, cls string, masks array<long>") for f in (before, now)
+            ]
+            assert cover.changed(now) == {r["rule_cls"] for r in layout.newly_covered(*tables).collect()}
+            before = now
+        layout.release()
