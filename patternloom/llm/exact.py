@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.llm.spread import attach, passes, sieve
+from patternloom.llm.spread import attach, numbered, passes, sieve
 from patternloom.session import cut_lineage
 
 PREFIX = 64  # characters under the second hash
@@ -25,26 +25,38 @@ def normalised(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _suspects(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_exact_suspect``: whether another row may have the same length and beginning."""
+def _keys(text_col: str) -> tuple[Column, Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    length = F.octet_length(text).cast("long")
-    begins = F.xxhash64(F.octet_length(text), normalised(F.substring(text, 1, PREFIX)))
+    return F.octet_length(text).cast("long"), F.xxhash64(F.octet_length(text), normalised(F.substring(text, 1, PREFIX)))
+
+
+def _sieves(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Lengths, and beginnings with their length, that more than one row has; written, as they serve several scans."""
+    length, begins = _keys(text_col)
 
     def repeated(keys: DataFrame) -> DataFrame:
-        return sieve(keys.groupBy(keys.columns[0]).count().where("count > 1").drop("count"))
+        return cut_lineage(sieve(keys.groupBy(keys.columns[0]).count().where("count > 1").drop("count")))
 
     lengths = repeated(docs.select(length.alias("_key")))
     sized = passes(docs, length, lengths, "_exact_sized")
-    starts = repeated(sized.where("_exact_sized").select(begins.alias("_key")))
+    return lengths, repeated(sized.where("_exact_sized").select(begins.alias("_key")))
+
+
+def _suspects(docs: DataFrame, text_col: str, sieves: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``docs`` with ``_exact_suspect``: whether another row may have the same length and beginning."""
     # A unique length makes a unique beginning, since the length is part of its key.
-    return passes(docs, begins, starts, "_exact_suspect")
+    return passes(docs, _keys(text_col)[1], sieves[1], "_exact_suspect")
+
+
+def _sha(text_col: str) -> Column:
+    return F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, every: bool) -> DataFrame:
-    full = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    full = _sha(text_col)
     digest = full if every else F.when(F.col("_exact_suspect"), full)
-    return cut_lineage(_suspects(docs, text_col).select(F.col(id_col).alias("_id"), "_exact_suspect", digest.alias("digest")))
+    flagged = _suspects(docs, text_col, _sieves(docs, text_col))
+    return cut_lineage(flagged.select(F.col(id_col).alias("_id"), "_exact_suspect", digest.alias("digest")))
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_digest: bool = False) -> DataFrame:
@@ -68,9 +80,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``find_copies`` does not keep; only texts with a suspect are moved."""
-    columns = docs.columns
-    rows = _digests(docs, id_col, text_col, False).where("_exact_suspect")
-    keep = rows.groupBy("digest").agg(F.max("_id").alias("_keep")).select("_keep").distinct()
-    flagged = _suspects(docs, text_col)
-    copies = flagged.where("_exact_suspect").join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return flagged.where("not _exact_suspect").select(columns).unionByName(copies.select(columns))
+    rows, fields, names = numbered(docs, id=F.col(id_col), text=F.col(text_col))
+    own = [f.name for f in fields]
+    flagged = _suspects(rows, "text", _sieves(rows, "text"))
+    suspects = flagged.where("_exact_suspect").withColumn("digest", _sha("text"))
+    keep = cut_lineage(suspects.groupBy("digest").agg(F.max("id").alias("_keep"))).withColumnRenamed("digest", "_digest")
+    kept = suspects.join(keep, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_keep")), "left_semi")
+    return flagged.where("not _exact_suspect").select(own).unionByName(kept.select(own)).toDF(*names)

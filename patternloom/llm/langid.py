@@ -13,6 +13,7 @@ document costs one sum over its subwords.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patternloom.llm.spread import numbered
 from patternloom.llm.words import LOWER, slices, utf8
 from patternloom.session import cut_lineage, ensure_checkpoint_dir, ship
 
@@ -40,7 +42,12 @@ UNKNOWN = "und"
 
 _code = np.arange(256)
 LETTERS = np.where(((LOWER >= 97) & (LOWER <= 122)) | (_code >= 128), LOWER, 0).astype(np.uint32)
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = re.compile(r"[^\W\d_]")  # a first test, as it takes characters like \u00bd too
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter by its Unicode category."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in HAS_LETTER.finditer(text))
 
 
 def subwords(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,22 +227,20 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for batch in batches:
-            text = batch.column("_lang_text")
+            text = batch.column("text")
             buf, offsets = utf8(text)
             for lo, hi in slices(offsets):
                 own = offsets[lo : hi + 1]
                 chosen, scores = [], []
                 raw = buf[own[0] : own[-1]]
                 for d, parts in enumerate(document_counts(raw, own - own[0])):
-                    letters = any(map(len, parts)) and HAS_LETTER.search(
-                        raw[own[d] - own[0] : own[d + 1] - own[0]].tobytes().decode()
-                    )
+                    letters = any(map(len, parts)) and has_letter(raw[own[d] - own[0] : own[d + 1] - own[0]].tobytes().decode())
                     p = model.scores(parts) if letters and model else np.zeros(1)
                     k = int(p.argmax())
                     chosen.append(model.languages[k] if letters and model else UNKNOWN)
                     scores.append(float(p[k]))
                 part = batch.slice(lo, hi - lo)
-                columns = {n: part.column(n) for n in part.schema.names if n != "_lang_text"}
+                columns = {n: part.column(n) for n in part.schema.names if n != "text"}
                 rejected = [c == UNKNOWN or s < model.reject for c, s in zip(chosen, scores)]
                 yield pa.RecordBatch.from_pydict(
                     columns | {"lang_pred": pa.array(chosen, pa.string()), "score": pa.array(scores, pa.float64()), "rejected": pa.array(rejected, pa.bool_())}
@@ -252,10 +257,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """
     ship(docs.sparkSession)
     out = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
-    kept = [c for c in docs.columns if c.lower() not in out]
-    fields = [f for f in docs.schema if f.name in kept] + [T.StructField(n, k) for n, k in out.items()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*kept, F.col(text_col).alias("_lang_text")).mapInArrow(_predict(shared), T.StructType(fields))
+    rows, fields, names = numbered(docs, out, text=F.col(text_col))
+    return rows.mapInArrow(_predict(shared), T.StructType([*fields, *[T.StructField(n, k) for n, k in out.items()]])).toDF(*names, *out)
 
 
 def held_out(id_col: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patternloom.llm.spread import numbered
 from patternloom.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -79,14 +80,15 @@ def mix_sources(
     ``whole`` times and ``part`` words of it once more, ``taken`` words in all; the parts of a source add up
     to what its target leaves after whole repetitions, but for rounding in each bucket. Null and empty texts have size 0
     and are never taken. The order is a hash of seed and id, so reruns and other partitionings agree;
-    rows that repeat an id are in one place of the order and get the same part. Input columns named like
+    rows that repeat an id, or a text without id, are in one place of the order and share what is left there. Input columns named like
     an output are replaced. A table without rows gives none.
     """
     out = ("size", "source_size", "target", "whole", "part", "taken")
-    columns = [c for c in docs.columns if c.lower() not in out]
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
-    size = word_count(F.col(text_col))
-    sized = docs.select(*columns, size.alias("size"), key.alias("_mix_key"), F.col(source_col).alias("_mix_source"))
+    # Rows without id take their places by their text.
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(":"), F.xxhash64(F.col(text_col)).cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), name).cast("binary"))
+    sized, fields, names = numbered(docs, out, size=word_count(F.col(text_col)), _mix_key=key, _mix_source=F.col(source_col))
+    columns = [f.name for f in fields]
     slim = cut_lineage(sized.select("_mix_source", "size", "_mix_key"))
     sizes = slim.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     place = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
@@ -110,12 +112,12 @@ def mix_sources(
     # In each bucket: the key up to which documents are taken once more, and how much of the one there.
     in_bucket = Window.partitionBy("_mix_source", "_mix_bucket")
     ordered = in_bucket.orderBy("_mix_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = placed(slim).groupBy("_mix_source", "_mix_bucket", "_mix_key", "_rest").agg(F.sum("size").alias("_size"))
+    keys = placed(slim).groupBy("_mix_source", "_mix_bucket", "_mix_key", "_rest").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
     keys = keys.withColumns({"_upto": F.sum("_size").over(ordered), "_all": F.sum("_size").over(in_bucket)})
     goal = F.floor(F.col("_all") * F.col("_rest") + 0.5)
     cuts = keys.where((F.col("_upto") >= goal) & (F.col("_upto") - F.col("_size") < goal)).select(
         F.col("_mix_source").alias("_cut_source"), F.col("_mix_bucket").alias("_cut_bucket"), F.col("_mix_key").alias("_cut"),
-        (goal - F.col("_upto") + F.col("_size")).alias("_left"),
+        F.floor((goal - F.col("_upto") + F.col("_size")) / F.col("_rows")).alias("_left"),
     )
     cuts = cut_lineage(cuts)
     same = F.col("_mix_source").eqNullSafe(F.col("_cut_source")) & (F.col("_mix_bucket") == F.col("_cut_bucket"))
@@ -126,4 +128,4 @@ def mix_sources(
     )
     mixed = placed(sized).join(cuts, same, "left").withColumn("part", part.cast("long"))
     mixed = mixed.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
-    return mixed.select(*columns, *out)
+    return mixed.select(*columns, *out).toDF(*names, *out)

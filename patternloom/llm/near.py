@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patternloom.llm.graph import components
-from patternloom.llm.spread import attach, passes, sieve
+from patternloom.llm.spread import attach, numbered, passes, sieve
 from patternloom.llm.words import NOT_SPACE, mix, slices, utf8, words
 from patternloom.session import cut_lineage, ship
 
@@ -299,6 +299,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     groups = cut_lineage(near_groups(docs, id_col, **options))
     dropped = groups.where(F.expr("not kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_near_id")).distinct()
     held = sieve(dropped.select(F.xxhash64("_near_id").alias("key")))
-    flagged = passes(docs, F.xxhash64(F.col(id_col)), held, "_near_maybe")
-    maybe = flagged.where("_near_maybe").join(dropped, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_anti")
-    return flagged.where("not _near_maybe").select(docs.columns).unionByName(maybe.select(docs.columns))
+    rows, fields, names = numbered(docs, id=F.col(id_col))
+    flagged = passes(rows, F.xxhash64("id"), held, "_near_maybe")
+    maybe = flagged.where("_near_maybe").join(dropped, F.col("id").eqNullSafe(F.col("_near_id")), "left_anti")
+    own = [f.name for f in fields]
+    return flagged.where("not _near_maybe").select(own).unionByName(maybe.select(own)).toDF(*names)

@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learnt from
 pages whose markup labels its article: the log ratio of how often a class of words (by the element around
 them) or a tag occurs inside and outside. One linear scan finds the contiguous region with the
-largest sum. Its blocks are the text, without elements that are never part of an article.
+largest sum. It chooses the element: the ``article`` or ``main`` that holds most of it, or else the smallest container
+that holds all of it. All blocks of that element are the text (lists, tables and code too, wherever they stand), without
+what is never part of an article: elements and whole class, id or role names that are fixed below.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patternloom.llm.spread import numbered
 from patternloom.session import ship
 
 SAMPLE = 2000  # labelled pages, about
@@ -43,32 +46,60 @@ BESIDE = frozenset(
     " consent notice alert popup modal newsletter subscribe signup share social related recommended breadcrumb breadcrumbs menu nav navbar navigation"
     " footer pagination toolbar login search".split()
 )
+#: Elements inside a line; others that are not known count as one class.
+INLINE = frozenset(
+    "a abbr audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math meter object output picture progress q rp rt ruby"
+    " s samp small span strike strong sub sup time tt u var video".split()
+)
+KNOWN = BLOCKS | VOID | RAW | INLINE
+#: Elements that hold several blocks; of the body, those without a word of the best stretch are something else.
+CONTAINERS = frozenset("address article aside body center details dialog div fieldset footer form header html main section".split())
 NEVER_BESIDE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # by a class, id or role
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+COMMENT = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)  # quotes mean nothing
+TAG_START = re.compile(r"</?[A-Za-z]")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order, without comments and raw text."""
-    at, unclosed = 0, set()
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            yield "text", page[at : m.start()], ""
-        at = m.end()
-        if not m[2]:
+    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order, without comments and raw text.
+
+    Where a tag does not end because of a quote, quotes mean nothing from there on; one that does not end at all
+    is cut off, and the page with it. So no character is read more than a few times.
+    """
+    at = pos = 0
+    tag, unclosed = TAG, set()
+    while (pos := page.find("<", pos)) >= 0:
+        if not TAG_START.match(page, pos):
+            m = COMMENT.match(page, pos)
+            if not m:
+                pos += 1
+                continue
+        else:
+            m = tag.match(page, pos)
+            if not m and tag is TAG:
+                tag = LOOSE_TAG
+                m = tag.match(page, pos)
+            if not m:
+                break
+        if pos > at:
+            yield "text", page[at:pos], ""
+        at = pos = m.end()
+        if m.re is COMMENT:
             continue
         name = m[2].lower()
         yield ("close" if m[1] else "open"), name, m[3]
         if not m[1] and name in RAW_TEXT and name not in unclosed and not m[3].endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             if end or name == "script":
-                at = end.end() if end else len(page)
+                at = pos = end.end() if end else len(page)
                 yield "close", name, ""
             else:
                 unclosed.add(name)
-    rest = page[at:]
-    if rest and not re.match(r"</?[A-Za-z!][^>]*\Z", rest):  # a tag cut off at the end is none
-        yield "text", rest.split("<!--")[0], ""
+    rest = page[at:pos] if pos >= 0 else page[at:]
+    if rest:
+        yield "text", rest, ""
 
 
 def names(attributes: str) -> dict[str, list[str]]:
@@ -116,82 +147,91 @@ def _beside(elements: list[Element]) -> list[bool]:
 
 @dataclass
 class Page:
-    """Scored items in page order and the block each text belongs to."""
+    """Scored items in page order, and the block and element each belongs to."""
 
     classes: list[str] = field(default_factory=list)
     counts: list[int] = field(default_factory=list)
     block: list[int] = field(default_factory=list)  # of texts, else -1
+    holders: list[int] = field(default_factory=list)  # elements
     beside: list[bool] = field(default_factory=list)
     label: list[bool] = field(default_factory=list)  # inside the labelled article
     texts: list[str] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+
+
+INLINE_OPEN = ("b", "i", "em", "strong", "span", "u", "a")
+ITEMS = ("li", "td", "th", "tr", "dt", "dd")
 
 
 def read(page: str) -> Page:
     out, number = Page(), 0
     elements, stack = [Element("", 0)], [0]
-    inside = 0
+    around = [""]  # for each element on the stack, the block or link that text in it belongs to
+    opened: Counter = Counter()  # names on the stack
+    holders = out.holders
 
     def add(kind: str, count: int, block: int, text: str) -> None:
         out.classes.append(kind)
         out.counts.append(count)
         out.block.append(block)
         holders.append(stack[-1])
-        out.label.append(inside > 0)
+        out.label.append(opened[LABEL] > 0)
         out.texts.append(text)
 
     def pop() -> Element:
-        nonlocal inside
         closed = elements[stack.pop()]
-        inside -= closed.name == LABEL
+        around.pop()
+        opened[closed.name] -= 1
         return closed
 
-    holders: list[int] = []
     for what, name, attributes in tokens(page):
         if what == "text":
             top = elements[stack[-1]]
             if top.raw:
                 continue
-            holder = next((n for k in reversed(stack) if (n := elements[k].name) in BLOCKS or n == "a"), "")
             text = html.unescape(name)
             if text:
                 count = len(text.split())
                 top.words += count
                 top.all_words += count
-                add(f"word {holder}", count, number, text)
+                add(f"word {around[-1]}", count, number, text)
             continue
+        kind = f"tag {name if name in KNOWN else 'other'}"
         if what == "open":
-            if name == "body" and all(elements[k].name != "body" for k in stack):  # ends the head and what is open in it
+            if name == "body" and not opened["body"]:  # ends the head and what is open in it
                 while len(stack) > 1 and elements[stack[-1]].name != "html":
                     pop()
-            elif name in ("article", "main") and all(elements[k].name not in ("noscript", "template") for k in stack):
+            elif name in ("article", "main") and not opened["noscript"] and not opened["template"]:
                 while elements[stack[-1]].raw:  # cannot hold it
                     pop()
             raw = elements[stack[-1]].raw
             if not raw:
                 number += name in BLOCKS
-                add(f"tag {name}", 1, number if name == "br" else -1, " " if name == "br" else "")
+                add(kind, 1, number if name == "br" else -1, " " if name == "br" else "")
             if name in VOID or attributes.endswith("/"):
                 continue
-            if name in ("p", "li", "td", "th", "tr", "dt", "dd") or name in BLOCKS:
-                while (top := elements[stack[-1]].name) and (top == "p" or top == name and name in ("li", "td", "th", "tr", "dt", "dd") or top in ("b", "i", "em", "strong", "span", "u", "a") and name in BLOCKS and any(elements[k].name == "p" for k in stack)):
+            if name in BLOCKS:
+                while (top := elements[stack[-1]].name) and (top == "p" or top == name and name in ITEMS or top in INLINE_OPEN and opened["p"]):
                     pop()
             named = names(attributes) if attributes else {}
             beside = name in ASIDE or name not in NEVER_BESIDE and any(not BESIDE.isdisjoint(x) for x in named.values())
-            if name == "header" and inside:  # an article's own heading
+            if name == "header" and opened[LABEL]:  # an article's own heading
                 beside = False
             article = not raw and (name in ("article", "main") or not {"article", "main"}.isdisjoint(named.get("role", ())))
             elements.append(Element(name, stack[-1], raw or name in RAW, beside, article, title=name == "h1" and not raw))
             stack.append(len(elements) - 1)
-            inside += name == LABEL
+            around.append(name if name in BLOCKS or name == "a" else around[-1])
+            opened[name] += 1
         else:
-            if any(elements[k].name == name for k in stack):
+            if opened[name]:
                 while pop().name != name:
                     pass
             if not elements[stack[-1]].raw:
                 number += name in BLOCKS
-                add(f"tag {name}", 1, -1, "")
+                add(kind, 1, -1, "")
     beside = _beside(elements)
     out.beside = [beside[k] for k in holders]
+    out.elements = elements
     return out
 
 
@@ -217,19 +257,43 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def chosen_element(page: Page, a: int, b: int) -> list[bool]:
+    """Which elements are in the one that the stretch of items a to b chooses, and not beside it; none without words."""
+    elements = page.elements
+    words = [0] * len(elements)  # of the stretch, in each element and those in it
+    for k in range(a, b):
+        if page.block[k] >= 0 and not page.beside[k]:
+            words[page.holders[k]] += page.counts[k]
+    for k in range(len(elements) - 1, 0, -1):
+        words[elements[k].parent] += words[k]
+    if not words[0]:
+        return [False] * len(elements)
+    articles = [k for k, e in enumerate(elements) if e.article and 2 * words[k] >= words[0]]
+    root = articles[-1] if articles else max(k for k, n in enumerate(words) if n == words[0])
+    while root and elements[root].name not in CONTAINERS:
+        root = elements[root].parent
+    whole = elements[root].name in ("", "html", "body")
+    inside: list[bool] = []
+    for k, e in enumerate(elements):
+        there = k == root or k > 0 and inside[e.parent]
+        if there and whole and not words[k] and e.name in CONTAINERS and elements[e.parent].name in ("", "html", "body"):
+            there = False
+        inside.append(there)
+    return inside
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Blocks of the best region, each with single spaces, joined by an empty line."""
+    """Blocks of the element that the best region chooses, each with single spaces, joined by an empty line."""
     if not page:
         return ""
     seen = read(page)
     scores = [weights.get(c, UNSEEN[c.split()[0]]) * n for c, n in zip(seen.classes, seen.counts)]
     # Words named as something beside the article earn nothing; their tags still cost.
     scores = [min(0.0, s) if b else s for s, b in zip(scores, seen.beside)]
-    a, b = best_region(scores)
+    inside = chosen_element(seen, *best_region(scores))
     blocks: dict[int, list[str]] = {}
-    wanted = {seen.block[k] for k in range(a, b) if seen.block[k] >= 0 and not seen.beside[k]}
     for k, block in enumerate(seen.block):
-        if block in wanted and not seen.beside[k]:
+        if block >= 0 and inside[seen.holders[k]] and not seen.beside[k]:
             blocks.setdefault(block, []).append(seen.texts[k])
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n\n".join(x for x in lines if x)
@@ -250,24 +314,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from about ``sample`` pages that hold an ``article`` element, by the hash of their id."""
+    """Weights from about ``sample`` pages that hold an ``article`` element, by the hash of their id and content."""
     ship(pages.sparkSession)
-    labelled = pages.where(F.col(html_col).contains(f"<{LABEL}")).select(F.xxhash64(F.col(id_col), F.lit(3)).alias("place"), F.col(html_col).alias("html"))
+    labelled = pages.where(F.col(html_col).contains(f"<{LABEL}")).select(F.xxhash64(F.col(id_col), F.col(html_col), F.lit(3)).alias("place"), F.col(html_col).alias("html"))
     total = labelled.count()
     chosen = labelled.where(F.pmod("place", F.lit(1 << 30)) < float(1 << 30) * sample / max(1, total))
     counts = chosen.select("html").mapInArrow(_counts, "name string, inside long, outside long")
-    # Element names are made up by pages at times: the classes are bounded by their frequency.
-    rows = counts.groupBy("name").agg(F.sum("inside"), F.sum("outside"), F.sum(F.col("inside") + F.col("outside")).alias("n"))
-    held = rows.orderBy(F.desc("n"), "name").limit(2000).collect()
+    # Elements that HTML does not know share a class, so there are at most some hundred.
+    held = counts.groupBy("name").agg(F.sum("inside"), F.sum("outside")).collect()
     return learn(Counter({r[0]: r[1] for r in held}), Counter({r[0]: r[2] for r in held})) | {f"tag {LABEL}": -LEAST}
 
 
 def _extract(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p, shared.value) for p in batch.column("_html").to_pylist()]
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "_html"}
-            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.string())})
+            texts = [main_text(p, shared.value) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names if n != "html"} | {"text": pa.array(texts, pa.string())})
 
     return run
 
@@ -279,7 +341,6 @@ def extract_text(pages: DataFrame, weights: dict[str, float], html_col: str = "h
     an empty line. A column ``text`` of the input is replaced. Repeated rows are read one by one.
     """
     ship(pages.sparkSession)
-    kept = [c for c in pages.columns if c.lower() != "text"]
-    fields = [f for f in pages.schema if f.name in kept] + [T.StructField("text", T.StringType())]
     shared = pages.sparkSession.sparkContext.broadcast(weights)
-    return pages.select(*kept, F.col(html_col).alias("_html")).mapInArrow(_extract(shared), T.StructType(fields))
+    rows, fields, names = numbered(pages, ("text",), html=F.col(html_col))
+    return rows.mapInArrow(_extract(shared), T.StructType([*fields, T.StructField("text", T.StringType())])).toDF(*names, "text")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from patternloom.session import ship
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 3000  # documents with candidates, about
-MOST = 200  # candidates of one document in the sample
+MOST = 200  # candidates of one document in the sample, in a row; where they begin is drawn
 ROUNDS = 10  # of message passing
 SURE = 0.7  # marginal from which a candidate is added
 SIMILAR = 7  # last digits or letters that similar candidates share
@@ -40,7 +41,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 HINT = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[0-9]")
-#: Wider look-alikes: addresses, numbers with points or dashes, groups of digits in brackets or apart.
+NUMBER = re.compile(r"[0-9]+\Z")
+#: Wider look-alikes: addresses (of up to 64 and 255 characters, the most an address has), numbers with points or
+#: dashes, and up to 8 groups of digits in brackets or apart. What is longer is no candidate, in any text.
 WIDE = re.compile(
     r"[^\s@<>\"'(),;:]{1,64}+@[^\s@<>\"'(),;:]{1,255}+"
     r"|(?<![0-9A-Za-z])\+?\(?[0-9]{1,19}+\)?(?:[.\-/\x20]{1,2}\(?[0-9]{1,19}+\)?){0,7}+(?![0-9A-Za-z])"
@@ -112,8 +115,8 @@ def features(text: str, a: int, b: int) -> np.ndarray:
     part = text[a:b]
     digits = "".join(DIGIT.findall(part))
     n, fields = len(digits), part.split(".")
-    quad = len(fields) == 4 and all(f.isdigit() and len(f) <= 3 and int(f) <= 255 for f in fields)
-    bare = part.lstrip("+").replace(" ", "").replace("-", "").isdigit()
+    quad = len(fields) == 4 and all(NUMBER.match(f) and len(f) <= 3 and int(f) <= 255 for f in fields)
+    bare = bool(NUMBER.match(part.lstrip("+").replace(" ", "").replace("-", "")))
     return np.array(
         [
             1, "@" in part, bool(DOMAIN.search(part)), quad, len(fields) == 4, bare and 16 <= n <= 19, 16 <= n <= 19 and luhn(digits),
@@ -225,11 +228,14 @@ def find_spans(text: str | None, field: Field | None) -> list[tuple[str, int, in
     return [(KINDS[k], a, b, is_base) for k, a, b, is_base in sorted(out)]
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist()):
-            nodes = candidates(text, base_spans(text))[:MOST] if text else []
+            nodes = candidates(text, base_spans(text)) if text else []
+            if len(nodes) > most:
+                start = place % (len(nodes) - most + 1)
+                nodes = nodes[start : start + most]
             if not nodes:
                 continue
             e = edges(text, nodes)
@@ -244,13 +250,17 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field | None:
-    """Fit on about ``sample`` documents with candidates, by the hash of their id; None if there are none."""
+def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = MOST) -> Field | None:
+    """Fit on about ``sample`` documents with candidates, by the hash of their id and text; None if there are none.
+
+    Of a document with more than ``most`` candidates a stretch of so many, drawn by that hash, is an example.
+    Repeated rows count once.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(id_col), F.lit(5)).alias("place"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)).alias("place"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     total = rows.count()
     chosen = rows.where(F.pmod("place", F.lit(1 << 30)) < float(1 << 30) * sample / max(1, total))
-    got = chosen.mapInArrow(_examples, "place long, x array<double>, y array<long>, e array<long>").toArrow().sort_by("place")
+    got = chosen.dropDuplicates(["place"]).mapInArrow(partial(_examples, most=most), "place long, x array<double>, y array<long>, e array<long>").toArrow().sort_by("place")
     made = [
         (np.array(r["x"]).reshape(-1, FEATURES), np.array(r["y"], np.int64), np.array(r["e"], np.int64).reshape(-1, 3)) for r in got.to_pylist()
     ]

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT = 200  # a key with at least this fraction (1 / HOT) of all rows is hot; there are at most HOT of them
 SIEVE_BITS = 1 << 25  # 4 MB when broadcast, whatever the number of keys
 
 
+def numbered(df: DataFrame, without=(), **own: Column) -> tuple[DataFrame, list[T.StructField], list[str]]:
+    """The columns as c0, c1, ... and own ones beside them, which no name of the table can clash with.
+
+    Columns named (in lower case) in ``without`` are left out. Also the fields c0, c1, ... and the names they had.
+    """
+    kept = [f for f in df.schema if f.name.lower() not in without]
+    plain = [F.col("`" + f.name.replace("`", "``") + "`").alias(f"c{k}") for k, f in enumerate(kept)]
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(kept)]
+    return df.select(*plain, *[c.alias(n) for n, c in own.items()]), fields, [f.name for f in kept]
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with the one row of their group, spread over all tasks.
 

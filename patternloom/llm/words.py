@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes above which a word is hashed on its own: the polynomial modulo 2^64 can part short words only.
+LONG_WORD = 128
+
+
+def _long_hash(word: np.ndarray) -> int:
+    return int.from_bytes(blake2b(LOWER[word].tobytes(), digest_size=8).digest(), "little")
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
@@ -93,7 +102,10 @@ def words(buf: np.ndarray, cuts: np.ndarray, is_word: np.ndarray, hashes: bool =
             m = end - pos
             value = (LOWER[buf[pos:end]].astype(np.uint64) + np.uint64(1)) * _power("p", _P, m)[:m]
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-            hashed.append(mix((total[e] - total[s]) * _power("inv", _INV, m + 1)[s]))
+            value = mix((total[e] - total[s]) * _power("inv", _INV, m + 1)[s])
+            for k in np.flatnonzero(e - s > LONG_WORD):
+                value[k] = _long_hash(buf[pos + s[k] : pos + e[k]])
+            hashed.append(value)
         pos = end
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return join(starts, np.int64), join(ends, np.int64), join(hashed, np.uint64)
@@ -117,4 +129,7 @@ def hash_words(items: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     value = (LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power("p", _P, len(raw))[: len(raw)]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-    return mix((total[ends] - total[starts]) * _power("inv", _INV, len(raw) + 1)[starts])
+    out = mix((total[ends] - total[starts]) * _power("inv", _INV, len(raw) + 1)[starts])
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        out[k] = _long_hash(raw[starts[k] : ends[k]])
+    return out

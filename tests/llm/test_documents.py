@@ -301,3 +301,57 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == clean
     assert {r.doc_id: r["size"] for r in got} == {i: len(t.encode().split()) for i, t in clean.items()}
     assert abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) < 100
+
+
+CLASHES = "doc_id long, text string, lang string, source string, _source int, _rest int, _buckets int, _cut int, _mix_key int, _keep int, _near_id int, _lang_text int, _html int, id int, c0 int, digest int, `a.b` int"
+
+
+def test_columns_of_any_name_in_every_stage(spark):
+    texts = ["one two three four five six seven"] * 3 + ["One two three four five six seven", "eight nine ten eleven twelve", "w " * 30]
+    rows = [(k, t, "en", "a", *range(13)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASHES)
+    bench = spark.createDataFrame([("i", "x y z")], "item_id string, text string")
+    for out in (drop_copies(docs), drop_near(docs), drop_contaminated(docs, bench), identify(docs, fit(docs)).drop("lang_pred", "score", "rejected")):
+        assert out.columns == docs.columns and all(tuple(r)[4:] == tuple(range(13)) for r in out.collect())
+    mixed = mix_sources(docs)
+    assert mixed.columns[: len(docs.columns)] == docs.columns and mixed.count() == 6
+    assert sorted(r.doc_id for r in drop_copies(docs).collect()) == [3, 4, 5]
+
+
+def test_drop_copies_keeps_what_find_copies_keeps(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(8)]), rng.choice(["x", "X", "y", "zz", "zZ", "", None, "long " * 50])) for _ in range(60)] + [(5, "x"), (9, "x"), (5, "y"), (3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(str(r.doc_id) for r in find_copies(docs).where("kept").collect())
+    left = drop_copies(docs).collect()
+    assert sorted(str(r.doc_id) for r in left) == kept
+    best = {}
+    for i, t in rows:
+        best[lowered(t)] = max(best.get(lowered(t), -1), -1 if i is None else i)
+    assert all((-1 if r.doc_id is None else r.doc_id) == best[lowered(r.text)] for r in left)
+
+
+def test_mix_meets_its_target_without_ids(spark):
+    rows = [(None, " ".join(f"w{k}" for k in range(1 + n % 13)), "a") for n in range(200)] + [(n, "x y z", s) for n, s in enumerate("bbbcccc")]
+    rows += [(7000, "one two three four", "a")] * 20
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 30 and all(r.taken <= 2 * r["size"] for r in mine)
+
+
+def test_letters():
+    from patternloom.llm.langid import has_letter
+
+    assert all(map(has_letter, ["a", "½ é", "9漢"])) and not any(map(has_letter, ["", "½", "² 9", "_", "①"]))
+
+
+def test_long_words_that_the_polynomial_cannot_part(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{word} {word}x"), (2, f"{other} {other}x"), (3, f"{word} {word}x")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_groups(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    bench = spark.createDataFrame([("i", word)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in find_contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 1}

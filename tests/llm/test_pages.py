@@ -96,3 +96,43 @@ def test_odd_pages(spark):
     assert set(got.columns) == set(pages.columns)
     assert sorted((str(r.page_id), len(r.text)) for r in got.collect()) == [("1", 0), ("2", 14998), ("2", 14998), ("None", 0)]
     assert extract_text(pages.limit(0), {}).count() == 0
+
+
+def test_blocks_at_every_place_of_an_article(spark):
+    weights = train_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    text = ("word " * 40).strip()
+    paragraphs = [f"<p>{text}</p>"] * 3
+    parts = {
+        "<ul>" + "".join(f"<li><a href='/{k}'>item {k}</a></li>" for k in range(20)) + "</ul>": [f"item {k}" for k in range(20)],
+        "<ol><li>one<li>two<li>three</ol>": ["one", "two", "three"],
+        "<table><caption>Cap</caption><tr><th>a<th>b<tr><td>1</td><td>2</td></tr></table>": ["Cap", "a", "b", "1", "2"],
+        "<pre><code>x = 1</code></pre>": ["x = 1"],
+        "<dl><dt>term</dt><dd>meaning</dd></dl>": ["term", "meaning"],
+        "<figure><img src='x.png'><figcaption>A caption</figcaption></figure>": ["A caption"],
+        "<blockquote>said</blockquote>": ["said"],
+    }
+    outside = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy</div>"
+    for part, lines in parts.items():
+        for at in range(4):
+            body = "<h1>Head</h1>" + "".join([*paragraphs[:at], part, *paragraphs[at:]])
+            want = "\n\n".join(["Head", *[text] * at, *lines, *[text] * (3 - at)])
+            for page in (f"<body>{outside}<article>{body}</article><footer>f</footer></body>", f"<body>{outside}<div>{body}</div><div><a href='/'>x</a></div><footer>f</footer></body>", f"<body>{outside}{body}<div><a href='/x'>x</a></div></body>"):
+                assert main_text(page, weights) == want, page
+
+
+def test_broken_pages_take_linear_time(spark):
+    import time
+
+    text = ("word " * 40).strip()
+    n = 5 << 20
+    start = time.perf_counter()
+    for page in ("<a " * (n // 3), "<a \"x>\" " * (n // 9), "<b>" * (n // 30) + "x</i>" * (n // 30), "<div>" * (n // 40) + "x" * 9, "<" * n, "<!--" * (n // 4), "</p " * (n // 4), "<b>x" * (n // 30)):
+        assert text in main_text(f"<article><p>{text}</p>" + page, {})
+    assert time.perf_counter() - start < 120
+    assert main_text(f"<p title=\"a>{text}</p><p>{text}</p>", {}).endswith(text)
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a b</p>", 1, 2, "x")], "page_id long, url string, html string, _html int, `a.b` int, Text string")
+    got = extract_text(rows, {})
+    assert got.columns == ["page_id", "url", "html", "_html", "a.b", "text"] and tuple(got.head()) == (1, "u", "<p>a b</p>", 1, 2, "a b")

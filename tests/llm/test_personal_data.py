@@ -64,3 +64,54 @@ def test_field_adds_what_is_certain_elsewhere(spark):
     assert find_spans(None, field) == find_spans("", field) == []
     long = "7 " * 200_000 + "a@b.cd"
     assert ("email", 400_000, 400_006, True) in find_spans(long, None)
+
+
+def test_field_over_any_text(spark):
+    """Digits of any script, in training and prediction."""
+    import numpy as np
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from patternloom.llm.pii import FEATURES, Field, base_spans, find_personal_data, find_spans, train_field
+
+    rows = [(k, t) for k, t in enumerate(["².5.6.x@y", "a@b.c 1.2.3.4 ①②③④⑤⑥⑦@x.y", "+1 234 567 8901 ٣٤٥٦٧٨٩ @", "4111 1111 1111 1111"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert find_personal_data(docs, train_field(docs, most=2)).count() == 12
+    rng = np.random.default_rng(1)
+    pair = rng.normal(0, 1, (3, 5, 5))
+    field = Field(rng.normal(0, 1, (FEATURES, 5)), pair + pair.transpose(0, 2, 1))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.sampled_from("0123456789.@+-() a²①٣"), st.characters(exclude_categories=["Cs"])), max_size=60))
+    def check(text):
+        spans = find_spans(text, field)
+        assert [s[:3] for s in spans if s[3]] == [(("email", "ip", "card", "phone")[k], a, b) for k, a, b in base_spans(text)]
+
+    check()
+
+
+def test_marginals_against_enumeration():
+    """Message passing is exact on chains, and near the truth with a skip edge."""
+    from itertools import product
+
+    import numpy as np
+
+    from patternloom.llm.pii import FEATURES, Field, marginals
+
+    rng = np.random.default_rng(2)
+    for loops in (False, True):
+        for n in range(1, 7 if not loops else 5):
+            pair = rng.normal(0, 0.4, (3, 5, 5))
+            field = Field(rng.normal(0, 1, (FEATURES, 5)), pair + pair.transpose(0, 2, 1))
+            x, y = rng.normal(0, 0.5, (n, FEATURES)), np.zeros(n, np.int64)
+            if n > 2:
+                y[1] = 3
+            e = np.array([(i - 1, i, 0) for i in range(1, n)] + [(0, n - 1, 2)] * (loops and n > 2), np.int64).reshape(-1, 3)
+            want = np.zeros((n, 5))
+            for labels in product(range(5), repeat=n):
+                if all(y[i] in (0, l) for i, l in enumerate(labels)):
+                    energy = sum(x[i] @ field.node[:, l] for i, l in enumerate(labels)) + sum(field.pair[k, labels[a], labels[b]] for a, b, k in e)
+                    want[range(n), labels] += np.exp(energy)
+            want /= want.sum(axis=1, keepdims=True)
+            got = marginals(field, x, y, e, rounds=200)
+            assert np.abs(got - want).max() < (0.1 if loops else 1e-9)
