@@ -716,6 +716,24 @@ def _replace():
     return rcte(*parts) + "SELECT cls, rank, slot, Confidence, TPR FROM jt"
 
 
+def _generation():
+    b, words = LINES, "r0, r1, r2, r3, r4"
+    kept = f"rule_id, cls, {words}, {COUNTS}"
+    bare = lambda m: f"CASE WHEN num_vars = 0 THEN '-inf'::DOUBLE ELSE {m} END AS {m}"
+    parts = [
+        *_kids(),
+        ("made", f"SELECT 1099511627776 + nth AS rule_id, cls, {words} FROM nth WHERE nth <= (SELECT count(*) FROM pop)"),
+        q.norm_ctes(b, "made", "norm2")[1],
+        *q.count_ctes(b, "norm2", "ct2"),
+        q.scored_cte(TRADE_OFF, "ct2", "kid_s"),
+        ("joint", f"SELECT {kept}, {', '.join(TRADE_OFF)} FROM pop UNION ALL SELECT {kept}, {', '.join(map(bare, TRADE_OFF))} FROM kid_s"),
+        *_rank_ctes("joint", "jr"),
+        *_crowd_ctes("jr", "jc"),
+        *_top_ctes(30, "jc", "jt", rounded=False),
+    ]
+    return rcte(*parts) + f"SELECT rule_id, cls, rank, slot, {q.masks_text(5)} AS masks, {COUNTS} FROM jt"
+
+
 def _newly(b, old, now):
     hit = lambda rules: f"EXISTS (SELECT 1 FROM {rules} q WHERE q.cls = c.cls AND {q.match_on(b)})"
     return cte(
@@ -726,7 +744,7 @@ def _newly(b, old, now):
     )
 
 
-def _best_of_all(b, objectives=("WRAccNorm", "SuppDiff")):
+def best_of_all(b, objectives=("WRAccNorm", "SuppDiff")):
     """What a search should find: of all rules there are the front, after token competition, filtered as by default."""
     n = q.n_words(b)
     tables = ", ".join(f"(SELECT unnest(range((1::BIGINT << z{i}::BIGINT) - 1)) AS r{i} FROM sizes)" for i in range(n))
@@ -877,14 +895,14 @@ ORACLES = {
     "crossover_npoint": _crossed(_npoint_words),
     "crossover_hux": _crossed(_hux_words),
     "mutate": _mutate(),
+    "generation": _generation(),
     "operator_probs": rcte(*_kids(), CREDITS, PROBS) + "SELECT op, credit, round(prob, 12) AS prob FROM pr",
     "choose_operator": _choose(),
     "reproduce": _reproduce(),
     "replace": _replace(),
     "stagnation": _newly(LINES, "rule_id < 20", "rule_id >= 20"),
     "stagnation_bitmap": _newly(ORDERS, "rule_id < 20", "true"),
-    "fit_orders": _best_of_all(ORDERS),
-    "fit_planted": _best_of_all(PLANTED),
+    "fit_planted": best_of_all(PLANTED),
     "reinitialise": _reinitialise(),
     "update_elite": _update_elite(),
     "finalise": _finalise(),

@@ -35,6 +35,7 @@ from patternloom.operators.rules import (
 )
 from patternloom.plans.layout import RowLayout, prepare
 from patternloom.plans.miner import MinedPatterns, PatternMiner, replace_population
+from patternloom.plans.population import Scorer, population_frame
 from patternloom.session import cut_lineage, ensure_checkpoint_dir
 from patternloom.sources.arff import arff_schema, read_arff
 from patternloom.sources.reports import (
@@ -625,6 +626,23 @@ def reproduce(spark, sf):
     return kids.where("not surplus").select("rule_id", "cls", "op", _masks())
 
 
+def generation(spark, sf):
+    """One whole generation of the search: children of the population, their scores, and who survives."""
+    c = Case(spark, sf, LINES)
+    layout = prepare(c.df, c.model)
+    miner = _miner(LINES, individuals=30, seed=SEED)
+    scorer = Scorer(layout, TRADE_OFF, (), miner._columns())
+    pop = {k: [] for k in c.model.classes}
+    parents = _population(c).orderBy("cls", "slot").select("rule_id", "cls", "masks", "rank", "crowding").collect()
+    for x, r in zip(scorer((r["rule_id"], r["cls"], tuple(r["masks"])) for r in parents), parents):
+        x.rank, x.crowding = r["rank"], r["crowding"]
+        pop[x.cls].append(x)
+    kept, _ = miner.generation(scorer, pop, c.model, SHARES, 1)
+    layout.release()
+    columns = ["rule_id", "cls", "rank", "slot", F.array_join(normalise("masks", c.model).cast("array<string>"), ",").alias("masks"), *COUNTS]
+    return population_frame(kept, spark, miner._schema()).select(*columns)
+
+
 def _credits(spark, sf):
     """How many children each operator made in one generation over lines."""
     c = Case(spark, sf, LINES)
@@ -687,7 +705,7 @@ def _mined(binding, spark, sf):
 
 
 def fit_orders(spark, sf):
-    """The search over orders; SQL tries all rules there are."""
+    """The search over orders, whose best rules are a close race: it may end beside the best of all (a test says how near)."""
     return _mined(ORDERS, spark, sf)
 
 
@@ -834,6 +852,7 @@ QUERIES = {
     "crossover_npoint": crossover_npoint,
     "crossover_hux": crossover_hux,
     "mutate": mutate,
+    "generation": generation,
     "operator_probs": operator_probs,
     "choose_operator": choose_operator,
     "reproduce": reproduce,
