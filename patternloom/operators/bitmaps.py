@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,23 @@ def newly_covered_bitmap(
     return added_bitmap(*(cover_bitmap(lut, rules, model, max_rules) for rules in (previous, now)))
 
 
+def covered_rows_bitmap(cover: DataFrame) -> DataFrame:
+    """``rule_id, cls, row`` of every set bit of ``rule_id, cls, bucket, covered``, rows numbered as the bitmaps were."""
+
+    def run(batches):
+        for batch in batches:
+            places = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in batch.column("covered").to_pylist()]
+            sizes = [len(p) for p in places]
+            first = (np.array(batch.column("bucket").to_pylist(), np.int64) - 1) * BUCKET_ROWS + 1
+            take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            rows = np.concatenate([p + f for p, f in zip(places, first)]) if places else np.zeros(0, np.int64)
+            kept = [batch.column(c).take(take) for c in ("rule_id", "cls")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.int64())], ["rule_id", "cls", "row"])
+
+    wanted = cover.select("rule_id", "cls", "bucket", "covered")
+    return wanted.mapInArrow(run, "rule_id bigint, cls string, row bigint")
+
+
 def _has_bit(bits: str, row: str) -> str:
     """SQL test of bit ``row`` (from 0) of a bitmap."""
     byte = f"cast(conv(hex(substring({bits}, cast({row} / 8 as int) + 1, 1)), 16, 10) as int)"

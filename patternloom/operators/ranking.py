@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patternloom.session import cut_lineage, ship
+from patternloom.sources.row_index import with_row_index
 
 DECIMALS = 12
 # Distinct vectors of one group that a single task may rank; beyond it, work is split.
 GROUP_LIMIT = 20_000
-# The same for two objectives, which need a sort and one bisection per vector (16 bytes each).
-PAIR_LIMIT = 4_000_000
+# The same for two objectives, which need a sort and one bisection per vector; also the vectors of one slice.
+PAIR_LIMIT = 1_000_000
 BANDS = 64
 
 
@@ -177,25 +178,78 @@ def rank_vectors(values: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _numbered(points: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Distinct vectors with ``_at`` from 0, group after group, each from its best first objective downwards."""
+    line = [*[F.asc(k) for k in keys], *[F.desc(n) for n in names]]
+    return with_row_index(points.repartitionByRange(*line).sortWithinPartitions(*line), 0, "_at")
+
+
+def _rank_one(points: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Ranks of one objective: the place in the sorted table less the place where the group begins."""
+    placed = cut_lineage(_numbered(points, keys, names))
+    if not keys:
+        return placed.withColumn("rank", F.col("_at").cast("int")).drop("_at")
+    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_start"))
+    return placed.join(starts, keys).withColumn("rank", (F.col("_at") - F.col("_start")).cast("int")).drop("_at", "_start")
+
+
+def _pile(keys: list[str], names: list[str], held: tuple | None, tops: list[float]):
+    """Sorted vectors of a slice to their ranks; ``tops`` has what the fronts of the group ``held`` have reached."""
+
+    def run(batches):
+        now, piles = held, list(tops)
+        for pdf in batches:
+            ranks = []
+            for group, second in zip(pdf[keys].itertuples(index=False, name=None), (-pdf[names[1]]).tolist()):
+                if group != now:
+                    now, piles = group, []
+                front = bisect_right(piles, second)
+                if front == len(piles):
+                    piles.append(second)
+                else:
+                    piles[front] = second
+                ranks.append(front)
+            yield pdf.assign(rank=np.array(ranks, np.int32))
+
+    return run
+
+
+def _rank_two(points: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Ranks of two objectives, slice by slice of the sorted table.
+
+    What a slice must know of those before it is the best second value of each front of the group it goes on with:
+    one number per front, which is carried on. Every slice is one bounded task.
+    """
+    placed = cut_lineage(_numbered(points, keys, names))
+    total, done, held, tops = placed.count(), [], None, []
+    kept = [*keys, *names]
+    schema = placed.select(*kept).withColumn("rank", F.lit(0)).schema
+    for start in range(0, total, PAIR_LIMIT):
+        part = placed.where((F.col("_at") >= start) & (F.col("_at") < start + PAIR_LIMIT)).coalesce(1).sortWithinPartitions("_at")
+        ranked = cut_lineage(part.select(*kept).mapInPandas(_pile(keys, names, held, tops), schema))
+        done.append(ranked)
+        last = placed.where(F.col("_at") == min(start + PAIR_LIMIT, total) - 1).select(*keys).head()
+        mine = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, last)], F.lit(True))
+        reached = {r[0]: -r[1] for r in ranked.where(mine).groupBy("rank").agg(F.max(names[1])).collect()}
+        # A later vector of a front has no smaller second value than those before it.
+        before = dict(enumerate(tops)) if held == tuple(last) else {}
+        held, tops = tuple(last), [v for _, v in sorted((before | reached).items())]
+    return reduce(lambda a, b: a.unionByName(b), done) if done else points.withColumn("rank", F.lit(0))
+
+
 def nondominated_rank(
     df: DataFrame, objectives, by="cls", minimise=(), max_rank: int | None = None, group_bound: int | None = None
 ) -> DataFrame:
     """Add ``rank``, the number of the front, counted from 0 within each group.
 
-    ``group_bound`` is a bound on the group size the caller vouches for; without it the
-    distinct vectors are counted. Groups within GROUP_LIMIT are ranked by one task each;
-    larger ones are peeled front by front, each front found by a distributed step.
-    Rows beyond ``max_rank`` get a null rank.
+    ``group_bound`` is a bound on the group size the caller vouches for; without it the distinct vectors are
+    counted. One objective is sorted by ranges; two are sorted too and piled slice by slice; more are ranked by one
+    task per group within GROUP_LIMIT, and larger groups are peeled front by front, each front found by a
+    distributed step. Rows beyond ``max_rank`` get a null rank.
     """
     keys = _keys(by)
     ship(df.sparkSession)
     full, names = with_vector(df, objectives, minimise)
-    if len(names) == 1:
-        line = Window.partitionBy(*keys).orderBy(F.desc(names[0]))
-        number = F.dense_rank().over(line) - 1
-        number = number if max_rank is None else F.when(number <= max_rank, number)
-        return full.withColumn("rank", number.cast("int")).drop(*names)
-    limit = PAIR_LIMIT if len(names) == 2 else GROUP_LIMIT
     if group_bound is not None and group_bound <= GROUP_LIMIT:
         # Small groups: whole rows go to one task each, which saves joining the ranks back.
         schema = df.withColumn("rank", F.lit(0)).schema
@@ -209,18 +263,20 @@ def nondominated_rank(
 
         return full.groupBy(*keys).applyInPandas(rank_rows, schema)
     points = full.select(*keys, *names).distinct()
-    if group_bound is None:
+    if len(names) > 1 and group_bound is None:
         points = cut_lineage(points)
         group_bound = points.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-    if group_bound <= limit:
+    if len(names) == 1:
+        ranked = _rank_one(points, keys, names)
+    elif group_bound <= (PAIR_LIMIT if len(names) == 2 else GROUP_LIMIT):
         schema = points.withColumn("rank", F.lit(0)).schema
 
         def rank(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.assign(rank=rank_vectors(pdf[names].to_numpy()))
 
         ranked = points.groupBy(*keys).applyInPandas(rank, schema)
-        if max_rank is not None:
-            ranked = ranked.where(F.col("rank") <= max_rank)
+    elif len(names) == 2:
+        ranked = _rank_two(points, keys, names)
     else:
         left, level, done = points, 0, []
         while not left.isEmpty() and (max_rank is None or level <= max_rank):
@@ -229,6 +285,8 @@ def nondominated_rank(
             left = cut_lineage(left.join(front, [*keys, *names], "left_anti"))
             level += 1
         ranked = reduce(lambda a, b: a.unionByName(b), done)
+    if max_rank is not None:
+        ranked = ranked.where(F.col("rank") <= max_rank)
     return full.join(ranked, [*keys, *names], "left").drop(*names)
 
 

@@ -171,3 +171,20 @@ def evaluate_rules(df: DataFrame, rules: DataFrame, model: TableModel) -> DataFr
     cls = F.coalesce(F.col(quoted(model.class_col)).cast("string"), F.lit("\0"))
     totals = {r["cls"]: r["count"] for r in rows.groupBy(cls.alias("cls")).count().collect()}
     return contingency_bitmap(cut_lineage(bitmaps.wide_lut(rows, model, "_row")), rules, model, class_totals=totals)
+
+
+def matched_rows(df: DataFrame, rules: DataFrame, model: TableModel, keep) -> DataFrame:
+    """``keep..., rule_id, rule_cls`` for every row of a table and rule that covers it.
+
+    Up to ``WIDE_WORDS`` mask words a row looks its rules up. The rows of a wider table are numbered and written;
+    rules become bitmaps bucket by bucket, and their bits the numbers by which the rows are joined, so
+    no projection is as wide as the table.
+    """
+    if model.n_words <= WIDE_WORDS:
+        return match_rules(encode_items(df, model, list(keep)), rules, model, keep=[quoted(k) for k in keep])
+    names = dict.fromkeys([*keep, *[a.name for a in model.attributes], model.class_col])
+    rows = cut_lineage(with_row_index(df.select(*[F.col(quoted(n)) for n in names]), 1, "_row"))
+    lut = cut_lineage(bitmaps.wide_lut(rows, model, "_row"))
+    cover = bitmaps.coverage_bitmaps(lut, rules.select("rule_id", "cls", "masks"), model, None, ("cls",))
+    hits = bitmaps.covered_rows_bitmap(cover).select("rule_id", F.col("cls").alias("rule_cls"), F.col("row").alias("_row"))
+    return rows.select("_row", *[F.col(quoted(k)) for k in keep]).join(hits, "_row").drop("_row").select(*[F.col(quoted(k)) for k in keep], "rule_id", "rule_cls")

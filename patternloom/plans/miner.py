@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from patternloom.functions.measures import all_measures
 from patternloom.model import TableModel
 from patternloom.operators.contingency import with_objectives
-from patternloom.operators.coverage import match_rules
-from patternloom.operators.encode import compact, encode_items
+from patternloom.operators.encode import compact
 from patternloom.operators.generate import (
     GENERATION,
     OPERATORS,
@@ -30,7 +29,7 @@ from patternloom.operators.profile import build_model
 from patternloom.operators.ranking import crowding_distance, nondominated_rank, pareto_front, select_top
 from patternloom.operators.rules import dedupe_rules
 from patternloom.operators.selection import better_set, measure_filter, with_slot
-from patternloom.plans.layout import evaluate_rules, prepare
+from patternloom.plans.layout import evaluate_rules, matched_rows, prepare
 from patternloom.plans.population import UNRANKED, Individual, Scorer, population_frame, reproduce_rules, survivors
 from patternloom.session import cut_lineage
 from patternloom.sources import reports
@@ -125,9 +124,7 @@ class MinedPatterns:
 
     def match(self, df: DataFrame, keep=None) -> DataFrame:
         """Rows of a table with each rule that covers them."""
-        keep = list(keep or df.columns)
-        encoded = encode_items(df, self.model, keep)
-        return match_rules(encoded, self.rules, self.model, keep=keep)
+        return matched_rows(df, self.rules, self.model, list(keep or df.columns))
 
     def write(self, folder: str, test: DataFrame | None = None) -> None:
         """Rules, training measures and, for a test table, test measures."""

@@ -734,6 +734,14 @@ def _generation():
     return rcte(*parts) + f"SELECT rule_id, cls, rank, slot, {q.masks_text(5)} AS masks, {COUNTS} FROM jt"
 
 
+def _match_bitmap():
+    classes = "(SELECT cls, row_number() OVER (ORDER BY cls) - 1 AS rule_id FROM classes)"
+    return cte(*q.enc_ctes(VECTORS), q.CLASSES) + (
+        f"SELECT e.vec_id, c.rule_id, c.cls AS rule_cls FROM enc e, {classes} c WHERE (e.m0 & 4) <> 0 AND (e.m40 & 3) <> 0 UNION ALL "
+        "SELECT vec_id, (SELECT count(*) FROM classes), (SELECT min(cls) FROM classes) FROM enc WHERE (m63 & 4) <> 0"
+    )
+
+
 def _newly(b, old, now):
     hit = lambda rules: f"EXISTS (SELECT 1 FROM {rules} q WHERE q.cls = c.cls AND {q.match_on(b)})"
     return cte(
@@ -896,6 +904,8 @@ ORACLES = {
     "crossover_hux": _crossed(_hux_words),
     "mutate": _mutate(),
     "generation": _generation(),
+    "nondominated_rank_rows": "SELECT o_orderkey, o_orderstatus AS cls, (dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY round(o_totalprice::DOUBLE, 12) DESC) - 1)::INTEGER AS rank FROM orders",
+    "match_bitmap": _match_bitmap(),
     "operator_probs": rcte(*_kids(), CREDITS, PROBS) + "SELECT op, credit, round(prob, 12) AS prob FROM pr",
     "choose_operator": _choose(),
     "reproduce": _reproduce(),

@@ -15,7 +15,7 @@ from patternloom.operators import coverage as cov
 from patternloom.operators import generate as gen
 from patternloom.operators import profile as prof
 from patternloom.operators import ranking, selection
-from patternloom.operators.bitmaps import newly_covered_bitmap, token_competition_bitmap, wide_lut
+from patternloom.operators.bitmaps import covered_rows_bitmap, newly_covered_bitmap, token_competition_bitmap, wide_lut
 from patternloom.operators.contingency import (
     contingency,
     contingency_bitmap,
@@ -626,6 +626,12 @@ def reproduce(spark, sf):
     return kids.where("not surplus").select("rule_id", "cls", "op", _masks())
 
 
+def nondominated_rank_rows(spark, sf):
+    """Orders ranked by price within their status: a group of any size, sorted by ranges."""
+    df = ORDERS.load(spark, sf).select("o_orderkey", F.col("o_orderstatus").alias("cls"), F.col("o_totalprice").cast("double").alias("price"))
+    return ranking.nondominated_rank(df, ("price",)).select("o_orderkey", "cls", "rank")
+
+
 def generation(spark, sf):
     """One whole generation of the search: children of the population, their scores, and who survives."""
     c = Case(spark, sf, LINES)
@@ -714,6 +720,17 @@ def fit_planted(spark, sf):
     return _mined(PLANTED, spark, sf)
 
 
+def match_bitmap(spark, sf):
+    """Vectors with the rules that cover them, from bitmaps as for tables of any width."""
+    df = VECTORS.load(spark, sf)
+    model = VECTORS.model(df)
+    rules = rules_table(spark, model, [(k, {0: [2], 40: [0, 1]}) for k in model.classes] + [(model.classes[0], {63: [2]})])
+    rows = with_row_index(df, 1, "row_no")
+    cover = cov.coverage_bitmaps(wide_lut(rows, model, "row_no"), rules, model, None, ("cls",))
+    hits = covered_rows_bitmap(cover).withColumnRenamed("row", "row_no")
+    return rows.select("row_no", "vec_id").join(hits, "row_no").select("vec_id", "rule_id", F.col("cls").alias("rule_cls"))
+
+
 def _halves(df):
     """Train on the orders up to 1998, test on the later ones, of which low ones have a priority unseen in training."""
     early = F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")
@@ -853,6 +870,8 @@ QUERIES = {
     "crossover_hux": crossover_hux,
     "mutate": mutate,
     "generation": generation,
+    "nondominated_rank_rows": nondominated_rank_rows,
+    "match_bitmap": match_bitmap,
     "operator_probs": operator_probs,
     "choose_operator": choose_operator,
     "reproduce": reproduce,

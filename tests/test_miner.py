@@ -116,6 +116,11 @@ def test_wide_tables_are_evaluated_by_bitmaps(planted, monkeypatch):
         monkeypatch.setattr(layout, "WIDE_WORDS", words)
         got.append(sorted(map(tuple, layout.evaluate_rules(other, rules, model).drop("masks").collect())))
     assert got[0] == got[1] and got[0][0][2] > 0
+    hits = []
+    for words in (256, 2):
+        monkeypatch.setattr(layout, "WIDE_WORDS", words)
+        hits.append(sorted(map(tuple, layout.matched_rows(other, rules, model, ["no", "kind"]).collect())))
+    assert hits[0] == hits[1] and len(hits[0]) == sum(r[2] + r[3] for r in got[0])
 
 
 def test_restarts_and_random_start(planted):
