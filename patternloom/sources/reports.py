@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.functions.masks import num_vars
@@ -10,13 +10,15 @@ from patternloom.functions.measures import LISTED_MEASURES, SHORT_NAMES, all_mea
 from patternloom.model import TableModel
 from patternloom.operators.contingency import summary
 from patternloom.operators.rules import canonical_rules, rule_items
+from patternloom.sources.row_index import with_row_index
 
 NONE = "------"
 
 
-def rule_number() -> Column:
-    """Position of the rule in the report: by class, then id, from 0."""
-    return F.row_number().over(Window.orderBy("cls", "rule_id")) - 1
+def numbered(rules: DataFrame) -> DataFrame:
+    """Add ``rule_no``, the position in a report: by class, then id, from 0; sorted by ranges, not in one task."""
+    order = ("cls", "rule_id")
+    return with_row_index(rules.repartitionByRange(*order).sortWithinPartitions(*order), 0, "rule_no")
 
 
 def _six(c: Column) -> Column:
@@ -60,16 +62,17 @@ def render_rules(rules: DataFrame, model: TableModel) -> DataFrame:
 
 
 def write_rules(rules: DataFrame, model: TableModel, path: str) -> None:
-    text = F.concat(F.lit("Rule "), rule_number().cast("string"), F.lit("\n"), F.col("rule_text"), F.lit("\n\n"))
-    out = render_rules(rules, model).select("cls", "rule_id", text.alias("value"))
-    out.orderBy("cls", "rule_id").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Rules as text, in the order of their numbers through one or more files."""
+    text = F.concat(F.lit("Rule "), F.col("rule_no").cast("string"), F.lit("\n"), F.col("rule_text"), F.lit("\n\n"))
+    out = numbered(render_rules(rules, model)).select("rule_no", text.alias("value"))
+    out.orderBy("rule_no").select("value").write.mode("overwrite").text(path)
 
 
 def training_measures(scored: DataFrame, model: TableModel, objectives) -> DataFrame:
     """Rule number, id, consequent and the objective values with six decimals."""
-    keyed = canonical_rules(scored, model)
+    keyed = numbered(canonical_rules(scored, model))
     return keyed.select(
-        rule_number().alias("Rule"),
+        F.col("rule_no").cast("int").alias("Rule"),
         F.col("rule_key").alias("ID"),
         F.col("cls").alias("Consequent"),
         *[_six(F.col(o)).alias(SHORT_NAMES[o]) for o in objectives],
@@ -78,11 +81,11 @@ def training_measures(scored: DataFrame, model: TableModel, objectives) -> DataF
 
 def test_measures(measured: DataFrame, model: TableModel) -> DataFrame:
     """Counts and all listed measures per rule, and one summary row of means."""
-    full = canonical_rules(measured, model).withColumn("num_vars", num_vars("masks", model))
+    full = numbered(canonical_rules(measured, model)).withColumn("num_vars", num_vars("masks", model))
     if "AUC" not in full.columns:
         full = all_measures(full)
     per_rule = full.select(
-        rule_number().cast("string").alias("Rule"),
+        F.col("rule_no").cast("string").alias("Rule"),
         F.col("cls").alias("Class"),
         F.col("rule_key").alias("ID"),
         F.lit(NONE).alias("NumRules"),
@@ -101,7 +104,8 @@ def test_measures(measured: DataFrame, model: TableModel) -> DataFrame:
 
 
 def _write_tsv(df: DataFrame, path: str, order: Column) -> None:
-    df.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    """Rows in order through one or more files, each with the header."""
+    df.orderBy(order).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def write_training_measures(scored: DataFrame, model: TableModel, objectives, path: str) -> None:

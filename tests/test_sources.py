@@ -107,3 +107,39 @@ def test_model_json(spark, small):
     again = type(model).from_json(model.to_json())
     assert again == model
     assert again.labels_frame(spark).where(F.col("shape") == "Triangular").count() == 2
+
+
+def test_folder_of_files_with_headers(spark, tmp_path):
+    head = "% all\n@relation r\n@attribute a numeric\n@attribute c {x, y}\n@inputs a\n@data\n"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.arff").write_text(head + "1, x\n2, y\n")
+    (folder / "2.arff").write_text(head.replace("@data", "@DATA").replace("numeric", "REAL") + "3, '@x'\n% no\n\n")
+    (folder / "3.arff").write_text("4, ?\n")
+    got = read_arff(spark, str(folder)).collect()
+    assert sorted((r.a, r.c or "") for r in got) == [(1.0, "x"), (2.0, "y"), (3.0, "@x"), (4.0, "")]
+    text = tmp_path / "at.arff"
+    text.write_text("@attribute c {@a, b}\n@attribute n integer\n@data\n@a, 1\nb, 2\n@data, 3\n")
+    assert sorted(map(tuple, read_arff(spark, str(text)).collect())) == [("@a", 1.0), ("@data", 3.0), ("b", 2.0)]
+    (folder / "4.arff").write_text(head.replace("@attribute a", "@attribute b") + "1, x\n")
+    with pytest.raises(ValueError, match="different"):
+        arff_schema(spark, str(folder))
+
+
+def test_reports_of_several_files(spark, tmp_path, monkeypatch):
+    """Numbers run on through the files of a report."""
+    from patternloom.sources import reports
+
+    model = build_model(spark.createDataFrame([(float(i), "pq"[i % 2]) for i in range(20)], "a double, k string"), "k", ["a"], [], 3)
+    rules = rules_table(spark, model, [("qp"[i % 2], {0: [i % 3]}) for i in range(40)]).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.write_rules(rules, model, str(tmp_path / "rules"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(p for p in (tmp_path / "rules").iterdir() if p.name.startswith("part"))
+    text = "".join(p.read_text() for p in files)
+    numbers = [int(line.split()[1]) for line in text.splitlines() if line.startswith("Rule ")]
+    assert len(files) > 1 and numbers == list(range(40))
+    consequents = [line for line in text.splitlines() if line.startswith("Consequent")]
+    assert consequents == sorted(consequents)
