@@ -124,16 +124,14 @@ class TableModel:
         return masks
 
     def row_masks(self, word: int) -> list[int]:
-        """Every non-zero mask a row can hold in this word."""
+        """Every mask under which rows are looked up in this word: those a row can hold, or single own labels."""
         w, a = self.words[word], self.attributes[self.words[word].var]
         if w.bits == 0:
             return []
         if not a.numeric:
             return sorted({1 << b for b in range(w.bits)} | {w.full})
-        if self.custom_labels:
-            if w.bits > 12:
-                raise ValueError("custom label definitions are limited to 12 labels per attribute")
-            return list(range(1, w.full + 1))
+        if self.custom_labels:  # a row may hold any set of them
+            return [1 << b for b in range(w.bits)]
         runs = {((1 << n) - 1) << b for n in range(1, w.bits + 1) for b in range(w.bits - n + 1)}
         return sorted(runs)
 

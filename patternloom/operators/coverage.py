@@ -4,7 +4,8 @@ Rows meet rules through an index instead of a row-by-rule product: every rule is
 filed under the masks its most selective variable accepts, every row looks up its
 own mask of each variable, and the remaining conditions are checked on the hits.
 A row holds exactly one mask per variable, so each (row, rule) pair is met at most
-once.
+once. Of labels the caller defines a row may hold any set: there rows are looked up under each label they
+hold, and a pair counts where it meets under the lowest label both have.
 """
 
 from __future__ import annotations
@@ -91,7 +92,15 @@ def match_rules(
     n = rules.count() if max_rules is None else max_rules
     size = n * index_expansion(model) * (64 + 8 * model.n_words)
     wanted = list(dict.fromkeys([*keep, *model.mask_columns]))
-    probe = encoded.selectExpr(*wanted, f"posexplode(array({', '.join(model.mask_columns)})) as (word, wmask)")
+    sets = [i for i, w in enumerate(model.words) if model.custom_labels and model.attributes[w.var].numeric]
+    if sets:
+        single = "transform(filter(sequence(0, {n}), _b -> (shiftright(m{i}, _b) & 1) = 1), _b -> struct({i} as word, shiftleft(1L, _b) as wmask))"
+        parts = [
+            single.format(i=i, n=max(w.bits - 1, 0)) if i in sets else f"array(struct({i} as word, m{i} as wmask))" for i, w in enumerate(model.words)
+        ]
+        probe = encoded.selectExpr(*wanted, f"inline(flatten(array({', '.join(parts)})))")
+    else:
+        probe = encoded.selectExpr(*wanted, f"posexplode(array({', '.join(model.mask_columns)})) as (word, wmask)")
     on = ["word", "wmask"]
     if size <= BROADCAST_LIMIT:
         joined = probe.join(F.broadcast(index), on)
@@ -100,6 +109,9 @@ def match_rules(
         probe = probe.select("*", salt)
         index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         joined = probe.join(index, [*on, "_salt"])
+    for i in sets:
+        both = f"(m{i} & r{i})"
+        joined = joined.where(f"word <> {i} or ({both} & -{both}) = wmask")
     return joined.where(_match(model)).select(*keep, "rule_id", "rule_cls", *carry)
 
 

@@ -734,6 +734,27 @@ def _generation():
     return rcte(*parts) + f"SELECT rule_id, cls, rank, slot, {q.masks_text(5)} AS masks, {COUNTS} FROM jt"
 
 
+def _own_labels():
+    degree = (
+        "CASE WHEN x <= {a} OR x >= {z} THEN 0::DOUBLE WHEN x < {m} THEN (x - {a}) * (1::DOUBLE / ({m} - {a})) "
+        "WHEN x > {m} THEN ({z} - x) * (1::DOUBLE / ({z} - {m})) ELSE 1::DOUBLE END"
+    )
+    points = [15_000 * (j // 2) for j in range(30)]
+    degrees = ", ".join(degree.format(a=f"{m - 30_000}::DOUBLE", m=f"{m}::DOUBLE", z=f"{m + 30_000}::DOUBLE") + f" AS d{j}" for j, m in enumerate(points))
+    top = f"greatest({', '.join(f'd{j}' for j in range(30))}) - 1e-11::DOUBLE"
+    bits = " + ".join(f"CASE WHEN d{j} >= {top} THEN {1 << j}::BIGINT ELSE 0 END" for j in range(30))
+    return cte(
+        ("o", f"SELECT o_orderstatus AS cls, {degrees} FROM (SELECT o_orderstatus, o_totalprice::DOUBLE AS x FROM orders)"),
+        ("enc", f"SELECT cls, {bits} AS m0 FROM o"),
+        q.CLASSES,
+        ("rules", "SELECT row_number() OVER (ORDER BY j, cls) - 1 AS rule_id, cls, (1::BIGINT << j::BIGINT) + (1::BIGINT << (29 - j)::BIGINT) AS r0 FROM range(15) t(j), classes"),
+    ) + (
+        "SELECT rule_id, r.cls, count(*) FILTER (hit AND e.cls = r.cls) AS tp, count(*) FILTER (hit AND e.cls <> r.cls) AS fp, "
+        "count(*) FILTER (NOT hit AND e.cls <> r.cls) AS tn, count(*) FILTER (NOT hit AND e.cls = r.cls) AS fn "
+        "FROM rules r, LATERAL (SELECT cls, (m0 & r.r0) <> 0 AS hit FROM enc) e GROUP BY rule_id, r.cls"
+    )
+
+
 def _match_bitmap():
     classes = "(SELECT cls, row_number() OVER (ORDER BY cls) - 1 AS rule_id FROM classes)"
     return cte(*q.enc_ctes(VECTORS), q.CLASSES) + (
@@ -906,6 +927,7 @@ ORACLES = {
     "generation": _generation(),
     "nondominated_rank_rows": "SELECT o_orderkey, o_orderstatus AS cls, (dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY round(o_totalprice::DOUBLE, 12) DESC) - 1)::INTEGER AS rank FROM orders",
     "match_bitmap": _match_bitmap(),
+    "own_labels": _own_labels(),
     "operator_probs": rcte(*_kids(), CREDITS, PROBS) + "SELECT op, credit, round(prob, 12) AS prob FROM pr",
     "choose_operator": _choose(),
     "reproduce": _reproduce(),

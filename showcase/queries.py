@@ -632,6 +632,15 @@ def nondominated_rank_rows(spark, sf):
     return ranking.nondominated_rank(df, ("price",)).select("o_orderkey", "cls", "rank")
 
 
+def own_labels(spark, sf):
+    """Counts of rules over thirty labels of the caller, of which a price may hold two or all."""
+    c = Case(spark, sf, ORDERS)
+    labels = [(0, j, "Triangular", *(15_000.0 * (j // 2) + d for d in (-30_000.0, 0.0, 30_000.0))) for j in range(30)]
+    model = c.model.with_labels(spark.createDataFrame(labels, "var int, label int, shape string, x0 double, x1 double, x2 double"))
+    rules = rules_table(spark, model, [(k, {0: [j, 29 - j]}) for j in range(15) for k in model.classes])
+    return contingency(compact(c.df, model), rules, model).select("rule_id", "cls", *COUNTS)
+
+
 def generation(spark, sf):
     """One whole generation of the search: children of the population, their scores, and who survives."""
     c = Case(spark, sf, LINES)
@@ -870,6 +879,7 @@ QUERIES = {
     "crossover_hux": crossover_hux,
     "mutate": mutate,
     "generation": generation,
+    "own_labels": own_labels,
     "nondominated_rank_rows": nondominated_rank_rows,
     "match_bitmap": match_bitmap,
     "operator_probs": operator_probs,
