@@ -76,6 +76,13 @@ def main() -> None:
     wide = VECTORS.model(vectors)
     wide_rules = cut_lineage(init_oriented(spark, wide, 300, 1, pct=0.05))
     wide_totals = dict(zip(wide.classes, wide.class_counts))
+    apart = encode_items(vectors, wide).persist()
+    apart.count()
+    # Rows of 64 attributes that no merging makes fewer, looked up one by one.
+    timed(
+        "score_300_rules_rows_that_do_not_merge",
+        lambda: run(contingency(apart, wide_rules, wide, 300, wide_totals, merged=True)),
+    )
     timed("bitmaps_build", lambda: run(wide_lut(vectors, wide, "row_no")))
     lut = wide_lut(vectors, wide, "row_no").persist()
     lut.count()

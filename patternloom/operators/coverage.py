@@ -22,7 +22,6 @@ from patternloom.operators.rules import rule_items
 
 # Estimated bytes up to which the rule index is broadcast.
 BROADCAST_LIMIT = 64 << 20
-SALTS = 64
 
 
 def _pivot_words(model: TableModel) -> str:
@@ -84,13 +83,22 @@ def match_rules(
 ) -> DataFrame:
     """``keep..., rule_id, rule_cls, carry...`` for every covered (row, rule) pair.
 
-    ``max_rules`` is a bound the caller vouches for; without it the rules are counted.
-    An index within the broadcast limit is broadcast; a larger one is joined by a
-    salted shuffle so that no single mask value makes a hot partition.
+    ``max_rules`` is a bound the caller vouches for; without it the rules are counted. The index of the rules is
+    broadcast; rules whose index would pass the limit are taken in slices that keep it, each one more pass over
+    the rows, which are never moved.
     """
-    index = rule_index(rules, model, carry)
     n = rules.count() if max_rules is None else max_rules
     size = n * index_expansion(model) * (64 + 8 * model.n_words)
+    slices = 1 + size // BROADCAST_LIMIT
+    if slices == 1:
+        return _match_slice(encoded, rules, model, keep, carry)
+    place = F.pmod(F.xxhash64("rule_id"), F.lit(slices))
+    parts = [_match_slice(encoded, rules.where(place == s), model, keep, carry) for s in range(slices)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _match_slice(encoded: DataFrame, rules: DataFrame, model: TableModel, keep, carry) -> DataFrame:
+    index = rule_index(rules, model, carry)
     wanted = list(dict.fromkeys([*keep, *model.mask_columns]))
     sets = [i for i, w in enumerate(model.words) if model.custom_labels and model.attributes[w.var].numeric]
     if sets:
@@ -101,14 +109,7 @@ def match_rules(
         probe = encoded.selectExpr(*wanted, f"inline(flatten(array({', '.join(parts)})))")
     else:
         probe = encoded.selectExpr(*wanted, f"posexplode(array({', '.join(model.mask_columns)})) as (word, wmask)")
-    on = ["word", "wmask"]
-    if size <= BROADCAST_LIMIT:
-        joined = probe.join(F.broadcast(index), on)
-    else:
-        salt = F.pmod(F.hash(*[F.col(c) for c in wanted]), F.lit(SALTS)).alias("_salt")
-        probe = probe.select("*", salt)
-        index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        joined = probe.join(index, [*on, "_salt"])
+    joined = probe.join(F.broadcast(index), ["word", "wmask"])
     for i in sets:
         both = f"(m{i} & r{i})"
         joined = joined.where(f"word <> {i} or ({both} & -{both}) = wmask")

@@ -115,12 +115,14 @@ def test_counts_of_all_layouts(spark, table, model, rows):
     assert ordered(contingency_bitmap(lut, rules, model, encoded=encoded)) == want
 
 
-def test_large_rule_index_is_joined_by_salted_shuffle(spark, table, model, rows, monkeypatch):
+def test_large_rule_index_is_broadcast_in_slices(spark, table, model, rows, monkeypatch):
     listed = listed_rules(model)
     rules = rules_table(spark, model, listed)
-    monkeypatch.setattr(cov, "BROADCAST_LIMIT", 0)
-    df = contingency(encode_items(table, model), rules, model)
-    assert ordered(df) == brute_counts(model, listed, rows)
+    monkeypatch.setattr(cov, "BROADCAST_LIMIT", len(listed) * cov.index_expansion(model) * (64 + 8 * model.n_words) // 3)
+    encoded = encode_items(table, model)
+    assert ordered(contingency(encoded, rules, model)) == brute_counts(model, listed, rows)
+    plan = cov.match_rules(encoded, rules, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 4 and "hashpartitioning" not in plan  # rows are not moved
 
 
 def test_many_rules_are_taken_in_slices_of_bitmaps(spark, table, model, rows, monkeypatch):
