@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,20 +45,23 @@ def _long(df: DataFrame, cols: list[str], value) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``name, min, max`` of every numeric column, one pass whatever their number."""
-    if len(cols) <= AGGREGATE_CHUNK:
-        aggs = []
-        for i, c in enumerate(cols):
-            v = numeric_value(df, c)
-            aggs += [F.expr(f"min({v}) as lo{i}"), F.expr(f"max({v}) as hi{i}")]
-        wide = df.agg(*aggs)
-        rows = [
-            F.struct(F.lit(c).alias("name"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-            for i, c in enumerate(cols)
-        ]
-        return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    long = _long(df, cols, lambda c: F.expr(numeric_value(df, c)))
-    return long.groupBy("name").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    """``name, min, max`` of every numeric column.
+
+    Columns are taken in slices, each of which scans its own columns once, so neither a plan's expressions nor its rows
+    grow with the width of the table.
+    """
+    if len(cols) > AGGREGATE_CHUNK:
+        parts = [profile_numeric(df, cols[i : i + AGGREGATE_CHUNK]) for i in range(0, len(cols), AGGREGATE_CHUNK)]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = numeric_value(df, c)
+        aggs += [F.expr(f"min({v}) as lo{i}"), F.expr(f"max({v}) as hi{i}")]
+    rows = [
+        F.struct(F.lit(c).alias("name"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(cols)
+    ]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
 def nominal_values(df: DataFrame, cols: list[str]) -> DataFrame:

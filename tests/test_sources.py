@@ -143,3 +143,15 @@ def test_reports_of_several_files(spark, tmp_path, monkeypatch):
     assert len(files) > 1 and numbers == list(range(40))
     consequents = [line for line in text.splitlines() if line.startswith("Consequent")]
     assert consequents == sorted(consequents)
+
+
+def test_profile_of_a_wide_table(spark):
+    """Column slices: no plan holds rows by columns."""
+    from patternloom.operators.profile import profile_numeric
+
+    names = [f"c{k}" for k in range(450)]
+    df = spark.range(40).selectExpr(*[f"if(id = {k % 7}, null, cast((id * {k + 1}) % 37 as double)) as {n}" for k, n in enumerate(names)])
+    found = profile_numeric(df, names)
+    values = [[(i * (k + 1)) % 37 for i in range(40) if i != k % 7] for k in range(450)]
+    assert {r["name"]: (r["min"], r["max"]) for r in found.collect()} == {n: (min(v), max(v)) for n, v in zip(names, values)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 3
