@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from patternloom.functions.measures import with_measures
 from patternloom.model import TableModel
 from patternloom.operators.contingency import confusion
-from patternloom.operators.generate import CROSSOVER, GENERATION, HUX, MUTATION
+from patternloom.operators.generate import GENERATION, HUX, MUTATION
 from patternloom.operators.ranking import rank_vectors, with_vector
 
 UNRANKED = 2**31 - 1
