@@ -9,7 +9,6 @@ from itertools import pairwise, product
 
 import pytest
 
-from patternloom.llm import structure
 from patternloom.llm.queries import op11_structure_repair
 from patternloom.llm.structure import Grammar, apart, damaged, digests, emptied, learn_grammar, repair_structure
 
