@@ -72,7 +72,7 @@ def nominal_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def check_domain_size(df: DataFrame, cols: list[str], max_domain: int) -> None:
-    """Refuse key-like nominal columns before their domain is gathered."""
+    """Refuse key-like nominal columns before their domain is gathered; the exact limit is tested afterwards."""
     if not cols:
         return
     sizes = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in cols]).head()
@@ -84,11 +84,12 @@ def check_domain_size(df: DataFrame, cols: list[str], max_domain: int) -> None:
 def profile_nominal(df: DataFrame, cols: list[str], max_domain: int = 10_000) -> DataFrame:
     """``name, domain, n_values`` with the sorted domain of every nominal column."""
     check_domain_size(df, cols, max_domain)
+    refused = F.raise_error(F.concat(F.lit(f"nominal column with more than {max_domain} values: "), F.col("name")))
     return (
         nominal_values(df, cols)
         .groupBy("name")
         .agg(F.array_sort(F.collect_list("value")).alias("domain"))
-        .withColumn("n_values", F.size("domain"))
+        .withColumn("n_values", F.when(F.size("domain") <= max_domain, F.size("domain")).otherwise(refused.cast("int")))
     )
 
 
@@ -143,6 +144,9 @@ def build_model(
     domains: dict[str, list] = {c: [] for c in [*nominal, class_col]}
     for r in nominal_values(used, [*nominal, class_col]).collect():
         domains[r["name"]].append((r["value"], r["n"]))
+    wide = [c for c in domains if len(domains[c]) > max_domain]
+    if wide:
+        raise ValueError(f"nominal columns with more than {max_domain} values: {wide}")
     for c in domains:
         domains[c].sort(key=lambda vn: vn[0])
 

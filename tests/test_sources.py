@@ -155,3 +155,15 @@ def test_profile_of_a_wide_table(spark):
     values = [[(i * (k + 1)) % 37 for i in range(40) if i != k % 7] for k in range(450)]
     assert {r["name"]: (r["min"], r["max"]) for r in found.collect()} == {n: (min(v), max(v)) for n, v in zip(names, values)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 3
+
+
+def test_domain_limit_is_exact(spark):
+    from patternloom.operators.profile import profile_nominal
+
+    df = spark.range(30).selectExpr("concat('v', id) as v", "if(id % 2 = 0, 'a', 'b') as k", "cast(id as double) as x")
+    assert len(build_model(df, "k", ["x"], ["v"], 3, max_domain=30).attributes[1].domain) == 30
+    assert profile_nominal(df, ["v"], 30).head()["n_values"] == 30
+    with pytest.raises(ValueError, match="more than 29"):
+        build_model(df, "k", ["x"], ["v"], 3, max_domain=29)
+    with pytest.raises(Exception, match="more than 29"):
+        profile_nominal(df, ["v"], 29).collect()
