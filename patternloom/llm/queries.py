@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.decontaminate import find_contamination
-from patternloom.llm.exact import find_copies
+from patternloom.llm.exact import find_copies, normalised
 from patternloom.llm.langid import fit, held_out, identify
 from patternloom.llm.licenses import scan_licenses
 from patternloom.llm.mixing import mix_sources
@@ -19,6 +19,7 @@ from patternloom.llm.pii import KINDS, find_personal_data, listed, train_field
 from patternloom.llm.resample import resample
 from patternloom.llm.roles import repair_roles
 from patternloom.llm.rollup import BytePairs, Rollup, Runs, count_tokens, deletes, inserts, revisions
+from patternloom.llm.spread import attach
 from patternloom.llm.structure import damaged, digests, emptied, repair_structure
 from patternloom.llm.toxicity import fit_toxicity, score_toxicity
 from patternloom.session import cut_lineage, ensure_checkpoint_dir
@@ -86,15 +87,19 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZE
     """Totals after four batches: all documents, the same again, without exact copies, words counted anew."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rollup = Rollup.create(spark, f"{ensure_checkpoint_dir(spark)}/rollup/{uuid.uuid4().hex}")
-    counted = count_tokens(docs, {"words": Runs(WHITE_SPACE), "bpe-50k": BytePairs(tokenizer)})
-    again = count_tokens(docs, {"words": Runs(WORD_RUNS)}).withColumnRenamed("n_tokens", "new_tokens")
-    kept = find_copies(docs).select(F.col("doc_id").alias("id"), "kept")
-    counted, again, kept = cut_lineage(counted), cut_lineage(again.select("id", "new_tokens")), cut_lineage(kept)
+    # Old and new counts of a row stay side by side, with the digest of its text: ids may repeat or be missing.
+    again = F.when(F.col("version") == "words", F.coalesce(F.regexp_count("text", F.lit(WORD_RUNS)), F.lit(0)).cast("long"))
+    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    counted = cut_lineage(count_tokens(docs, {"words": Runs(WHITE_SPACE), "bpe-50k": BytePairs(tokenizer)}, carry={"digest": digest, "new_tokens": again}))
+    copies = cut_lineage(find_copies(docs).where("group_size > 1").select("digest", "keep_id", "group_size").distinct())
+    gone = cut_lineage(attach(counted, copies, "digest", "group_size", docs.count()).where(~F.col("id").eqNullSafe(F.col("keep_id"))))
     rollup.commit("load", inserts(counted))
     rollup.commit("load", inserts(counted))
-    rollup.commit("copies", deletes(counted.join(kept.where("not kept"), "id", "left_semi")))
-    stay = counted.where("version = 'words'").join(kept.where("kept"), "id", "left_semi")
-    rollup.commit("recount", revisions(stay.join(again, "id")))
+    rollup.commit("copies", deletes(gone))
+    # Changes add up: all rows are revised, and what was deleted before is taken back.
+    back = gone.withColumns({"n_tokens": F.col("new_tokens"), "new_tokens": F.col("n_tokens")})
+    words = [revisions(x.where("version = 'words'")) for x in (counted, back)]
+    rollup.commit("recount", words[0].unionByName(words[1]))
     return rollup.totals()
 
 

@@ -66,17 +66,20 @@ def _encode(shared, tokenizer: BytePairs):
 
 
 def count_tokens(
-    docs: DataFrame, tokenizers: Mapping[str, Runs | BytePairs], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang"
+    docs: DataFrame, tokenizers: Mapping[str, Runs | BytePairs], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs`` and tokenizer: id, source, lang, version, n_tokens (0 for a null text)."""
+    """One row per row of ``docs`` and tokenizer: id, source, lang, version, n_tokens (0 for a null text), and what is to be carried along.
+
+    Columns to carry may refer to those of ``docs`` and to ``version``. Repeated rows and rows without id are counted one by one.
+    """
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text")
-    )
+    own = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang")]
+    carried = [c.alias(n) for n, c in (carry or {}).items()]
     parts = []
     for version, tokenizer in tokenizers.items():
-        rows = base.select("id", "source", "lang", F.lit(version).alias("version"), "_text")
+        rows = docs.withColumn("version", F.lit(version)).select(*own, "version", *carried, F.col(text_col).alias("_text"))
         if isinstance(tokenizer, Runs):
             n = F.coalesce(F.regexp_count("_text", F.lit(tokenizer.pattern)), F.lit(0)).cast("long")
             parts.append(rows.withColumn("n_tokens", n).drop("_text"))

@@ -46,3 +46,17 @@ def test_query_against_counting(spark):
             want[r.source, r.lang, "words"] += len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", r.text))
     got = {tuple(r[k] for k in KEYS): r.n_tokens for r in queries.op7_token_rollup(spark, sf).collect()}
     assert got == dict(want)
+
+
+def test_query_with_repeated_and_missing_ids(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(6)]), rng.choice(["a b", "A b", "x-y z", "", None, "q " * 20]), rng.choice(["s", None]), "en") for _ in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    lowered = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    best = {}
+    for i, t, *_ in rows:
+        best[lowered(t)] = max(best.get(lowered(t), -1), -1 if i is None else i)
+    kept = [r for r in rows if (-1 if r[0] is None else r[0]) == best[lowered(r[1])]]
+    want = {s: (sum(r[2] == s for r in kept), sum(len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", r[1] or "")) for r in kept if r[2] == s)) for s in ("s", None)}
+    got = {r.source: (r.n_docs, r.n_tokens) for r in queries.op7_token_rollup(spark, str(tmp_path)).where("version = 'words'").collect()}
+    assert got == want
