@@ -32,12 +32,16 @@ MERGE_FACTOR = 16
 
 @dataclass
 class RowLayout:
-    """``encoded`` may hold equal rows several times unless ``merged``."""
+    """``encoded`` may hold equal rows several times unless ``merged``.
+
+    ``parts`` tells into how many files merged rows were written; covers of them are kept in as many for each class.
+    """
 
     encoded: DataFrame
     model: TableModel
     class_totals: dict[str, int]
     merged: bool = False
+    parts: int | None = None
 
     def counts(self, rules, max_rules=None):
         return contingency(self.encoded, rules, self.model, max_rules, self.class_totals, self.merged)
@@ -58,7 +62,8 @@ class RowLayout:
         keys = ["cls", *self.model.mask_columns]
         rows = self.encoded if self.merged else signatures(self.encoded, self.model)
         # Signatures are unique by class and masks, so their weight is the same on every hit.
-        return match_rules(rows, rules, self.model, ["n", *keys], (), max_rules).groupBy("rule_cls", *keys).agg(F.max("n").alias("n"))
+        cover = match_rules(rows, rules, self.model, ["n", *keys], (), max_rules).groupBy("rule_cls", *keys).agg(F.max("n").alias("n"))
+        return cover.coalesce(self.parts * len(self.model.classes)) if self.parts else cover
 
     def added(self, before: DataFrame, now: DataFrame) -> DataFrame:
         """``rule_cls, n``: rows of one cover that another one lacks."""
@@ -134,6 +139,8 @@ def prepare(df: DataFrame, model: TableModel, layout: str = "auto", rid: str | N
     shows that merging pays; otherwise bitmaps serve, as they test 64 rows at a time. Both give the
     same results: rows are ordered by ``rid`` or else by a hash of their content. Bitmaps need
     numbers without gaps; rows are numbered in that order, once, and written before they are sliced.
+    Merged rows are written too: a persisted shuffle has as many partitions as the session gives to one, however few its rows,
+    and every job of a search would start a task for each; the files follow the size of what was merged.
     """
     totals = dict(zip(model.classes, model.class_counts))
     level = StorageLevel.MEMORY_AND_DISK
@@ -147,8 +154,8 @@ def prepare(df: DataFrame, model: TableModel, layout: str = "auto", rid: str | N
             few = seen * MERGE_FACTOR <= model.n_rows
         layout = "rows" if few else "bitmaps"
     if layout == "rows":
-        merged = signatures(encode_items(df, model, keep=[order]), model, order)
-        return RowLayout(merged.persist(level), model, totals, merged=True)
+        merged = cut_lineage(signatures(encode_items(df, model, keep=[order]), model, order))
+        return RowLayout(merged.persist(level), model, totals, merged=True, parts=max(1, len(merged.inputFiles())))
     return BitmapLayout(bitmaps.wide_lut(numbered_rows(df, model, order), model, "_row").persist(level), model, totals)
 
 

@@ -31,7 +31,7 @@ from patternloom.operators.rules import dedupe_rules
 from patternloom.operators.selection import better_set, measure_filter, with_slot
 from patternloom.plans.layout import evaluate_rules, matched_rows, prepare
 from patternloom.plans.population import UNRANKED, Individual, Scorer, population_frame, reproduce_rules, survivors
-from patternloom.session import cut_lineage
+from patternloom.session import cut_lineage, small_table
 from patternloom.sources import reports
 
 CREDIT_FLOOR = 2
@@ -39,7 +39,7 @@ CREDIT_FLOOR = 2
 
 def settled(rules: DataFrame) -> DataFrame:
     """A rule table whose size a parameter bounds (a population, a front, an elite), evaluated once."""
-    return rules.sparkSession.createDataFrame(rules.collect(), rules.schema)
+    return rules.sparkSession.createDataFrame(rules.toArrow(), rules.schema)
 
 
 class FrontCover:
@@ -83,7 +83,7 @@ class FrontCover:
 
     def _cover(self, fronts: dict[str, frozenset], classes: list[str]) -> DataFrame:
         listed = [(i, c, list(m)) for i, (c, m) in enumerate((c, m) for c in classes for m in sorted(fronts[c]))]
-        table = self.layout.spark.createDataFrame(listed, "rule_id bigint, cls string, masks array<bigint>")
+        table = small_table(self.layout.spark, listed, "rule_id bigint, cls string, masks array<bigint>")
         return self.layout.cover(table, len(listed))
 
     def release(self, classes) -> None:

@@ -24,6 +24,7 @@ from patternloom.model import TableModel
 from patternloom.operators.contingency import confusion
 from patternloom.operators.generate import GENERATION, HUX, MUTATION
 from patternloom.operators.ranking import rank_vectors, with_vector
+from patternloom.session import small_table
 
 UNRANKED = 2**31 - 1
 Masks = tuple[int, ...]
@@ -89,7 +90,7 @@ class Scorer:
     def _learn(self, new: list[tuple[str, Masks]]) -> None:
         """Match rules with the rows in one job; rules that cover nothing are known by their class."""
         listed = [(i, c, list(m)) for i, (c, m) in enumerate(new)]
-        table = self.layout.spark.createDataFrame(listed, "rule_id bigint, cls string, masks array<bigint>")
+        table = small_table(self.layout.spark, listed, "rule_id bigint, cls string, masks array<bigint>")
         found = self.layout.covered(table, len(new))
         counts = found.select("rule_id", *confusion("rule_cls", self.layout.class_totals))
         held = {r[0]: (tuple(r[1]), tuple(r[2])) for r in self._measured(counts, False)}
@@ -107,7 +108,7 @@ class Scorer:
         """What rules that cover no row have, by class and whether they have a condition."""
         totals = self.layout.class_totals
         rows = [(k, 0, 0, sum(totals.values()) - n, n) for k, n in enumerate(totals.values())]
-        counts = self.layout.spark.createDataFrame(rows, "rule_id bigint, tp bigint, fp bigint, tn bigint, fn bigint")
+        counts = small_table(self.layout.spark, rows, "rule_id bigint, tp bigint, fp bigint, tn bigint, fn bigint")
         names, out = list(totals), {}
         for some in (False, True):
             out |= {(names[r[0]], some): (tuple(r[1]), tuple(r[2])) for r in self._measured(counts, not some)}
@@ -186,4 +187,4 @@ def survivors(joint: list[Individual], n_objectives: int, individuals: int) -> l
 def population_frame(pop: dict[str, list[Individual]], spark, schema: str) -> DataFrame:
     """The population as a rule table with slot, rank and crowding."""
     rows = [(x.rule_id, x.cls, list(x.masks), *x.row, slot, x.rank, x.crowding) for mine in pop.values() for slot, x in enumerate(mine, 1)]
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)

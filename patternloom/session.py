@@ -7,8 +7,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -56,6 +59,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds, of a number that a parameter bounds, as a table.
+
+    By way of Arrow they become a part of the plan, whose size the planner knows; a list of tuples would be dealt out to the
+    cluster, and each use of it would be a job of as many tasks as there are cores.
+    """
+    fields = StructType.fromDDL(schema).fields
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    kinds = to_arrow_schema(StructType(fields))
+    return spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds), StructType(fields))
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
